@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from driftwatch.catalog import METRICS, RESOLVE_AFTER_SECONDS, TOP_METRICS
 from driftwatch.functions.columns import alert_severity, fingerprint, ratio, severity_name, severity_rank
-from driftwatch.operators.series import ROWS_PER_CHUNK, series, sessions
+from driftwatch.operators.series import ROWS_PER_CHUNK, Widths, series, sessions
 
 SNAPSHOT = [
     "host", "ensemble_score", "detected_by", "triggering_metrics", "escalation_probability", "explanation_text",
@@ -58,15 +58,15 @@ def alert_id(fp: Column, created_at: Column) -> Column:
 
 
 def alerts(scored: DataFrame, gap_seconds: float = RESOLVE_AFTER_SECONDS, as_of=None,
-           rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+           rows_per_chunk: int = ROWS_PER_CHUNK, widths: Widths | None = None) -> DataFrame:
     """Alert snapshot from scored history.
 
     Anomalies of one fingerprint that are at most `gap_seconds` apart form one alert; it shows its newest reading, its
     highest severity and the number of readings, and is resolved once it is older than the gap at `as_of` (never, if
-    that is not given).
+    that is not given). Pass the `widths` of the readings, or this step derives the scores twice to measure them.
     """
     rows = alert_rows(scored).withColumn("severity_rank", severity_rank(F.col("severity")))
-    s = series(rows, ["fingerprint", "service_name"], ["timestamp", "event_id"], 0, rows_per_chunk)
+    s = series(rows, ["fingerprint", "service_name"], ["timestamp", "event_id"], 0, rows_per_chunk, widths)
     merged = sessions(s, gap_seconds, SNAPSHOT, ["severity_rank"])
     return finish_alerts(merged, gap_seconds, as_of)
 

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from driftwatch.catalog import EARLY_PROGRESS, TRAIN_RATIO
 from driftwatch.functions.columns import nearest_second
 from driftwatch.operators.quantiles import order_statistics
+from driftwatch.storage import stage
 
 TRUTH_COLUMNS = ["is_anomaly", "anomaly_type", "category", "severity", "progress", "episode_id"]
 
@@ -91,7 +92,7 @@ def episode_split(early: DataFrame, ratio: float = TRAIN_RATIO) -> DataFrame:
 
     Episodes that start at the same instant are ordered by a hash of their id.
     """
-    episodes = first_seen(early).withColumn("_tie", F.xxhash64("episode_id"))
+    episodes = stage(first_seen(early).withColumn("_tie", F.xxhash64("episode_id")), "episodes")
     return chronological_split(episodes, {"train": ratio, "test": 1.0}, "first_seen", "_tie").drop("_tie")
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from driftwatch.catalog import DERIVED, FEATURES, FLAT_STD, HISTORY_ROWS, METRICS, SEQUENCE_ROWS, TREND_ROWS
 from driftwatch.functions.columns import rounded
-from driftwatch.operators.series import ROWS_PER_CHUNK, Series, series
+from driftwatch.operators.series import ROWS_PER_CHUNK, Series, Widths, series
 
 ORDER = ["timestamp", "event_id"]
 # Rows a sequence of features depends on, and the same with the score trend on top.
@@ -38,16 +38,17 @@ def add_features(s: Series, rows: int = HISTORY_ROWS, ddof: int = 1, scale: int
 
 
 def features(ticks: DataFrame, keys=("service_name",), order=tuple(ORDER), rows: int = HISTORY_ROWS, ddof: int = 1,
-             scale: int | None = 4, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+             scale: int | None = 4, rows_per_chunk: int = ROWS_PER_CHUNK, widths: Widths | None = None) -> DataFrame:
     """The 28 feature columns of complete wide ticks."""
-    return add_features(series(ticks, list(keys), list(order), rows, rows_per_chunk), rows, ddof, scale).rows()
+    s = series(ticks, list(keys), list(order), rows, rows_per_chunk, widths)
+    return add_features(s, rows, ddof, scale).rows()
 
 
 def narrow_features(readings: DataFrame, keys=("service_name", "metric_name"), order=tuple(ORDER),
                     rows: int = HISTORY_ROWS, ddof: int = 1, scale: int | None = 4,
-                    rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+                    rows_per_chunk: int = ROWS_PER_CHUNK, widths: Widths | None = None) -> DataFrame:
     """The same on narrow readings, where each metric keeps its own history; adds the `labels` struct."""
-    s = series(readings, list(keys), list(order), rows, rows_per_chunk)
+    s = series(readings, list(keys), list(order), rows, rows_per_chunk, widths)
     enriched = s.with_columns(rolling_columns(s, "value", "", rows, ddof, scale)).rows()
     return enriched.withColumn("labels", F.struct(*DERIVED)).drop(*DERIVED)
 

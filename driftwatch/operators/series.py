@@ -8,7 +8,7 @@ computed per chunk and then joined up from one summary row per chunk.
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, Row, Window, WindowSpec, functions as F, types as T
 
 CHUNK = "_chunk"
 COPY = "_copy"
@@ -20,11 +20,30 @@ CELL_SECONDS = 60
 MAX_BUSY_KEYS = 20_000
 
 
-def busy_keys(df: DataFrame, keys: list[str], ts: str, rows_per_chunk: int) -> DataFrame:
-    """Keys with too many rows for one task, each with the chunk width in microseconds that its busiest minute allows.
+@dataclass(frozen=True)
+class Widths:
+    """Chunk width in microseconds of every key that is too big for one task; all other keys stay whole."""
+
+    keys: tuple[str, ...]
+    rows: list[Row]
+    schema: T.StructType
+
+    def tag(self, df: DataFrame, ts: str) -> DataFrame:
+        """Add the chunk number and the width (NULL for a whole key, which is chunk 0). No shuffle of the rows."""
+        if not self.rows:
+            return df.withColumns({WIDTH: F.lit(None).cast("long"), CHUNK: F.lit(0).cast("long")})
+        # Fewer than MAX_BUSY_KEYS rows, see `measure`.
+        busy = df.sparkSession.createDataFrame(self.rows, self.schema)
+        chunk = F.coalesce(F.floor(F.unix_micros(ts) / F.col(WIDTH)), F.lit(0)).cast("long")
+        return df.join(F.broadcast(busy), list(self.keys), "left").withColumn(CHUNK, chunk)
+
 
-    Only keys above `rows_per_chunk` and above 1/MAX_BUSY_KEYS of all rows are listed, so the result has fewer than
-    MAX_BUSY_KEYS rows whatever the input.
+def measure(df: DataFrame, keys: list[str], ts: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> Widths:
+    """Find the busy keys and the chunk width that the busiest minute of each allows. Reads only `keys` and `ts`.
+
+    A key is busy above `rows_per_chunk` rows and above 1/MAX_BUSY_KEYS of all rows, so the driver receives fewer than
+    MAX_BUSY_KEYS rows whatever the input. Widths hold for any subset of the rows as well: measure a stored table once
+    and pass the result on to the steps derived from it.
     """
     cell = F.floor(F.unix_micros(ts) / F.lit(CELL_SECONDS * 1_000_000))
     per_key = (
@@ -34,16 +53,9 @@ def busy_keys(df: DataFrame, keys: list[str], ts: str, rows_per_chunk: int) -> D
     share = per_key.agg(F.sum("_rows") / MAX_BUSY_KEYS).scalar()
     cells = F.lit(rows_per_chunk) / F.col("_peak")
     width = F.when(cells >= 1, F.floor(cells)).otherwise(cells) * (CELL_SECONDS * 1_000_000)
-    return per_key.where(F.col("_rows") > F.greatest(F.lit(float(rows_per_chunk)), share)).select(
-        *keys, F.greatest(F.floor(width), F.lit(1)).alias(WIDTH)
-    )
-
-
-def tag_chunks(df: DataFrame, keys: list[str], ts: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
-    """Add the chunk number; keys that fit into one task stay whole as chunk 0. No shuffle of the rows."""
-    busy = busy_keys(df, keys, ts, rows_per_chunk)
-    chunk = F.coalesce(F.floor(F.unix_micros(ts) / F.col(WIDTH)), F.lit(0)).cast("long")
-    return df.join(F.broadcast(busy), keys, "left").withColumn(CHUNK, chunk)
+    busy = per_key.where(F.col("_rows") > F.greatest(F.lit(float(rows_per_chunk)), share)).select(
+        *keys, F.greatest(F.floor(width), F.lit(1)).cast("long").alias(WIDTH))
+    return Widths(tuple(keys), busy.collect(), busy.schema)
 
 
 @dataclass(frozen=True)
@@ -53,6 +65,8 @@ class Series:
     df: DataFrame
     keys: tuple[str, ...]
     order: tuple[str, ...]
+    # False when every key is one chunk.
+    cut: bool = True
 
     @property
     def window(self) -> WindowSpec:
@@ -78,17 +92,19 @@ def series(
     order: list[str],
     lookback: int,
     rows_per_chunk: int = ROWS_PER_CHUNK,
+    widths: Widths | None = None,
 ) -> Series:
     """Prepare `df` for windows that reach at most `lookback` rows back.
 
-    The rows go through one shuffle, when the first window runs. The copies come from a second, narrow pass in which
-    each map task keeps only the last `lookback` rows of a chunk before it shuffles them.
+    The rows go through one shuffle, when the first window runs. Only busy keys need copies; these come from a second,
+    narrow pass in which each map task keeps just the last `lookback` rows of a chunk before it shuffles them.
     """
     keys = list(keys)
-    tagged = tag_chunks(df, keys, order[0], rows_per_chunk)
+    widths = widths or measure(df, keys, order[0], rows_per_chunk)
+    tagged = widths.tag(df, order[0])
     main = tagged.select(*df.columns, CHUNK, F.lit(False).alias(COPY))
-    if lookback == 0:
-        return Series(main, tuple(keys), tuple(order))
+    if lookback == 0 or not widths.rows:
+        return Series(main, tuple(keys), tuple(order), bool(widths.rows))
     cut = tagged.where(F.col(WIDTH).isNotNull()).drop(WIDTH)
 
     by_key = Window.partitionBy(*keys).orderBy(CHUNK)
@@ -99,9 +115,8 @@ def series(
     )
     # A later chunk needs a row when fewer than `lookback` rows lie between the row and the chunk's first row.
     followers = F.collect_list(F.struct(CHUNK, "_start")).over(by_key.rowsBetween(1, lookback))
-    needs = ends.select(*keys, CHUNK, F.col("_end"), F.filter(
-        followers, lambda c: c["_start"] - F.col("_end") < lookback
-    ).alias("_later")).where(F.size("_later") > 0)
+    needs = ends.select(*keys, CHUNK, "_end", followers.alias("_later")).withColumn(
+        "_later", F.filter("_later", lambda c: c["_start"] - F.col("_end") < lookback)).where(F.size("_later") > 0)
 
     newest = Window.partitionBy(*keys, CHUNK).orderBy(*(F.desc(c) for c in order))
     copies = (
@@ -126,12 +141,15 @@ def streak(s: Series, flag: str, name: str) -> Series:
     """
     s = without_copies(s)
     keys = list(s.keys)
+    temporary = ["_on", "_before", "_run", "_enters"]
     on = F.coalesce(F.col(flag), F.lit(False)).cast("long")
     local = (
         s.df.withColumn("_on", F.sum(on).over(s.window))
         .withColumn("_before", F.max(F.when(on == 0, F.col("_on"))).over(s.window))
         .withColumn("_run", F.col("_on") - F.coalesce("_before", F.lit(0)))
     )
+    if not s.cut:
+        return replace(s, df=local.withColumn(name, F.col("_run")).drop(*temporary))
     by_key = Window.partitionBy(*keys).orderBy(CHUNK)
     ends = (
         local.groupBy(*keys, CHUNK).agg(
@@ -148,7 +166,7 @@ def streak(s: Series, flag: str, name: str) -> Series:
     joined = (
         local.join(ends, [*keys, CHUNK], "left")
         .withColumn(name, F.col("_run") + F.when(on == 1, entering).otherwise(0))
-        .drop("_on", "_before", "_run", "_enters")
+        .drop(*temporary)
     )
     return replace(s, df=joined)
 
@@ -178,9 +196,13 @@ def sessions(s: Series, gap_seconds: float, latest: list[str], maxima: list[str]
             F.max_by(snapshot, F.struct(*s.order)).alias("_latest"),
             *(F.max(m).alias(m) for m in maxima),
         )
-        .withColumn("_count", F.max("_no").over(Window.partitionBy(*keys, CHUNK)))
     )
     result = ["started_at", "last_seen_at", "occurrence_count", "_latest", *maxima]
+    shown = [*keys, "started_at", "last_seen_at", "occurrence_count", *maxima,
+             *(F.col(f"_latest.{c}").alias(c) for c in latest)]
+    if not s.cut:
+        return within.select(*shown)
+    within = within.withColumn("_count", F.max("_no").over(Window.partitionBy(*keys, CHUNK)))
     at_edge = (F.col("_no") == 1) | (F.col("_no") == F.col("_count"))
     by_key = Window.partitionBy(*keys).orderBy("started_at")
     across = (
@@ -196,5 +218,4 @@ def sessions(s: Series, gap_seconds: float, latest: list[str], maxima: list[str]
         )
     )
     merged = within.where(~at_edge).select(*keys, *result).unionByName(across.select(*keys, *result))
-    return merged.select(*keys, "started_at", "last_seen_at", "occurrence_count", *maxima,
-                         *(F.col(f"_latest.{c}").alias(c) for c in latest))
+    return merged.select(*shown)

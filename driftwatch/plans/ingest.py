@@ -69,14 +69,14 @@ def unpivot_readings(spark, sf):
 
 
 @query("S4 T7", sql("""select cast("timestamp" as date) as day, metric_name, count(*) as n,
-                              round(sum(value), 4) as total from readings group by all""", "readings"))
+                              round(sum(value), 6) as total from readings group by all""", "readings"))
 def readings_sink(spark, sf):
     rows = views.readings(spark, sf)
     path = new_path(spark, "readings")
     tables.write_by_date(rows, path)
     stored = tables.read_by_date(spark, path, rows.schema)
     return stored.groupBy(F.col("date").alias("day"), "metric_name").agg(
-        F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+        F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
 
 
 @query("S8", sql('select "timestamp", service_name, host, metric_name, value from readings', "readings"))

@@ -10,7 +10,7 @@ from driftwatch.functions.columns import vote
 from driftwatch.operators.cleaning import repair, to_narrow
 from driftwatch.operators.evaluation import worst_z
 from driftwatch.operators.rolling import add_features, add_trend, features
-from driftwatch.operators.series import series
+from driftwatch.operators.series import ROWS_PER_CHUNK, Widths, measure, series
 
 SCALE = 6
 
@@ -54,12 +54,17 @@ def clean_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(ticks(spark, sf_dir))
 
 
+def widths(spark: SparkSession, sf_dir: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> Widths:
+    """Chunk widths per service, measured on the raw ticks and valid for everything derived from them."""
+    return measure(ticks(spark, sf_dir), ["service_name"], "timestamp", rows_per_chunk)
+
+
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_narrow(clean_ticks(spark, sf_dir))
 
 
 def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features(clean_ticks(spark, sf_dir), scale=SCALE)
+    return features(clean_ticks(spark, sf_dir), scale=SCALE, widths=widths(spark, sf_dir))
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,9 +103,11 @@ def detector_flags() -> dict[str, Column]:
     }
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored(spark: SparkSession, sf_dir: str, cut: Widths | None = None) -> DataFrame:
     """Feature rows with stand-in detector values, votes and the score trend; warm-up rows lack `lstm_error`."""
-    s = add_features(series(clean_ticks(spark, sf_dir), ["service_name"], ["timestamp", "event_id"], 25), scale=SCALE)
+    cut = cut or widths(spark, sf_dir)
+    s = series(clean_ticks(spark, sf_dir), ["service_name"], ["timestamp", "event_id"], 25, widths=cut)
+    s = add_features(s, scale=SCALE)
     s = s.with_columns(detector_values())
     seen = F.count("*").over(s.last(20))
     s = s.with_columns({"lstm_error": F.when(seen == 20, F.col("lstm_error"))})
@@ -204,7 +211,7 @@ VIEWS = {
 }
 NEEDS = {
     "ticks": [], "clean": ["ticks"], "readings": ["clean"], "feats": ["clean"], "truth": [],
-    "truth_secs": ["truth"], "feats_secs": ["feats"], "labels1": ["truth_secs"], "labelled": ["feats_secs", "labels1"],
+    "truth_secs": ["truth"], "feats_secs": ["feats"], "clean_secs": ["clean"], "labels1": ["truth_secs"], "labelled": ["feats_secs", "labels1"],
     "scored0": ["feats"], "scored1": ["scored0"], "scored2": ["scored1"], "scored3": ["scored2"], "scored": ["scored3"],
 }
 

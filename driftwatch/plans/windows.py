@@ -188,13 +188,14 @@ def feature_metrics(spark, sf):
                        F.round("s.t", 3).alias("total"))
 
 
-@query("X16", sql("""select event_id, round(((cpu_usage - cpu_usage_rolling_avg) ** 2
-    + (disk_usage - disk_usage_rolling_avg) ** 2) / 2, 8) as mse from feats""", "feats"))
+@query("X16", sql("""select event_id, round(((cpu_usage_z_score - memory_usage_z_score)
+    * (cpu_usage_z_score - memory_usage_z_score) + (disk_usage_z_score - error_rate_z_score)
+    * (disk_usage_z_score - error_rate_z_score)) / 2, 6) as mse from feats""", "feats"))
 def squared_difference(spark, sf):
-    now = F.array("cpu_usage", "disk_usage")
-    mean = F.array("cpu_usage_rolling_avg", "disk_usage_rolling_avg")
+    left = F.array("cpu_usage_z_score", "disk_usage_z_score")
+    right = F.array("memory_usage_z_score", "error_rate_z_score")
     return views.feature_rows(spark, sf).select(
-        "event_id", F.round(columns.mean_squared_difference(now, mean), 8).alias("mse"))
+        "event_id", F.round(columns.mean_squared_difference(left, right), 6).alias("mse"))
 
 
 @query("M3 J7", sql(f"""select service_name, count(*) as "rows", count_if(worst > 3.0) as flagged,
