@@ -98,18 +98,27 @@ def nearest(queries: DataFrame, rows: DataFrame, query_id: str, row_id: str, vec
 
     # Pass 2: cells that may hold a nearer row. One radius per pivot on the driver.
     radius = {r["cell"]: r["r"] for r in placed.groupBy("cell").agg(F.max("radius").alias("r")).collect()}
-    radii = F.array(*(F.lit(radius.get(i, -1.0)) for i in range(len(centers))))
+    reach = np.array([radius.get(i, -np.inf) for i in range(len(centers))])
     gaps = distances(centers, centers)
-    apart = F.array(*(F.array(*(F.lit(float(x)) for x in line)) for line in gaps))
-    bounded = wanted.join(first, "query_id").withColumn("_limit", F.col("best.distance") * (1 + SLACK) + SLACK)
-    own = F.get("to_pivots", F.col("cell"))
-    cells = F.filter(F.sequence(F.lit(0), F.lit(len(centers) - 1)), lambda i: (
-        (i != F.col("cell")) & (F.get(radii, i) >= 0)
-        & (F.get("to_pivots", i) - F.get(radii, i) <= F.col("_limit"))
+    bounds = spark.sparkContext.broadcast((reach, gaps))
+
+    @F.pandas_udf("array<int>")
+    def cells_in_reach(to_pivots: pd.Series, cell: pd.Series, best: pd.Series) -> pd.Series:
+        reach, gaps = bounds.value
+        d, own = _matrix(to_pivots), cell.to_numpy()
+        limit = (best.to_numpy() * (1 + SLACK) + SLACK)[:, None]
+        ball = d - reach[None, :] <= limit
         # A row nearer to pivot i than to the own one lies beyond the plane between the two.
-        & (F.get("to_pivots", i) * F.get("to_pivots", i) - own * own
-           <= 2.0 * F.get(F.get(apart, F.col("cell")), i) * F.col("_limit"))))
-    visits = bounded.withColumn("cell", F.explode(cells)).select("query_id", "vector", "cell")
+        nearest_own = d[np.arange(len(d)), own][:, None]
+        plane = d * d - nearest_own * nearest_own <= 2.0 * gaps[own] * limit + SLACK
+        plane[np.arange(len(d)), own] = False
+        return pd.Series([np.flatnonzero(row) for row in ball & plane])
+
+    visits = (
+        wanted.join(first, "query_id")
+        .withColumn("cell", F.explode(cells_in_reach("to_pivots", "cell", "best.distance")))
+        .select("query_id", "vector", "cell")
+    )
     second = _compare(visits, placed.drop("radius"), block)
     best = (
         second.select("query_id", F.struct("distance", "row_id").alias("best")).unionByName(first)

@@ -134,9 +134,11 @@ def without_copies(s: Series) -> Series:
     return replace(s, df=s.df.where(~F.col(COPY)))
 
 
-def streak(s: Series, flag: str, name: str) -> Series:
+def streak(s: Series, flag: str, name: str, initial: str | None = None) -> Series:
     """Number of consecutive rows with `flag` true up to and including the row, as column `name`.
 
+    `initial` names a column with the run that the key brings along from before its first row here.
+
     The run inside a chunk is counted locally; one summary row per chunk then says how long a run enters the next one.
     """
     s = without_copies(s)
@@ -148,18 +150,22 @@ def streak(s: Series, flag: str, name: str) -> Series:
         .withColumn("_before", F.max(F.when(on == 0, F.col("_on"))).over(s.window))
         .withColumn("_run", F.col("_on") - F.coalesce("_before", F.lit(0)))
     )
+    brought = F.coalesce(F.col(initial), F.lit(0)) if initial else F.lit(0)
     if not s.cut:
-        return replace(s, df=local.withColumn(name, F.col("_run")).drop(*temporary))
+        run = F.col("_run") + F.when((on == 1) & F.col("_before").isNull(), brought).otherwise(0)
+        return replace(s, df=local.withColumn(name, run).drop(*temporary))
     by_key = Window.partitionBy(*keys).orderBy(CHUNK)
     ends = (
         local.groupBy(*keys, CHUNK).agg(
             F.max_by("_run", F.struct(*s.order)).alias("_tail"),
             F.max(1 - on).alias("_broken"),
+            F.max(brought).alias("_brought"),
         )
         # A chunk with an unflagged row starts a new island; flagged-only chunks prolong the run of the island.
         .withColumn("_island", F.sum("_broken").over(by_key))
         .withColumn("_carried", F.sum("_tail").over(Window.partitionBy(*keys, "_island").orderBy(CHUNK)))
-        .withColumn("_enters", F.lag("_carried").over(by_key))
+        .withColumn("_enters", F.coalesce(F.lag("_carried").over(by_key), F.lit(0)) + F.when(
+            F.coalesce(F.lag("_island").over(by_key), F.lit(0)) == 0, F.col("_brought")).otherwise(0))
         .select(*keys, CHUNK, "_enters")
     )
     entering = F.when(F.col("_before").isNull(), F.coalesce("_enters", F.lit(0))).otherwise(0)
