@@ -21,7 +21,7 @@ from driftwatch.operators.rolling import (
     check_feature_order,
 )
 from driftwatch.operators.scaling import Scaler
-from driftwatch.operators.series import Series, Widths, series, streak
+from driftwatch.operators.series import Series, Widths, series, stored, streak
 from driftwatch.storage import stage
 
 VALUES = ["zscore_value", "iforest_score", "lstm_error"]
@@ -134,7 +134,7 @@ def replay(ticks: DataFrame, bundle: Bundle, keys=("service_name",), order=("tim
            widths: Widths | None = None) -> DataFrame:
     """Score the whole history as it would have been scored live, with the score trend and the anomaly streak."""
     s = score(add_features(series(ticks, list(keys), list(order), REPLAY_LOOKBACK, widths=widths)), bundle)
-    s = add_trend(s, "ensemble_score")
+    s = stored(add_trend(s, "ensemble_score"), "replay")
     return streak(s, "ensemble_is_anomaly", "consecutive_anomalous_ticks").rows()
 
 

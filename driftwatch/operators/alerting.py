@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from driftwatch.catalog import METRICS, RESOLVE_AFTER_SECONDS, TOP_METRICS
 from driftwatch.functions.columns import alert_severity, fingerprint, ratio, severity_name, severity_rank
-from driftwatch.operators.series import ROWS_PER_CHUNK, Widths, series, sessions
+from driftwatch.operators.series import Widths, series, sessions
 
 SNAPSHOT = [
     "host", "ensemble_score", "detected_by", "triggering_metrics", "escalation_probability", "explanation_text",
@@ -58,7 +58,7 @@ def alert_id(fp: Column, created_at: Column) -> Column:
 
 
 def alerts(scored: DataFrame, gap_seconds: float = RESOLVE_AFTER_SECONDS, as_of=None,
-           rows_per_chunk: int = ROWS_PER_CHUNK, widths: Widths | None = None) -> DataFrame:
+           rows_per_chunk: int | None = None, widths: Widths | None = None) -> DataFrame:
     """Alert snapshot from scored history.
 
     Anomalies of one fingerprint that are at most `gap_seconds` apart form one alert; it shows its newest reading, its

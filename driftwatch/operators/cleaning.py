@@ -5,17 +5,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 from driftwatch.catalog import METRIC_BOUNDS, METRICS
 
 
-def repaired(value: Column, low, high) -> Column:
-    """NULL becomes the lower bound (0 without one); values are clipped to the bounds."""
-    value = F.coalesce(value, F.lit(float(low if low is not None else 0)))
+def repaired(value: str, low, high) -> str:
+    """SQL expression: NULL becomes the lower bound (0 without one); values are clipped to the bounds."""
+    value = f"coalesce(double({value}), {low or 0}D)"
     if low is not None:
-        value = F.greatest(value, F.lit(float(low)))
-    return value if high is None else F.least(value, F.lit(float(high)))
+        value = f"greatest({value}, {low}D)"
+    return value if high is None else f"least({value}, {high}D)"
 
 
 def repair(ticks: DataFrame, flags: bool = False) -> DataFrame:
     """Repair the seven metric columns of wide ticks; `flags` adds `<metric>_repaired` booleans and their count."""
-    columns = {m: repaired(F.col(m).cast("double"), *METRIC_BOUNDS[m]) for m in METRICS}
+    columns = {m: F.expr(repaired(m, *METRIC_BOUNDS[m])) for m in METRICS}
     if flags:
         changed = {f"{m}_repaired": ~F.col(m).cast("double").eqNullSafe(columns[m]) for m in METRICS}
         ticks = ticks.withColumns(changed)
@@ -27,7 +27,7 @@ def repair_narrow(readings: DataFrame) -> DataFrame:
     """Repair `value` of narrow readings; a metric outside the catalogue is only filled with 0."""
     value = F.coalesce("value", F.lit(0.0))
     for metric, (low, high) in METRIC_BOUNDS.items():
-        value = F.when(F.col("metric_name") == metric, repaired(F.col("value"), low, high)).otherwise(value)
+        value = F.when(F.col("metric_name") == metric, F.expr(repaired("value", low, high))).otherwise(value)
     return readings.withColumn("value", value)
 
 

@@ -63,10 +63,15 @@ def _cut_at(df: DataFrame, ts: str, tie: str, first_rows: int) -> tuple[int, int
         return None
     at = df.select(F.unix_micros(ts).alias("_at"), F.col(tie).alias("_tie"))
     instant = order_statistics(at, "_at", [first_rows - 1])[first_rows - 1]
-    before = at.where(F.col("_at") < instant).count()
-    same = at.where(F.col("_at") == instant)
-    rank = first_rows - before - 1
-    return instant, order_statistics(same, "_tie", [rank])[rank]
+    here = F.col("_at") == instant
+    row = at.agg(
+        F.count_if(F.col("_at") < instant).alias("before"), F.count_if(here).alias("same"),
+        F.min(F.when(here, F.col("_tie"))).alias("low"), F.max(F.when(here, F.col("_tie"))).alias("high"),
+    ).first()
+    rank = first_rows - row["before"] - 1
+    if rank in (0, row["same"] - 1):
+        return instant, row["low"] if rank == 0 else row["high"]
+    return instant, order_statistics(at.where(here), "_tie", [rank])[rank]
 
 
 def chronological_split(df: DataFrame, ratios: dict[str, float] | None = None, ts: str = "timestamp",

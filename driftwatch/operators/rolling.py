@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from driftwatch.catalog import DERIVED, FEATURES, FLAT_STD, HISTORY_ROWS, METRICS, SEQUENCE_ROWS, TREND_ROWS
 from driftwatch.functions.columns import rounded
-from driftwatch.operators.series import ROWS_PER_CHUNK, Series, Widths, series
+from driftwatch.operators.series import CHUNK, Series, Widths, series
 
 ORDER = ["timestamp", "event_id"]
 # Rows a sequence of features depends on, and the same with the score trend on top.
@@ -18,15 +18,17 @@ def rolling_columns(s: Series, value: str, prefix: str, rows: int = HISTORY_ROWS
 
     Without history the mean is the value itself; the z-score is 0 until two rows exist and while they hardly vary.
     """
-    v, before = F.col(value), s.previous(rows)
-    mean = F.avg(v).over(before)
-    std = (F.stddev_samp if ddof else F.stddev_pop)(v).over(before)
-    usable = (F.count(v).over(before) >= 2) & (std > FLAT_STD)
-    return {
-        f"{prefix}rolling_avg": rounded(F.coalesce(mean, v), scale),
-        f"{prefix}z_score": rounded(F.when(usable, (v - mean) / std).otherwise(0.0), scale),
-        f"{prefix}rate_of_change": rounded(F.coalesce(v - F.lag(v).over(s.window), F.lit(0.0)), scale),
+    part = f"PARTITION BY {', '.join([*s.keys, CHUNK])} ORDER BY {', '.join(s.order)}"
+    before = f"OVER ({part} ROWS BETWEEN {rows} PRECEDING AND 1 PRECEDING)"
+    mean = f"avg({value}) {before}"
+    # The deviation of fewer than two rows is NULL or 0, so it is never above the limit.
+    std = f"{'stddev_samp' if ddof else 'stddev_pop'}({value}) {before}"
+    formulas = {
+        "rolling_avg": f"coalesce({mean}, {value})",
+        "z_score": f"CASE WHEN {std} > {FLAT_STD}D THEN ({value} - {mean}) / {std} ELSE 0D END",
+        "rate_of_change": f"coalesce({value} - lag({value}) OVER ({part}), 0D)",
     }
+    return {prefix + name: rounded(F.expr(formula), scale) for name, formula in formulas.items()}
 
 
 def add_features(s: Series, rows: int = HISTORY_ROWS, ddof: int = 1, scale: int | None = 4) -> Series:
@@ -38,7 +40,7 @@ def add_features(s: Series, rows: int = HISTORY_ROWS, ddof: int = 1, scale: int
 
 
 def features(ticks: DataFrame, keys=("service_name",), order=tuple(ORDER), rows: int = HISTORY_ROWS, ddof: int = 1,
-             scale: int | None = 4, rows_per_chunk: int = ROWS_PER_CHUNK, widths: Widths | None = None) -> DataFrame:
+             scale: int | None = 4, rows_per_chunk: int | None = None, widths: Widths | None = None) -> DataFrame:
     """The 28 feature columns of complete wide ticks."""
     s = series(ticks, list(keys), list(order), rows, rows_per_chunk, widths)
     return add_features(s, rows, ddof, scale).rows()
@@ -46,7 +48,7 @@ def features(ticks: DataFrame, keys=("service_name",), order=tuple(ORDER), rows:
 
 def narrow_features(readings: DataFrame, keys=("service_name", "metric_name"), order=tuple(ORDER),
                     rows: int = HISTORY_ROWS, ddof: int = 1, scale: int | None = 4,
-                    rows_per_chunk: int = ROWS_PER_CHUNK, widths: Widths | None = None) -> DataFrame:
+                    rows_per_chunk: int | None = None, widths: Widths | None = None) -> DataFrame:
     """The same on narrow readings, where each metric keeps its own history; adds the `labels` struct."""
     s = series(readings, list(keys), list(order), rows, rows_per_chunk, widths)
     enriched = s.with_columns(rolling_columns(s, "value", "", rows, ddof, scale)).rows()

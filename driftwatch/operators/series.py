@@ -10,11 +10,14 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Row, Window, WindowSpec, functions as F, types as T
 
+from driftwatch.storage import stage
+
 CHUNK = "_chunk"
 COPY = "_copy"
 WIDTH = "_width"
 
 ROWS_PER_CHUNK = 500_000
+SMALLEST_CHUNK = 200_000
 CELL_SECONDS = 60
 # At most this many keys can hold more than 1/MAX_BUSY_KEYS of the rows, which bounds the broadcast table of widths.
 MAX_BUSY_KEYS = 20_000
@@ -38,24 +41,32 @@ class Widths:
         return df.join(F.broadcast(busy), list(self.keys), "left").withColumn(CHUNK, chunk)
 
 
-def measure(df: DataFrame, keys: list[str], ts: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> Widths:
+def measure(df: DataFrame, keys: list[str], ts: str, rows_per_chunk: int | None = None) -> Widths:
     """Find the busy keys and the chunk width that the busiest minute of each allows. Reads only `keys` and `ts`.
 
     A key is busy above `rows_per_chunk` rows and above 1/MAX_BUSY_KEYS of all rows, so the driver receives fewer than
-    MAX_BUSY_KEYS rows whatever the input. Widths hold for any subset of the rows as well: measure a stored table once
+    MAX_BUSY_KEYS rows whatever the input. Without `rows_per_chunk`, chunks are small enough to occupy all cores but
+    neither tiny nor above ROWS_PER_CHUNK. Widths hold for any subset of the rows as well: measure a stored table once
     and pass the result on to the steps derived from it.
     """
-    cell = F.floor(F.unix_micros(ts) / F.lit(CELL_SECONDS * 1_000_000))
-    per_key = (
-        df.groupBy(*keys, cell.alias("_cell")).agg(F.count("*").alias("_n"))
+    n = df.count()
+    if rows_per_chunk is None:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        rows_per_chunk = min(ROWS_PER_CHUNK, max(SMALLEST_CHUNK, n // (4 * cores)))
+    kinds = T.StructType([*df.select(*keys).schema.fields, T.StructField(WIDTH, T.LongType())])
+    limit = max(rows_per_chunk, n / MAX_BUSY_KEYS)
+    if n <= limit:
+        return Widths(tuple(keys), [], kinds)
+    cell_micros = CELL_SECONDS * 1_000_000
+    busy = (
+        df.groupBy(*keys, F.floor(F.unix_micros(ts) / cell_micros).alias("_cell")).agg(F.count("*").alias("_n"))
         .groupBy(*keys).agg(F.sum("_n").alias("_rows"), F.max("_n").alias("_peak"))
+        .where(F.col("_rows") > limit)
     )
-    share = per_key.agg(F.sum("_rows") / MAX_BUSY_KEYS).scalar()
+    # Whole minutes per chunk, or a part of a minute where that alone exceeds the chunk.
     cells = F.lit(rows_per_chunk) / F.col("_peak")
-    width = F.when(cells >= 1, F.floor(cells)).otherwise(cells) * (CELL_SECONDS * 1_000_000)
-    busy = per_key.where(F.col("_rows") > F.greatest(F.lit(float(rows_per_chunk)), share)).select(
-        *keys, F.greatest(F.floor(width), F.lit(1)).cast("long").alias(WIDTH))
-    return Widths(tuple(keys), busy.collect(), busy.schema)
+    micros = F.floor(F.when(cells >= 1, F.floor(cells)).otherwise(cells) * cell_micros)
+    return Widths(tuple(keys), busy.select(*keys, F.greatest(micros, F.lit(1)).cast("long")).collect(), kinds)
 
 
 @dataclass(frozen=True)
@@ -91,7 +102,7 @@ def series(
     keys: list[str],
     order: list[str],
     lookback: int,
-    rows_per_chunk: int = ROWS_PER_CHUNK,
+    rows_per_chunk: int | None = None,
     widths: Widths | None = None,
 ) -> Series:
     """Prepare `df` for windows that reach at most `lookback` rows back.
@@ -134,12 +145,19 @@ def without_copies(s: Series) -> Series:
     return replace(s, df=s.df.where(~F.col(COPY)))
 
 
+def stored(s: Series, name: str) -> Series:
+    """The rows without copies, written once if a following step would have to derive them twice."""
+    s = without_copies(s)
+    return replace(s, df=stage(s.df, name)) if s.cut else s
+
+
 def streak(s: Series, flag: str, name: str, initial: str | None = None) -> Series:
     """Number of consecutive rows with `flag` true up to and including the row, as column `name`.
 
     `initial` names a column with the run that the key brings along from before its first row here.
 
     The run inside a chunk is counted locally; one summary row per chunk then says how long a run enters the next one.
+    Chunks make this read `s` twice, so pass costly rows through `stored` first.
     """
     s = without_copies(s)
     keys = list(s.keys)
@@ -203,19 +221,20 @@ def sessions(s: Series, gap_seconds: float, latest: list[str], maxima: list[str]
             *(F.max(m).alias(m) for m in maxima),
         )
     )
-    result = ["started_at", "last_seen_at", "occurrence_count", "_latest", *maxima]
     shown = [*keys, "started_at", "last_seen_at", "occurrence_count", *maxima,
              *(F.col(f"_latest.{c}").alias(c) for c in latest)]
     if not s.cut:
         return within.select(*shown)
+    # Inner intervals of a chunk are too far apart to merge, so they stay with their chunk; all edges of a key meet.
     within = within.withColumn("_count", F.max("_no").over(Window.partitionBy(*keys, CHUNK)))
     at_edge = (F.col("_no") == 1) | (F.col("_no") == F.col("_count"))
-    by_key = Window.partitionBy(*keys).orderBy("started_at")
+    place = F.when(~at_edge, F.col(CHUNK))
+    meeting = Window.partitionBy(*keys, "_place").orderBy("started_at")
     across = (
-        within.where(at_edge)
-        .withColumn("_opens", opens(F.col("started_at"), F.lag("last_seen_at").over(by_key)))
-        .withColumn("_no", F.sum("_opens").over(by_key))
-        .groupBy(*keys, "_no").agg(
+        within.withColumn("_place", place)
+        .withColumn("_opens", opens(F.col("started_at"), F.lag("last_seen_at").over(meeting)))
+        .withColumn("_no", F.sum("_opens").over(meeting))
+        .groupBy(*keys, "_place", "_no").agg(
             F.min("started_at").alias("started_at"),
             F.max_by("_latest", "last_seen_at").alias("_latest"),
             F.sum("occurrence_count").alias("occurrence_count"),
@@ -223,5 +242,4 @@ def sessions(s: Series, gap_seconds: float, latest: list[str], maxima: list[str]
             *(F.max(m).alias(m) for m in maxima),
         )
     )
-    merged = within.where(~at_edge).select(*keys, *result).unionByName(across.select(*keys, *result))
-    return merged.select(*shown)
+    return across.select(*shown)

@@ -133,7 +133,7 @@ def stream_closed_intervals(spark, sf):
 
 
 @query("T5 S7 J5 M12", sql(f"""select concat('multivariate:', service_name) as fingerprint, started_at as created_at,
-    last_seen_at, occurrence_count::int as occurrence_count, case when critical then 'CRITICAL' else 'WARNING' end
+    last_seen_at, occurrence_count, case when critical then 'CRITICAL' else 'WARNING' end
     as severity, score as anomaly_score from ({_HIGH_ALERTS})""", "clean"))
 def stream_alerts(spark, sf):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)

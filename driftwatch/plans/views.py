@@ -10,7 +10,7 @@ from driftwatch.functions.columns import vote
 from driftwatch.operators.cleaning import repair, to_narrow
 from driftwatch.operators.evaluation import worst_z
 from driftwatch.operators.rolling import add_features, add_trend, features
-from driftwatch.operators.series import ROWS_PER_CHUNK, Widths, measure, series
+from driftwatch.operators.series import Widths, measure, series
 
 SCALE = 6
 
@@ -30,19 +30,18 @@ def as_events(raw: DataFrame) -> DataFrame:
 
 def ticks_of(ev: DataFrame) -> DataFrame:
     """One wide tick per event, with missing memory values and values outside the bounds."""
-    v, service = F.col("value"), (F.col("user_id") % 8).cast("string")
-    return ev.select(
+    return ev.selectExpr(
         "event_id",
-        F.col("ts").alias("timestamp"),
-        F.concat(F.lit("svc-"), service).alias("service_name"),
-        F.concat(F.lit("host-"), service).alias("host"),
-        v.alias("cpu_usage"),
-        F.when(F.col("event_id") % 97 != 0, v * 0.5 + 20.0).alias("memory_usage"),
-        (v * 10.0).alias("request_latency_ms"),
-        (v - 5.0).alias("requests_per_sec"),
-        (v / 200.0).alias("error_rate"),
-        F.floor(v).cast("double").alias("db_connections"),
-        (40.0 + (F.col("event_id") % 1000).cast("double") * 0.05).alias("disk_usage"),
+        "ts AS timestamp",
+        "concat('svc-', string(user_id % 8)) AS service_name",
+        "concat('host-', string(user_id % 8)) AS host",
+        "value AS cpu_usage",
+        "CASE WHEN event_id % 97 <> 0 THEN value * 0.5D + 20D END AS memory_usage",
+        "value * 10D AS request_latency_ms",
+        "value - 5D AS requests_per_sec",
+        "value / 200D AS error_rate",
+        "double(floor(value)) AS db_connections",
+        "40D + double(event_id % 1000) * 0.05D AS disk_usage",
     )
 
 
@@ -54,7 +53,7 @@ def clean_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(ticks(spark, sf_dir))
 
 
-def widths(spark: SparkSession, sf_dir: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> Widths:
+def widths(spark: SparkSession, sf_dir: str, rows_per_chunk: int | None = None) -> Widths:
     """Chunk widths per service, measured on the raw ticks and valid for everything derived from them."""
     return measure(ticks(spark, sf_dir), ["service_name"], "timestamp", rows_per_chunk)
 
@@ -69,20 +68,17 @@ def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels; every 500th event has a second line with the same key."""
-    ev = events(spark, sf_dir)
-    service, day = F.col("user_id") % 8, F.day("ts")
-    bad = F.col("value") > 100
-    kind = (day + service) % 3
-    copies = F.when(F.col("event_id") % 500 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    return ev.select(
-        F.col("ts").alias("timestamp"),
-        F.concat(F.lit("svc-"), service.cast("string")).alias("service_name"),
-        bad.alias("is_anomaly"),
-        F.when(bad, F.col("event_type")).otherwise("normal").alias("anomaly_type"),
-        F.when(bad, F.concat(F.lit("ep-"), service.cast("string"), F.lit("-"), day.cast("string"))).alias("episode_id"),
-        F.when(~bad, "none").when(kind == 0, "mild").when(kind == 1, "moderate").otherwise("severe").alias("severity"),
-        F.when(bad, F.hour("ts") / 24.0).otherwise(0.0).alias("progress"),
-        F.explode(copies).alias("copy_no"),
+    kind = "(day(ts) + user_id % 8) % 3"
+    return events(spark, sf_dir).selectExpr(
+        "ts AS timestamp",
+        "concat('svc-', string(user_id % 8)) AS service_name",
+        "value > 100 AS is_anomaly",
+        "CASE WHEN value > 100 THEN event_type ELSE 'normal' END AS anomaly_type",
+        "CASE WHEN value > 100 THEN concat('ep-', string(user_id % 8), '-', string(day(ts))) END AS episode_id",
+        f"CASE WHEN value <= 100 THEN 'none' WHEN {kind} = 0 THEN 'mild' WHEN {kind} = 1 THEN 'moderate'"
+        " ELSE 'severe' END AS severity",
+        "CASE WHEN value > 100 THEN hour(ts) / 24D ELSE 0D END AS progress",
+        "explode(CASE WHEN event_id % 500 = 0 THEN array(0, 1) ELSE array(0) END) AS copy_no",
     )
 
 

@@ -43,12 +43,10 @@ def append_json(df: DataFrame, path: str) -> None:
 
 
 def write_by_date(df: DataFrame, path: str, ts: str = "timestamp", mode: str = "append") -> None:
-    """Parquet partitioned by day, clustered by it first so that a day gets few files.
-
-    A day may hold most rows, so the rows of one day are spread over tasks by their hour as well.
-    """
-    day = F.to_date(ts)
-    df.withColumn("date", day).repartition("date", F.hour(ts)).write.mode(mode).partitionBy("date").parquet(path)
+    """Parquet partitioned by day. The rows of a day are brought together first, so that it gets few files; a day with
+    many rows is split again by the adaptive planner."""
+    dated = df.withColumn("date", F.to_date(ts))
+    dated.hint("rebalance", F.col("date")).write.mode(mode).partitionBy("date").parquet(path)
 
 
 def read_by_date(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

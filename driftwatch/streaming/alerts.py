@@ -2,7 +2,9 @@
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -12,7 +14,7 @@ from driftwatch.streaming.windows import DELAY
 
 # Facts of the newest reading that an alert shows.
 FACTS = ["host", "ensemble_score", "severity"]
-STATE = "created long, last_seen long, count int, rank int, host string, score double"
+STATE = "created long, last_seen long, count long, rank int, host string, score double"
 CHANGES = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("fingerprint", T.StringType()),
@@ -21,15 +23,55 @@ CHANGES = T.StructType([
     T.StructField("created_at", T.TimestampType()),
     T.StructField("last_seen_at", T.TimestampType()),
     T.StructField("resolved_at", T.TimestampType()),
-    T.StructField("occurrence_count", T.IntegerType()),
+    T.StructField("occurrence_count", T.LongType()),
     T.StructField("severity", T.StringType()),
     T.StructField("host", T.StringType()),
     T.StructField("anomaly_score", T.DoubleType()),
 ])
 
 
+class Alert(NamedTuple):
+    """Anomalies that belong together; times in microseconds."""
+
+    created: int
+    last_seen: int
+    count: int
+    rank: int
+    host: str
+    score: float
+
+
+def intervals(rows: pd.DataFrame, gap: int) -> list[Alert]:
+    """The alerts within one batch of rows of a fingerprint, in order of time."""
+    at = rows["timestamp"].to_numpy().astype("datetime64[us]").astype("int64")
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    rank = rows["severity"].map(SEVERITIES.index).to_numpy()[order]
+    host, score = rows["host"].to_numpy()[order], rows["ensemble_score"].to_numpy()[order]
+    first = np.flatnonzero(np.concatenate([[True], np.diff(at) > gap]))
+    last = np.append(first[1:], len(at)) - 1
+    return [
+        Alert(int(at[a]), int(at[b]), int(b - a + 1), int(rank[a:b + 1].max()), host[b], float(score[b]))
+        for a, b in zip(first, last)
+    ]
+
+
+def merged(alerts: list[Alert], gap: int) -> list[Alert]:
+    """Join alerts that are at most `gap` apart: facts of the newest, highest severity, all readings counted."""
+    out: list[Alert] = []
+    for alert in sorted(alerts):
+        if out and alert.created - out[-1].last_seen <= gap:
+            old = out[-1]
+            newest = alert if alert.last_seen >= old.last_seen else old
+            out[-1] = Alert(old.created, newest.last_seen, old.count + alert.count, max(old.rank, alert.rank),
+                            newest.host, newest.score)
+        else:
+            out.append(alert)
+    return out
+
+
 class AlertLifecycle(StatefulProcessor):
-    """One active alert per fingerprint; times are kept in microseconds.
+    """One active alert per fingerprint.
 
     An anomaly later than the gap closes the old alert and opens a new one, even if the timer has not fired yet. The
     timer closes an alert once the watermark has passed its last reading by more than the gap.
@@ -42,48 +84,38 @@ class AlertLifecycle(StatefulProcessor):
         self.handle = handle
         self.alert = handle.getValueState("alert", STATE)
 
-    def _change(self, fingerprint, alert, resolved: bool) -> dict:
-        created, last_seen, count, rank, host, score = alert
-        stamp = hashlib.sha256(f"{fingerprint}|{created}".encode()).hexdigest()
-
+    def _change(self, fingerprint: str, alert: Alert, resolved: bool) -> dict:
         def at(micros):
             return pd.Timestamp(micros, unit="us")
         return {
-            "id": stamp, "fingerprint": fingerprint, "version": 2 * count + resolved,
+            "id": hashlib.sha256(f"{fingerprint}|{alert.created}".encode()).hexdigest(),
+            "fingerprint": fingerprint, "version": 2 * alert.count + resolved,
             "status": "RESOLVED" if resolved else "ACTIVE",
-            "created_at": at(created), "last_seen_at": at(last_seen),
-            "resolved_at": at(last_seen + self.gap) if resolved else pd.NaT,
-            "occurrence_count": count, "severity": SEVERITIES[rank], "host": host, "anomaly_score": score,
+            "created_at": at(alert.created), "last_seen_at": at(alert.last_seen),
+            "resolved_at": at(alert.last_seen + self.gap) if resolved else pd.NaT,
+            "occurrence_count": alert.count, "severity": SEVERITIES[alert.rank], "host": alert.host,
+            "anomaly_score": alert.score,
         }
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        fingerprint = key[0]
-        # One micro-batch of one fingerprint; the source's batch limit bounds it.
-        fresh = pd.concat(list(rows))
-        fresh = fresh.assign(_at=fresh["timestamp"].astype("datetime64[us]").astype("int64")).sort_values("_at")
-        alert = tuple(self.alert.get()) if self.alert.exists() else None
-        changes = []
-        for at, host, score, severity in zip(fresh["_at"], fresh["host"], fresh["ensemble_score"], fresh["severity"]):
-            rank = SEVERITIES.index(severity)
-            if alert and at - alert[1] > self.gap:
-                changes.append(self._change(fingerprint, alert, True))
-                alert = None
-            if alert is None:
-                alert = (int(at), int(at), 1, rank, host, float(score))
-            else:
-                newest = at >= alert[1]
-                alert = (alert[0], max(int(at), alert[1]), alert[2] + 1, max(rank, alert[3]),
-                         host if newest else alert[4], float(score) if newest else alert[5])
-        changes.append(self._change(fingerprint, alert, False))
-        self.alert.update(alert)
+        # Batches of rows are reduced to alerts one after the other, so the rows are never held together.
+        alerts = [Alert(*self.alert.get())] if self.alert.exists() else []
+        opened = alerts[0].created if alerts else None
+        for part in rows:
+            alerts = merged(alerts + intervals(part, self.gap), self.gap)
+        if opened is not None:
+            # An open alert keeps its identity when an earlier reading joins it late.
+            alerts = [a._replace(created=opened) if a.created < opened <= a.last_seen else a for a in alerts]
+        *closed, active = alerts
+        self.alert.update(tuple(active))
         for timer in self.handle.listTimers():
             self.handle.deleteTimer(timer)
-        self.handle.registerTimer((alert[1] + self.gap) // 1000 + 1)
-        yield pd.DataFrame(changes)
+        self.handle.registerTimer((active.last_seen + self.gap) // 1000 + 1)
+        yield pd.DataFrame([self._change(key[0], a, True) for a in closed] + [self._change(key[0], active, False)])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.alert.exists():
-            yield pd.DataFrame([self._change(key[0], tuple(self.alert.get()), True)])
+            yield pd.DataFrame([self._change(key[0], Alert(*self.alert.get()), True)])
             self.alert.clear()
 
     def close(self) -> None:

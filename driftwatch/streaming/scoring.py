@@ -14,14 +14,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from driftwatch.detectors.bundle import Bundle, score
 from driftwatch.operators.rolling import REPLAY_LOOKBACK, add_features, add_trend
-from driftwatch.operators.series import ROWS_PER_CHUNK, measure, series, streak
+from driftwatch.operators.series import measure, series, stored, streak
 from driftwatch.sources.tables import write_batch
 
 STREAK = "consecutive_anomalous_ticks"
 
 
 def score_step(path: str, bundle: Bundle, keys=("service_name",), order=("timestamp", "event_id"),
-               scale: int | None = 4, rows_per_chunk: int = ROWS_PER_CHUNK) -> Callable[[DataFrame, int], None]:
+               scale: int | None = 4, rows_per_chunk: int | None = None) -> Callable[[DataFrame, int], None]:
     """Micro-batch step: scored rows to `path/scored`, rows older than their key's history to `path/late`."""
     keys, order = list(keys), list(order)
 
@@ -32,10 +32,10 @@ def score_step(path: str, bundle: Bundle, keys=("service_name",), order=("timest
         if batch_id == 0:
             history, last, fresh = None, None, batch
         else:
-            stored = spark.read.parquet(f"{path}/state/{(batch_id - 1) % 2}").where(F.col("_batch") == batch_id - 1)
-            last = stored.where(F.col("_age") == 1).select(
+            before = spark.read.parquet(f"{path}/state/{(batch_id - 1) % 2}").where(F.col("_batch") == batch_id - 1)
+            last = before.where(F.col("_age") == 1).select(
                 *keys, F.struct(*order).alias("_last"), F.col(STREAK).alias("_brought"))
-            history = stored.select(*batch.columns)
+            history = before.select(*batch.columns)
             placed = batch.join(last.drop("_brought"), keys, "left")
             late = F.col("_last").isNotNull() & (F.struct(*order) <= F.col("_last"))
             fresh = placed.where(~late).drop("_last")
@@ -47,7 +47,7 @@ def score_step(path: str, bundle: Bundle, keys=("service_name",), order=("timest
         widths = measure(rows, keys, order[0], rows_per_chunk)
         s = add_features(series(rows, keys, order, REPLAY_LOOKBACK, widths=widths), scale=scale)
         s = add_trend(score(s, bundle), "ensemble_score")
-        s = replace(s, df=s.df.where("_new"))
+        s = stored(replace(s, df=s.df.where("_new")), "stream-scores")
         if last is not None:
             s = replace(s, df=s.df.join(last.drop("_last"), keys, "left"))
         s = streak(s, "ensemble_is_anomaly", STREAK, "_brought" if last is not None else None)
