@@ -72,7 +72,7 @@ def fit_nodes(rows: DataFrame, columns: list[Column], key: list[str], trees: int
         .select("tree", "draw", *(c.cast("double").alias(x) for c, x in zip(columns, names)))
     )
 
-    def grow_tree(tree_key, drawn_rows: pd.DataFrame) -> pd.DataFrame:
+    def grow_tree(tree_key: tuple, drawn_rows: pd.DataFrame) -> pd.DataFrame:
         tree = int(tree_key[0])
         chosen = drawn_rows.sort_values(["draw", *names]).head(size)[names].to_numpy()
         nodes = grow(chosen, np.random.default_rng([seed, tree]), depth)
