@@ -17,7 +17,9 @@ COPY = "_copy"
 WIDTH = "_width"
 
 ROWS_PER_CHUNK = 500_000
-SMALLEST_CHUNK = 200_000
+SMALLEST_CHUNK = 50_000
+# Tables up to this size are not worth cutting.
+SMALL_TABLE = 200_000
 CELL_SECONDS = 60
 # At most this many keys can hold more than 1/MAX_BUSY_KEYS of the rows, which bounds the broadcast table of widths.
 MAX_BUSY_KEYS = 20_000
@@ -50,12 +52,13 @@ def measure(df: DataFrame, keys: list[str], ts: str, rows_per_chunk: int | None
     and pass the result on to the steps derived from it.
     """
     n = df.count()
+    smallest = rows_per_chunk or SMALL_TABLE
     if rows_per_chunk is None:
         cores = df.sparkSession.sparkContext.defaultParallelism
-        rows_per_chunk = min(ROWS_PER_CHUNK, max(SMALLEST_CHUNK, n // (4 * cores)))
+        rows_per_chunk = min(ROWS_PER_CHUNK, max(SMALLEST_CHUNK, n // (16 * cores)))
     kinds = T.StructType([*df.select(*keys).schema.fields, T.StructField(WIDTH, T.LongType())])
     limit = max(rows_per_chunk, n / MAX_BUSY_KEYS)
-    if n <= limit:
+    if n <= max(limit, smallest):
         return Widths(tuple(keys), [], kinds)
     cell_micros = CELL_SECONDS * 1_000_000
     busy = (
@@ -66,7 +69,8 @@ def measure(df: DataFrame, keys: list[str], ts: str, rows_per_chunk: int | None
     # Whole minutes per chunk, or a part of a minute where that alone exceeds the chunk.
     cells = F.lit(rows_per_chunk) / F.col("_peak")
     micros = F.floor(F.when(cells >= 1, F.floor(cells)).otherwise(cells) * cell_micros)
-    return Widths(tuple(keys), busy.select(*keys, F.greatest(micros, F.lit(1)).cast("long")).collect(), kinds)
+    width = F.greatest(micros, F.lit(1)).cast("long").alias(WIDTH)
+    return Widths(tuple(keys), busy.select(*keys, width).collect(), kinds)
 
 
 @dataclass(frozen=True)
