@@ -66,6 +66,29 @@ REASONS = {
     ),
 }
 
+# The parts of an explanation sentence.
+SENTENCE_START = "This incident looks "
+SENTENCE_VERDICTS = ("likely to become severe", "unlikely to become severe")
+SENTENCE_CONFIDENCE = (" (", " confidence)")
+SENTENCE_REASONS = (", mainly because ", ", and ", ". A smaller factor: ")
+SENTENCE_END = "."
+
+# The daily load curve, its lowest value and its peak hour (UTC).
+LOAD_FLOOR = 0.3
+LOAD_PEAK_HOUR = 14.0
+
+# Settings of the detectors and of the escalation classifier.
+FOREST_TREES = 200
+FOREST_SAMPLE = 256
+FOREST_CONTAMINATION = 0.10
+BOOSTED_TREES = 100
+BOOSTED_DEPTH = 3
+BOOSTED_STEP = 0.1
+SEED = 42
+ZSCORE_GRID = (1.0, 6.0, 0.25)
+FOREST_GRID_POINTS = 40
+SEQUENCE_GRID = (60, 50.0, 99.5)
+
 # Inputs of the escalation classifier, in order.
 ESCALATION_FEATURES = ["votes", "ensemble_score", "zscore_value", "iforest_score", "lstm_error"]
 

@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.ml.feature import PCAModel, StandardScalerModel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from driftwatch.catalog import FEATURES, SEQUENCE_ROWS
+from driftwatch.catalog import FEATURES, SEQUENCE_ROWS, ZSCORE_GRID
 from driftwatch.detectors import forest as isolation
 from driftwatch.detectors.forest import Forest
 from driftwatch.detectors.sequence import COMPONENTS, SequenceModel
@@ -151,7 +151,7 @@ def fit_bundle(rows: DataFrame, label: str = "is_anomaly", split: str = "split",
     train = rows.where(F.col(split) == "train")
     normal = train.where(~F.col(label))
 
-    grid = evaluation.step_grid(1.0, 6.0, 0.25)
+    grid = evaluation.step_grid(*ZSCORE_GRID)
     bundle = Bundle(scaler=scaler, zscore_threshold=_best(
         train.withColumn("v", evaluation.worst_z()), label, grid, True))
 

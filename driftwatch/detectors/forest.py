@@ -11,10 +11,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from driftwatch.catalog import FOREST_CONTAMINATION as CONTAMINATION, FOREST_SAMPLE as SAMPLE, FOREST_TREES as TREES, SEED
 from driftwatch.operators.quantiles import percentiles
 from driftwatch.storage import stage
 
-TREES, SAMPLE, CONTAMINATION, SEED = 200, 256, 0.10, 42
 POOL = 64 * SAMPLE
 NODES = "tree int, node int, feature int, threshold double, left int, right int, path double"
 HASHES = 1 << 40

@@ -5,9 +5,14 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from driftwatch.catalog import ESCALATION_FEATURES
+from driftwatch.catalog import (
+    BOOSTED_DEPTH as DEPTH,
+    BOOSTED_STEP as STEP,
+    BOOSTED_TREES as TREES,
+    ESCALATION_FEATURES,
+    SEED,
+)
 
-TREES, DEPTH, STEP, SEED = 100, 3, 0.1, 42
 # A missing value becomes a number outside the feature's range, which a split can set apart.
 MISSING = {"zscore_value": -1.0, "iforest_score": -10.0, "lstm_error": -1.0}
 

@@ -7,8 +7,18 @@ import pandas as pd
 from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from driftwatch.catalog import ESCALATION_FEATURES, REASONS, TOP_METRICS
-from driftwatch.escalation.classifier import DEPTH, inputs
+from driftwatch.catalog import (
+    BOOSTED_DEPTH as DEPTH,
+    ESCALATION_FEATURES,
+    REASONS,
+    SENTENCE_CONFIDENCE,
+    SENTENCE_END,
+    SENTENCE_REASONS,
+    SENTENCE_START,
+    SENTENCE_VERDICTS,
+    TOP_METRICS,
+)
+from driftwatch.escalation.classifier import inputs, predict
 from driftwatch.functions.columns import percent_text
 from driftwatch.storage import new_path
 
@@ -132,15 +142,16 @@ def sentence(probability: Column, top: Column) -> Column:
 
     def reason(i, lead):
         return F.when(F.size(reasons) > i, F.concat(F.lit(lead), F.get(reasons, F.lit(i)))).otherwise("")
-    verdict = F.when(probability >= 0.5, "likely to become severe").otherwise("unlikely to become severe")
+    likely, unlikely = SENTENCE_VERDICTS
+    before, after = SENTENCE_CONFIDENCE
     return F.concat(
-        F.lit("This incident looks "), verdict, F.lit(" ("), percent_text(probability), F.lit(" confidence)"),
-        reason(0, ", mainly because "), reason(1, ", and "), reason(2, ". A smaller factor: "), F.lit("."))
+        F.lit(SENTENCE_START), F.when(probability >= 0.5, likely).otherwise(unlikely),
+        F.lit(before), percent_text(probability), F.lit(after),
+        *(reason(i, lead) for i, lead in enumerate(SENTENCE_REASONS)), F.lit(SENTENCE_END))
 
 
 def explain(df: DataFrame, model: GBTClassificationModel, features: list[str] = ESCALATION_FEATURES) -> DataFrame:
     """Add probability, sentence and top contributions to scored readings; `df` needs the feature columns."""
-    from driftwatch.escalation.classifier import predict
     spark = df.sparkSession
     leaves = read_leaves(spark, model)
     told = predict(model, df, features).withColumn("contributions", contributions(spark, leaves, features))

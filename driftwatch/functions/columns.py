@@ -5,6 +5,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from driftwatch.catalog import (
     INTENSITY_MILD_BELOW,
     INTENSITY_MODERATE_BELOW,
+    LOAD_FLOOR,
+    LOAD_PEAK_HOUR,
     OFF_HOURS_BELOW,
     SEVERITIES,
     SEVERITY_BY_PROBABILITY,
@@ -41,8 +43,8 @@ def hour_cos(ts: Column) -> Column:
 
 def load_factor(ts: Column) -> Column:
     """Expected traffic by time of day: 1.0 at 14:00 UTC, 0.3 at 02:00 UTC."""
-    wave = 0.5 + 0.5 * F.cos(F.lit(2.0) * F.pi() * (hour_of_day(ts) - 14.0) / 24.0)
-    return F.least(F.greatest(0.3 + 0.7 * wave, F.lit(0.3)), F.lit(1.0))
+    wave = 0.5 + 0.5 * F.cos(F.lit(2.0) * F.pi() * (hour_of_day(ts) - LOAD_PEAK_HOUR) / 24.0)
+    return F.least(F.greatest(LOAD_FLOOR + (1.0 - LOAD_FLOOR) * wave, F.lit(LOAD_FLOOR)), F.lit(1.0))
 
 
 def off_hours(ts: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from driftwatch.catalog import Z_SCORES
+from driftwatch.catalog import FOREST_GRID_POINTS, SEQUENCE_GRID, Z_SCORES
 from driftwatch.functions.columns import metric_of_feature, ratio
 from driftwatch.operators.quantiles import percentiles
 
@@ -90,13 +90,14 @@ def step_grid(start: float, stop: float, step: float) -> list[float]:
     return [start + i * step for i in range(round((stop - start) / step))]
 
 
-def linear_grid(df: DataFrame, score: str, points: int = 40) -> list[float]:
+def linear_grid(df: DataFrame, score: str, points: int = FOREST_GRID_POINTS) -> list[float]:
     """Evenly spaced thresholds from the smallest to the largest score."""
     low, high = df.agg(F.min(score), F.max(score)).first()
     return [low + (high - low) * i / (points - 1) for i in range(points)]
 
 
-def percentile_grid(df: DataFrame, score: str, points: int = 60, first: float = 50.0, last: float = 99.5) -> list[float]:
+def percentile_grid(df: DataFrame, score: str, points: int = SEQUENCE_GRID[0], first: float = SEQUENCE_GRID[1],
+                    last: float = SEQUENCE_GRID[2]) -> list[float]:
     """Distinct percentiles of the score, spaced evenly in rank."""
     wanted = [first + (last - first) * i / (points - 1) for i in range(points)]
     return sorted(set(percentiles(df, score, wanted)))

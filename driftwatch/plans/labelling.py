@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from driftwatch.catalog import TRUTH, scenario_catalogue
+from driftwatch.catalog import SCENARIOS, TRUTH, scenario_catalogue
 from driftwatch.operators import labels
 from driftwatch.plans import views
 from driftwatch.plans.ingest import ntz
@@ -146,8 +146,11 @@ def unseen_kinds(spark, sf):
     return labels.unseen_scenarios(expected, seen)
 
 
-@query("J4", sql("""select 23::bigint - count(distinct anomaly_type) filter (anomaly_type in ('cpu_spike')) as unseen
-                    from truth where is_anomaly""", "truth"))
+_NAMES = ", ".join(f"('{n}')" for names in SCENARIOS.values() for n in names)
+
+
+@query("J4", sql(f"""select count(*) as unseen from (values {_NAMES}) c(name)
+    where name not in (select anomaly_type from truth where is_anomaly)""", "truth"))
 def unseen_scenario_count(spark, sf):
     rows = labels.unseen_scenarios(scenario_catalogue(spark), views.truth(spark, sf))
     return rows.agg(F.count("*").alias("unseen"))

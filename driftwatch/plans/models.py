@@ -108,7 +108,14 @@ def escalation_model(rows):
     return classifier.fit(rows.where("split = 'train'"), trees=BOOSTS)
 
 
-@query("S12 S14")
+@query("S12 S14", sql(f"""
+    , early as (select l.episode_id, l."timestamp", (l.severity = 'severe')::int as y from labelled l
+                where is_anomaly and progress <= 0.5 and episode_id is not null),
+    e as (select episode_id, row_number() over (order by min("timestamp")) <= (count(*) over () * 4) // 5 as train
+          from early group by episode_id),
+    r as (select case when train then 'train' else 'test' end as split, y from early join e using (episode_id))
+    select split, count(*) as "rows", sum(y)::bigint as severe,
+           (select count(*) from r where split = 'test') as meta_rows from r group by split""", "labelled"))
 def escalation_files(spark, sf):
     rows = escalation_rows(spark, sf)
     path = new_path(spark, "escalation")

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from driftwatch.catalog import FEATURES, METRICS, Z_SCORES
 from driftwatch.functions import columns
-from driftwatch.operators import rolling
+from driftwatch.operators import alerting, evaluation, rolling
 from driftwatch.operators.series import series, streak
 from driftwatch.plans import views
 from driftwatch.plans.ingest import ntz
@@ -110,8 +110,7 @@ def _top(i):
 @query("W11 O3", sql("select event_id, " + ", ".join(
     f"{_top(i)}.metric as metric_{i}, {_top(i)}.z as z_{i}" for i in (1, 2, 3)) + " from feats", "feats"))
 def triggering_metrics(spark, sf):
-    from driftwatch.operators.alerting import triggering_metrics as top
-    rows = views.feature_rows(spark, sf).withColumn("top", top(scale=SCALE))
+    rows = views.feature_rows(spark, sf).withColumn("top", alerting.triggering_metrics(scale=SCALE))
     return rows.select("event_id", *(c for i in (1, 2, 3) for c in (
         F.col("top")[i - 1]["metric"].alias(f"metric_{i}"), F.col("top")[i - 1]["z_score"].alias(f"z_{i}"))))
 
@@ -202,8 +201,7 @@ def squared_difference(spark, sf):
     round(max(worst), 6) as worst from (select service_name, greatest({', '.join(f'abs({c})' for c in Z_SCORES)})
     as worst from feats) group by service_name""", "feats"))
 def zscore_flags_per_service(spark, sf):
-    from driftwatch.operators.evaluation import worst_z
-    rows = views.feature_rows(spark, sf).withColumn("worst", worst_z())
+    rows = views.feature_rows(spark, sf).withColumn("worst", evaluation.worst_z())
     return rows.groupBy("service_name").agg(
         F.count("*").alias("rows"), F.count_if(F.col("worst") > 3.0).alias("flagged"),
         F.round(F.max("worst"), 6).alias("worst"))
