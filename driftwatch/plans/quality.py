@@ -103,14 +103,14 @@ def _scaler_sql(select):
     f"round(({f} - m_{f}) / case when s_{f} = 0 then 1 else s_{f} end, 6) as {f}" for f in FEATURES)
     + " from split, stats"))
 def scaled_features(spark, sf):
-    rows = split_rows(spark, sf)
+    rows = stage(split_rows(spark, sf).select("event_id", "split", *FEATURES), "split")
     scaled = Scaler.fit(rows.where("split = 'train'")).transform(rows)
     return scaled.select("event_id", *(F.round(f"{f}_scaled", 6).alias(f) for f in FEATURES))
 
 
 @query("M2", sql("select event_id, " + ", ".join(f"round({c}, 6) as {c}" for c in Z_SCORES) + " from feats", "feats"))
 def inverse_scaling(spark, sf):
-    rows = split_rows(spark, sf)
+    rows = stage(split_rows(spark, sf).select("event_id", "split", *FEATURES), "split")
     scaler = Scaler.fit(rows.where("split = 'train'"))
     back = scaler.inverse(scaler.transform(rows))
     return back.select("event_id", *(F.round(f"{c}_raw", 6).alias(c) for c in Z_SCORES))
