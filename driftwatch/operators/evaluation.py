@@ -35,7 +35,8 @@ def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
 def class_histogram(df: DataFrame, column: str, label: str = "is_anomaly", bins: int = 50) -> DataFrame:
     """Density histogram of each class over its own range; the last bin includes the maximum."""
     x = F.col(column)
-    # Two classes, so the range table has two rows.
+    df = df.withColumn(label, F.col(label).cast("boolean"))
+    # A boolean has at most three values, so the range table has at most three rows.
     ranges = df.groupBy(label).agg(
         F.min(x).alias("low"), F.max(x).alias("high"), F.count(x).alias("n"))
     width = (F.col("high") - F.col("low")) / bins

@@ -6,7 +6,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from driftwatch.catalog import RESOLVE_AFTER_SECONDS, SEVERITIES
@@ -14,15 +14,17 @@ from driftwatch.streaming.windows import DELAY
 
 # Facts of the newest reading that an alert shows.
 FACTS = ["host", "ensemble_score", "severity"]
+TIMES = ["created_at", "last_seen_at", "resolved_at"]
 STATE = "created long, last_seen long, count long, rank int, host string, score double"
+# Times cross the Python border as microseconds, which no time zone setting can shift.
 CHANGES = T.StructType([
     T.StructField("id", T.StringType()),
     T.StructField("fingerprint", T.StringType()),
     T.StructField("version", T.LongType()),
     T.StructField("status", T.StringType()),
-    T.StructField("created_at", T.TimestampType()),
-    T.StructField("last_seen_at", T.TimestampType()),
-    T.StructField("resolved_at", T.TimestampType()),
+    T.StructField("created_at", T.LongType()),
+    T.StructField("last_seen_at", T.LongType()),
+    T.StructField("resolved_at", T.LongType()),
     T.StructField("occurrence_count", T.LongType()),
     T.StructField("severity", T.StringType()),
     T.StructField("host", T.StringType()),
@@ -43,7 +45,7 @@ class Alert(NamedTuple):
 
 def intervals(rows: pd.DataFrame, gap: int) -> list[Alert]:
     """The alerts within one batch of rows of a fingerprint, in order of time."""
-    at = rows["timestamp"].to_numpy().astype("datetime64[us]").astype("int64")
+    at = rows["micros"].to_numpy()
     order = np.argsort(at, kind="stable")
     at = at[order]
     rank = rows["severity"].map(SEVERITIES.index).to_numpy()[order]
@@ -85,18 +87,20 @@ class AlertLifecycle(StatefulProcessor):
         self.alert = handle.getValueState("alert", STATE)
 
     def _change(self, fingerprint: str, alert: Alert, resolved: bool) -> dict:
-        def at(micros):
-            return pd.Timestamp(micros, unit="us")
         return {
             "id": hashlib.sha256(f"{fingerprint}|{alert.created}".encode()).hexdigest(),
             "fingerprint": fingerprint, "version": 2 * alert.count + resolved,
             "status": "RESOLVED" if resolved else "ACTIVE",
-            "created_at": at(alert.created), "last_seen_at": at(alert.last_seen),
-            "resolved_at": at(alert.last_seen + self.gap) if resolved else pd.NaT,
+            "created_at": alert.created, "last_seen_at": alert.last_seen,
+            "resolved_at": alert.last_seen + self.gap if resolved else None,
             "occurrence_count": alert.count, "severity": SEVERITIES[alert.rank], "host": alert.host,
             "anomaly_score": alert.score,
         }
 
+    @staticmethod
+    def _table(changes: list[dict]) -> pd.DataFrame:
+        return pd.DataFrame(changes).astype({"resolved_at": "Int64"})
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # Batches of rows are reduced to alerts one after the other, so the rows are never held together.
         alerts = [Alert(*self.alert.get())] if self.alert.exists() else []
@@ -111,11 +115,11 @@ class AlertLifecycle(StatefulProcessor):
         for timer in self.handle.listTimers():
             self.handle.deleteTimer(timer)
         self.handle.registerTimer((active.last_seen + self.gap) // 1000 + 1)
-        yield pd.DataFrame([self._change(key[0], a, True) for a in closed] + [self._change(key[0], active, False)])
+        yield self._table([self._change(key[0], a, True) for a in closed] + [self._change(key[0], active, False)])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.alert.exists():
-            yield pd.DataFrame([self._change(key[0], Alert(*self.alert.get()), True)])
+            yield self._table([self._change(key[0], Alert(*self.alert.get()), True)])
             self.alert.clear()
 
     def close(self) -> None:
@@ -127,8 +131,10 @@ def alert_changes(candidates: DataFrame, gap_seconds: float = RESOLVE_AFTER_SECO
 
     Needs the RocksDB state store (`spark.sql.streaming.stateStore.providerClass`).
     """
-    return (
-        candidates.select("fingerprint", "timestamp", *FACTS).withWatermark("timestamp", delay)
+    changes = (
+        candidates.select("fingerprint", "timestamp", F.unix_micros("timestamp").alias("micros"), *FACTS)
+        .withWatermark("timestamp", delay)
         .groupBy("fingerprint")
         .transformWithStateInPandas(AlertLifecycle(gap_seconds), CHANGES, "append", "EventTime")
     )
+    return changes.withColumns({c: F.timestamp_micros(c) for c in TIMES})

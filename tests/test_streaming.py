@@ -107,7 +107,7 @@ def test_summaries_hold_back_open_windows_and_drop_late_rows(spark):
 
 def rows_of(readings):
     return pd.DataFrame({
-        "timestamp": pd.to_datetime([AT.replace(tzinfo=None) + timedelta(seconds=t) for t, _ in readings]),
+        "micros": [t * 1_000_000 for t, _ in readings],
         "severity": [s for _, s in readings], "host": [str(t) for t, _ in readings],
         "ensemble_score": [float(t) for t, _ in readings],
     })
