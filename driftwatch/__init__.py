@@ -1,0 +1,8 @@
+"""Server-metric anomaly and alert analytics on PySpark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with their code, so the workers need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

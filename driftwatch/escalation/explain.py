@@ -98,13 +98,14 @@ def shapley(x: np.ndarray, leaves: Leaves) -> np.ndarray:
 
 def contributions(spark: SparkSession, leaves: Leaves, features: list[str] = ESCALATION_FEATURES) -> Column:
     """Struct with one contribution per feature."""
-    shared = spark.sparkContext.broadcast(leaves)
+    shared = spark.sparkContext.broadcast((leaves.value, leaves.feature, leaves.low, leaves.high, leaves.share))
     names = list(features)
 
     @F.pandas_udf(", ".join(f"{f} double" for f in names))
     def explain(*columns: pd.Series) -> pd.DataFrame:
         x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
-        parts = [shapley(x[i:i + 1000], shared.value) for i in range(0, len(x), 1000)]
+        known = Leaves(*shared.value)
+        parts = [shapley(x[i:i + 1000], known) for i in range(0, len(x), 1000)]
         return pd.DataFrame(np.vstack(parts) if parts else x, columns=names)
 
     return explain(*inputs(names))
