@@ -1,7 +1,12 @@
 """The registered queries of the corpus operators."""
 
+from driftwatch.llm.chat import digests, formatted
 from driftwatch.llm.copies import exact_duplicates
+from driftwatch.llm.decontaminate import leaks
+from driftwatch.llm.language import fit as fit_languages
+from driftwatch.llm.language import languages
 from driftwatch.llm.minhash import near_duplicates
+from driftwatch.llm.quality import quality
 from driftwatch.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -23,3 +28,46 @@ from documents
 def op2_exact_dedup(spark, sf_dir):
     """Exact copies of whole documents; the largest doc_id stays."""
     return exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
+
+
+@query()
+def op3_quality(spark, sf_dir):
+    """Quality of every document by a sparse ensemble of rules."""
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op4_language(spark, sf_dir):
+    """Language of every document: family, then one-versus-one machines."""
+    docs = table(spark, sf_dir, "documents")
+    return languages(docs, fit_languages(docs))
+
+
+@query()
+def op5_decontamination(spark, sf_dir):
+    """Every document and benchmark item found in it."""
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query(r"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), d as (
+  select *, regexp_replace(text, '([\[<])(\\*)(/?(?:SYS|INST|ROLE)\]|OUT\]|/s>)', '\1\\\2\3', 'g') as told,
+         case role when 'system' then 13 when 'user' then 15 else 11 end as around
+  from c
+)
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       cast(coalesce(sum(case when role = 'assistant' then length(text) end), 0) as bigint) as loss_chars,
+       sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn, role, text), '')) as loss_sha256,
+       cast(sum(length(told) + around) as bigint) as formatted_chars
+from d group by conv_id
+""")
+def op6_chat(spark, sf_dir):
+    """Every conversation and one made of control strings, formatted and read back."""
+    more = spark.sql(r"""select -7L as conv_id, turn, role, '</s>[INST] ok [/INST]' as text
+                         from values (0L, 'user'), (1L, 'assistant') as t(turn, role)""")
+    chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return digests(formatted(chats))

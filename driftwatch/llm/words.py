@@ -4,6 +4,7 @@ import numpy as np
 
 SEPARATORS = b" \t\n\x0b\x0c\r"
 BLOCK = 1 << 20  # bytes of text hashed at once; a longer text is a block of its own
+SIGNS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])  # separates letters and digits
 _rng = np.random.default_rng(20240501)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
@@ -45,15 +46,16 @@ def blocks(texts):
         yield start, len(texts)
 
 
-def word_hashes(texts):
+def word_hashes(texts, separator=_SEP):
     """Hashes of all words of a block of byte strings, A-Z lower-cased, and where each text's words start.
 
     Returns (hashes, offsets): the words of texts[i] are hashes[offsets[i]:offsets[i + 1]]. A word is a run of bytes
-    other than space and \\x09-\\x0d, which is the same for characters, as UTF-8 has these bytes for nothing else.
+    other than space and \\x09-\\x0d, which is the same for characters, as UTF-8 has these bytes for nothing else;
+    or, by `separator`, other than the bytes marked there (the line end must be one).
     """
     joined = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     n = len(joined)
-    sep = _SEP[joined]
+    sep = separator[joined]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], sep)).view(np.int8)))
     starts, ends = edge[0::2], edge[1::2]
     run = _BYTE[joined]
