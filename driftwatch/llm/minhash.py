@@ -5,15 +5,15 @@ only under the rarest ones: two sets that agree in at least t coordinates must m
 COORDINATES - t + 1 of any common order (prefix), and the long lists at the end of that order are skipped and counted on
 the signatures instead. t is so low that a pair at the wanted similarity is missed with a probability below `MISS`.
 Short lists give all their pairs; a long list compares its members with one hub, and what stays in several
-components after that is narrowed by an exact bound before the next hubs. All pairs that agree in t coordinates are
-confirmed on the full sets.
+components after that is narrowed by an exact bound before the next hubs. So a large group of near copies costs one pair for each
+member, not all pairs. All pairs that agree in t coordinates are confirmed on the full sets.
 """
 
 import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftwatch.llm import words
@@ -22,8 +22,10 @@ from driftwatch.storage import stage
 
 COORDINATES = 32
 MISS = 1e-8
-SHORT = 24  # members of a list that gives all its pairs at once; four times as many in each further round
-COUNTERS = 1 << 18  # of the rarity order and of the filters on ids, whatever the number of documents
+SHORT, GROWTH = 24, 16  # members of a list that gives all its pairs at once, and its growth in each further round
+RARE = 8  # members that share a shingle, at most, for all their pairs to be compared when long lists are narrowed
+COUNTERS = 1 << 18  # of the rarity order, whatever the number of documents
+ID_CLASSES = 1 << 21  # of the filters on ids, likewise
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 
 
@@ -76,7 +78,7 @@ def signatures(docs: DataFrame, size: int, coordinates: int = COORDINATES) -> Da
 def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """(doc_id, set) of the documents in `ids` (doc_id), from their texts.
 
-    A filter of at most COUNTERS id classes, which is broadcast, spares most other texts; the classes that it lets
+    A filter of at most ID_CLASSES id classes, which is broadcast, spares most other texts; the classes that it lets
     through besides are harmless, as callers join on doc_id.
     """
     def run(batches):
@@ -90,7 +92,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
                                                              pa.array(flat.view(np.int64), pa.int64()))],
                     ["doc_id", "set"])
 
-    kind = F.pmod(F.xxhash64("doc_id"), F.lit(COUNTERS)).alias("kind")
+    kind = F.pmod(F.xxhash64("doc_id"), F.lit(ID_CLASSES)).alias("kind")
     wanted = F.broadcast(ids.select(kind).distinct())
     some = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("kind", kind)
     return some.join(wanted, "kind", "left_semi").select("doc_id", "text").mapInArrow(
@@ -124,22 +126,53 @@ def _kinds(tokens):
 
 
 def postings(sets: DataFrame, prefix: int) -> DataFrame:
-    """(token, doc_id) under the `prefix` rarest coordinate values of every set."""
+    """(token, doc_id, n, code) under the `prefix` rarest coordinate values of every set.
+
+    n is the size of the set; code holds the last two bits of the first 32 coordinates, which tells most pairs apart at once.
+    """
     counts = sets.sparkSession.sparkContext.broadcast(rarity(sets))
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            tokens = _tokens(batch.column(1))
+            tokens = _tokens(batch.column(2))
             order = np.lexsort((words.mix(tokens), counts.value[_kinds(tokens)]))[:, :prefix]
             picked = np.take_along_axis(tokens, order, axis=1)
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            bits = (tokens[:, :32] & np.uint64(3)) << (2 * np.arange(min(32, tokens.shape[1]), dtype=np.uint64))
+            code = np.bitwise_or.reduce(bits, axis=1).view(np.int64)
+            each = [np.repeat(c, picked.shape[1]) for c in (
+                batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), code)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(picked.ravel().view(np.int64)), pa.array(np.repeat(ids, picked.shape[1]), pa.int64())],
-                ["token", "doc_id"])
+                [pa.array(picked.ravel().view(np.int64)), *(pa.array(c, pa.int64()) for c in each)],
+                ["token", "doc_id", "n", "code"])
+
+    return sets.select("doc_id", F.col("n_shingles").alias("n"), "sig").mapInArrow(
+        run, "token long, doc_id long, n long, code long")
+
+
+def _alike(least: int, coordinates: int, num: int, den: int) -> str:
+    """Condition on a pair (na, ca), (nb, cb) of sizes and codes that all linked pairs meet which agree in `least` coordinates."""
+    seen = min(32, coordinates)
+    differ = "bit_count(((ca ^ cb) | shiftright(ca ^ cb, 1)) & 6148914691236517205L)"
+    return (f"{seen} - {differ} >= {least - (coordinates - seen)} and least(na, nb) * {den} >= greatest(na, nb) * {num}")
+
 
-    return sets.select("doc_id", "sig").mapInArrow(run, "token long, doc_id long")
+def _sides(df: DataFrame, key: str, *more: str) -> tuple[DataFrame, DataFrame]:
+    return tuple(df.select(key, F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("code").alias(f"c{x}"),
+                           F.col("group").alias(f"g{x}"), *more) for x in "ab")
+
+
+def _all_pairs(df: DataFrame, key: str, alike: str, once: bool = False) -> DataFrame:
+    """Pairs of different groups under one key, which has few rows; with `once`, only under the least key that they share."""
+    if once:
+        keys = df.groupBy("doc_id").agg(F.collect_list(key).alias("keys"))  # as many as a prefix is long
+        left, right = _sides(df.join(keys, "doc_id"), key, "keys")
+        left, right = left.withColumnRenamed("keys", "ka"), right.withColumnRenamed("keys", "kb")
+        return left.join(right, key).where(
+            f"a < b and ga <> gb and {alike} and array_min(array_intersect(ka, kb)) = {key}").select("a", "b")
+    left, right = _sides(df, key)
+    return left.join(right, key).where(f"a < b and ga <> gb and {alike}").select("a", "b")
 
 
 def _agreeing(pairs: DataFrame, sets: DataFrame, least: int, num: int, den: int) -> DataFrame:
@@ -161,28 +194,47 @@ def _linked(docs: DataFrame, pairs: DataFrame, size: int, num: int, den: int) ->
             .where(f"{den} * common >= {num} * (na + nb - common)").select("a", "b"))
 
 
-def _narrowed(docs: DataFrame, lists: DataFrame, sets: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """Drop list members that cannot have a link to any other member of the long lists.
+def _mixed(lists: DataFrame, found: DataFrame | None) -> DataFrame:
+    """The lists whose members are in several components, with what is needed of each list's hub (its smallest doc_id)."""
+    if found is None:
+        member = lists.withColumn("group", F.col("doc_id"))
+    else:
+        member = lists.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn(
+            "group", F.coalesce("component", "doc_id")).drop("component")
+    hub = {f"hub_{c}": F.min_by(c, "doc_id") for c in ("group", "n", "code")}
+    several = (member.groupBy("token").agg(
+        F.count("*").alias("members"), F.min("doc_id").alias("hub"), *(c.alias(k) for k, c in hub.items()),
+        (F.min("group") != F.max("group")).alias("mixed")).where("mixed").drop("mixed"))
+    return stage(member.join(several, "token"), "mixed-lists")
+
 
-    Shingles that no other member has cannot be shared, so at most n - unique are; that must reach num / den of the union
-    with the smallest partner that the list and the similarity allow.
+def _narrowed(docs: DataFrame, lists: DataFrame, size: int, num: int, den: int, alike: str, rare: int) -> tuple:
+    """Drop members of long lists that cannot have a link to another member, but for pairs that are returned besides.
+
+    A pair of members either has a shingle in common that at most `rare` members have, and then is returned as one of that shingle's
+    pairs (all of them, if different groups), or shares at most n - (such shingles) of either set; that must reach num / den of the
+    union with the smallest partner that the list and the similarity allow.
     """
-    members = stage(lists.select("doc_id").distinct(), "members")
-    shingle = (full_sets(docs, members, size).join(members, "doc_id", "left_semi")
-               .select("doc_id", F.explode("set").alias("s")))
-    unique = (shingle.groupBy("s").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1")
-              .groupBy("doc_id").agg(F.count("*").alias("unique")))
-    facts = stage(members.join(sets.select("doc_id", "n_shingles"), "doc_id").join(unique, "doc_id", "left")
-                  .select("doc_id", "n_shingles", F.coalesce("unique", F.lit(0)).alias("unique"))
-                  .where(f"(n_shingles - unique) * {den} >= n_shingles * {num}"), "facts")
-    lists = lists.join(facts, "doc_id")
+    members = stage(lists.select("doc_id", "n", "code", "group").distinct(), "members")
+    shingle = full_sets(docs, members, size).join(members, "doc_id").select(
+        "doc_id", "n", "code", "group", F.explode("set").alias("s"))
+    if rare > 1:
+        shingle = stage(shingle, "member-shingles")
+    seen = shingle.groupBy("s").agg(F.count("*").alias("times"), F.min("doc_id").alias("doc_id")).where(f"times <= {rare}")
+    pairs = None
+    if rare > 1:
+        few = shingle.join(seen.select("s", "times"), "s")
+        pairs = stage(_all_pairs(few.where("times > 1"), "s", alike).distinct(), "rare-pairs")
+        seen = few
+    facts = stage(members.join(seen.groupBy("doc_id").agg(F.count("*").alias("own")), "doc_id", "left")
+                  .select("doc_id", F.coalesce("own", F.lit(0)).alias("own")), "facts")
+    lists = lists.join(facts, "doc_id").where(f"(n - own) * {den} >= n * {num}")
     for _ in range(3):  # each pass may lift the smallest size of a list; any number of passes is exact
-        least = lists.groupBy("token").agg(F.min("n_shingles").alias("least"))
+        least = lists.groupBy("token").agg(F.min("n").alias("least"))
         # the smallest partner has max(least, n * num / den) shingles
         lists = lists.join(least, "token").where(
-            f"(n_shingles - unique) * {num + den}L * {den} >= {num}L * (n_shingles * {den} + "
-            f"greatest(least * {den}, n_shingles * {num}))").drop("least")
-    return lists.select("token", "doc_id")
+            f"(n - own) * {(num + den) * den}L >= {num}L * (n * {den} + greatest(least * {den}, n * {num}))").drop("least")
+    return lists.select("token", "doc_id", "n", "code"), pairs
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100,
@@ -197,44 +249,35 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     `docs` do not matter. An empty table gives an empty result.
     """
     least = match_threshold(num / den, coordinates)
+    alike = _alike(least, coordinates, num, den)
     rows = stage(signatures(docs, size, coordinates), "signatures")
     sets = stage(rows.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2", "n_shingles")
                  .agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), "sets")
-    # a rare value is posted alone: it takes a place in the prefix and needs no row
-    lists = postings(sets, coordinates - least + 1)
-    sizes = lists.groupBy("token").agg(F.count("*").alias("members")).where("members > 1")
-    lists = stage(lists.join(sizes.select("token"), "token"), "lists")
-    links, found, round_ = None, None, 0
+    # a value that one set has takes a place in the prefix and needs no list
+    lists = stage(postings(sets, coordinates - least + 1), "postings")
+    shared = lists.groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token")
+    member = _mixed(lists.join(shared, "token"), None)
+    links = pairs = None
     while True:
-        member = lists if found is None else lists.join(
-            found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
-            "token", "doc_id", F.coalesce("component", "doc_id").alias("group"))
-        if found is None:
-            member = member.withColumn("group", F.col("doc_id"))
-        mixed = (member.groupBy("token").agg(F.count("*").alias("members"), F.min("doc_id").alias("hub"),
-                                             F.min_by("group", "doc_id").alias("hub_group"),
-                                             (F.min("group") != F.max("group")).alias("mixed"))
-                 .where("mixed").drop("mixed"))
-        member = stage(member.join(mixed, "token"), "members")
-        if round_ and member.isEmpty():
-            break
-        limit = short * 4**round_
-        few = member.where(F.col("members") <= limit).select("token", "doc_id", "group")
-        left, right = few.toDF("token", "a", "ga"), few.toDF("token", "b", "gb")
-        hubs = member.where((F.col("members") > limit) & (F.col("group") != F.col("hub_group")))
-        pairs = left.join(right, "token").where("a < b and ga <> gb").select("a", "b").union(
-            hubs.select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))).distinct()
-        pairs = stage(_agreeing(pairs, sets, least, num, den), "pairs")
-        linked = stage(_linked(docs, pairs, size, num, den), "links")
+        few = _all_pairs(member.where(F.col("members") <= short), "token", alike, once=links is not None)
+        hubs = member.where((F.col("members") > short) & (F.col("group") != F.col("hub_group"))).select(
+            F.col("hub").alias("a"), F.col("doc_id").alias("b"), F.col("hub_n").alias("na"), F.col("n").alias("nb"),
+            F.col("hub_code").alias("ca"), F.col("code").alias("cb")).where(alike).select("a", "b")
+        found_pairs = few.union(hubs) if pairs is None else few.union(hubs).union(pairs)
+        agreeing = stage(_agreeing(found_pairs.distinct(), sets, least, num, den), "pairs")
+        linked = stage(_linked(docs, agreeing, size, num, den), "links")
         links = linked if links is None else links.union(linked)
         found = components(links)
-        lists = stage(member.where((F.col("members") > limit) & (F.col("doc_id") != F.col("hub")))
-                      .select("token", "doc_id"), "lists")
-        if lists.isEmpty():
+        long = member.where((F.col("members") > short) & (F.col("doc_id") != F.col("hub")))
+        member = _mixed(long.select("token", "doc_id", "n", "code"), found)
+        pairs = None
+        for rare in (1, RARE):
+            if not member.isEmpty():
+                left, pairs = _narrowed(docs, member, size, num, den, alike, rare)
+                member = _mixed(left, found)
+        if member.isEmpty() and (pairs is None or pairs.isEmpty()):
             break
-        if round_ == 0:
-            lists = stage(_narrowed(docs, lists, sets, size, num, den), "narrowed")
-        round_ += 1
+        short *= GROWTH
     groups = sets.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
         "f1", "f2", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "f1", "f2").join(groups, ["f1", "f2", "n_shingles"], "left")
