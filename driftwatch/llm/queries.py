@@ -199,7 +199,7 @@ def captures(pages):
 
 @query(r"""
 with keyed as (
-  select page_id, url, html, 1704067200 + page_id * 60 as at, page_id % 5 as kind,
+  select page_id, url, html, 1704067200 + page_id * 60 as moment, page_id % 5 as kind,
          regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^(?i:https?)://', '') as bare
   from pages
 ), parts as (
@@ -209,15 +209,15 @@ with keyed as (
                    regexp_matches(p, '^(?i:utm_[^=&]*|gclid|fbclid|ref|sessionid|phpsessid|jsessionid)(=|$)'))) as params
   from keyed
 ), named as (
-  select page_id, html, at, kind, host || path || case when len(params) > 0 then '?' || array_to_string(params, '&') else '' end as key,
-         case when page_id % 7 = 0 then at - 86400 else at + 7776000 end as again,
+  select page_id, html, moment, kind, host || path || case when len(params) > 0 then '?' || array_to_string(params, '&') else '' end as key,
+         case when page_id % 7 = 0 then moment - 86400 else moment + 7776000 end as again,
          substr(sha256(coalesce(html, '')), 1, 16) as tag, page_id % 1000 as modified
   from parts
 ), paired as (
   select r.page_id, r.kind, r.tag, r.modified, b.page_id as base, b.kind as base_kind, b.tag as base_tag,
          b.modified as base_modified, b.html as base_html,
-         row_number() over (partition by r.page_id order by b.at desc nulls last, 'urn:page:' || b.page_id desc) as place
-  from named r left join named b on b.key = r.key and b.at < r.again
+         row_number() over (partition by r.page_id order by b.moment desc nulls last, 'urn:page:' || b.page_id desc) as place
+  from named r left join named b on b.key = r.key and b.moment < r.again
 ), judged as (
   select *, case when base is null then 'no base'
                  when base_kind <> 3 and kind < 2 then case when tag = base_tag then 'etag' else 'conflict' end
