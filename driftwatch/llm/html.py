@@ -23,7 +23,9 @@ RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "nofr
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img",
           "ins", "kbd", "label", "mark", "meter", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong",
-          "sub", "sup", "time", "tt", "u", "var", "wbr"}
+          "sub", "sup", "time", "tt", "u", "var", "wbr",
+          "script", "style", "template", "noscript", "button", "input", "select", "textarea", "svg", "canvas", "object",
+          "audio", "video", "iframe"}
 OFF_NAMES = {"nav", "header", "footer", "aside", "form", "button", "select", "option", "input", "label", "noscript",
              "template", "svg", "canvas", "object", "menu", "dialog", "head", "fieldset", "audio", "video", *RAW}
 OFF_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "adbox", "sponsor", "sponsored", "promo",

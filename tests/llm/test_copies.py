@@ -77,7 +77,7 @@ def test_near_copies_of_odd_rows(odd, empty):
 
 
 def test_threshold_misses_almost_nothing():
-    assert match_threshold(0.85, 32) == 14
+    assert match_threshold(0.85, 32) == 13
     assert match_threshold(0.8, 32) < match_threshold(0.85, 32) < match_threshold(0.85, 64)
 
 
