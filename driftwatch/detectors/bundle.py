@@ -1,5 +1,6 @@
 """The trained detectors: fitting, storing, loading and scoring."""
 
+import warnings
 from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException
@@ -67,14 +68,16 @@ class Bundle:
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "Bundle":
-        """Load what is there; what is missing stays None."""
+        """Load what is there; a part whose folder is missing stays None, with a warning. A damaged part is an error."""
         def optional(read):
             try:
                 return read()
-            except Exception as missing:
-                if isinstance(missing, AnalysisException) or "not exist" in str(missing):
-                    return None
-                raise
+            except Exception as error:
+                absent = isinstance(error, AnalysisException) and error.getCondition() == "PATH_NOT_FOUND"
+                if not absent and "Input path does not exist" not in str(error):
+                    raise
+                warnings.warn(f"{path}: a part of the bundle is missing, its detector is off", stacklevel=2)
+                return None
         config = optional(lambda: {r["detector"]: r for r in spark.read.parquet(f"{path}/config").collect()}) or {}
         bundle = Bundle(scaler=optional(lambda: Scaler.from_df(spark.read.parquet(f"{path}/scaler"))))
         for row in config.values():

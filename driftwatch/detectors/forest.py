@@ -1,6 +1,8 @@
 """Isolation forest (Liu, Ting and Zhou 2008) on Spark.
 
 The rows are sampled into trees by a hash of their key, so a forest does not depend on how the table is partitioned.
+Every tree draws from all rows with the same chance for each row; a first draw, which most rows of a large table fail,
+spares these the draws for the single trees.
 Trees are grown in one task each from at most a few hundred rows; scoring is a batched function over the node table,
 which has at most trees * (2 * sample - 1) rows.
 """
@@ -15,7 +17,6 @@ from driftwatch.catalog import FOREST_CONTAMINATION as CONTAMINATION, FOREST_SAM
 from driftwatch.operators.quantiles import percentiles
 from driftwatch.storage import stage
 
-POOL = 64 * SAMPLE
 NODES = "tree int, node int, feature int, threshold double, left int, right int, path double"
 HASHES = 1 << 40
 
@@ -60,15 +61,19 @@ def fit_nodes(rows: DataFrame, columns: list[Column], key: list[str], trees: int
     if n == 0:
         raise ValueError("no rows to grow the forest from")
     size = min(sample, n)
-    pooled = min(1.0, POOL / n)
-    offered = min(1.0, 2.0 * size / (pooled * n))
+    wanted = min(1.0, 2.0 * size / n)  # of the rows for each tree
+    passing = min(1.0, 4.0 * trees * wanted)  # in the first draw: at most a quarter of a tree is expected of each
+    offered = wanted / passing
     depth = max(1, int(np.ceil(np.log2(max(size, 2)))))
     names = [f"x{i}" for i in range(len(columns))]
+    hashed = F.xxhash64(*key, F.lit(seed + 1))
+    draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
+        t.alias("tree"), F.pmod(F.xxhash64(F.col("_hash"), t), F.lit(HASHES)).alias("draw")))
     drawn = (
-        rows.where(_share(key, F.lit(seed)) < int(pooled * HASHES))
-        .withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        .withColumn("draw", _share(key, F.lit(seed + 1), F.col("tree")))
-        .where(F.col("draw") < int(offered * HASHES))
+        rows.where(_share(key, F.lit(seed)) < int(passing * HASHES))
+        .withColumn("_hash", hashed)
+        .withColumn("_draw", F.explode(F.filter(draws, lambda d: d["draw"] < int(offered * HASHES))))
+        .withColumns({"tree": F.col("_draw.tree"), "draw": F.col("_draw.draw")})
         .select("tree", "draw", *(c.cast("double").alias(x) for c, x in zip(columns, names)))
     )
 

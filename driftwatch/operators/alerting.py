@@ -94,24 +94,43 @@ def stale_alerts(snapshot: DataFrame, as_of, gap_seconds: float = RESOLVE_AFTER_
 
 
 def merge_alert(existing: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Fold one fresh candidate per fingerprint into the active alerts: newest facts, count + 1, severity never falls."""
-    old = existing.where(F.col("status") == "ACTIVE").select(
-        "fingerprint", F.col("occurrence_count").alias("_count"), F.col("severity").alias("_severity"),
-        F.col("created_at").alias("_created"))
-    joined = fresh.join(old, "fingerprint", "left")
-    peak = F.greatest(severity_rank(F.col("severity")), severity_rank(F.col("_severity")))
-    return joined.withColumns({
-        "severity": severity_name(peak),
-        "occurrence_count": F.coalesce(F.col("_count"), F.lit(0)) + 1,
-        "created_at": F.coalesce("_created", "timestamp"),
-        "last_seen_at": F.col("timestamp"),
-        "status": F.lit("ACTIVE"),
-    }).drop("_count", "_severity", "_created")
+    """The active alerts after all fresh candidates: inserted, updated or left as they are.
+
+    Candidates of one fingerprint count together. Counts add up, severity never falls, the first and the last time only
+    move outwards, and other facts come from the newest of the candidates and the alert. Facts that only one side has are null for the other.
+    """
+    own = ["occurrence_count", "severity", "created_at", "last_seen_at", "status", "timestamp", "fingerprint"]
+    facts = list(dict.fromkeys(c for c in [*existing.columns, *fresh.columns] if c not in own))
+    old = existing.where(F.col("status") == "ACTIVE")
+    old = old if "last_seen_at" in old.columns else old.withColumn("last_seen_at", F.col("created_at"))
+    old = old.select("fingerprint", F.struct(*(c for c in old.columns if c != "fingerprint")).alias("o"))
+    new = fresh.groupBy("fingerprint").agg(
+        F.count("*").alias("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"),
+        F.max(severity_rank(F.col("severity"))).alias("peak"),
+        F.max_by(F.struct(*fresh.columns), F.struct("timestamp", *(c for c in ("event_id",) if c in fresh.columns))).alias("f"))
+    joined = new.join(old, "fingerprint", "full")
+    newer = F.col("o").isNull() | (F.col("f").isNotNull() & (F.col("last") >= F.col("o.last_seen_at")))
+
+    def fact(c):
+        from_old = F.col(f"o.{c}") if c in existing.columns else F.lit(None)
+        from_new = F.col(f"f.{c}") if c in fresh.columns else F.lit(None)
+        if c not in existing.columns:
+            return from_new
+        return from_old if c not in fresh.columns else F.when(newer, from_new).otherwise(from_old)
+    kinds = dict(fresh.dtypes) | dict(existing.dtypes)
+    count = F.coalesce("o.occurrence_count", F.lit(0)) + F.coalesce("n", F.lit(0))
+    return joined.select(
+        "fingerprint", *(fact(c).cast(kinds[c]).alias(c) for c in facts),
+        count.cast(kinds["occurrence_count"]).alias("occurrence_count"),
+        severity_name(F.greatest("peak", severity_rank(F.col("o.severity")))).alias("severity"),
+        F.least("first", "o.created_at").alias("created_at"), F.greatest("last", "o.last_seen_at").alias("last_seen_at"),
+        F.lit("ACTIVE").alias("status"))
 
 
 def latest_snapshot(changelog: DataFrame) -> DataFrame:
-    """Current state per alert id from a log of versions."""
-    return changelog.groupBy("id").agg(F.max_by(F.struct(*changelog.columns), F.col("version")).alias("r")).select("r.*")
+    """Current state per alert id from a log of versions, without alerts that were joined to others."""
+    newest = changelog.groupBy("id").agg(F.max_by(F.struct(*changelog.columns), F.col("version")).alias("r"))
+    return newest.select("r.*").where("status <> 'MERGED'")
 
 
 def alert_kpis(snapshot: DataFrame, as_of) -> DataFrame:

@@ -88,12 +88,23 @@ def history(readings: DataFrame, service_name=None, metric_name=None, from_time=
         readings = readings.where(F.col("service_name") == service_name)
     if metric_name:
         readings = readings.where(F.col("metric_name") == metric_name)
-    if from_time:
-        readings = readings.where(F.col("timestamp") >= F.lit(from_time).cast("timestamp"))
-    if to_time:
-        readings = readings.where(F.col("timestamp") <= F.lit(to_time).cast("timestamp"))
+    readings = between(readings, F.lit(from_time).cast("timestamp") if from_time else None,
+                       F.lit(to_time).cast("timestamp") if to_time else None)
     shown = readings.drop("labels", "ingested_at")
-    return shown.orderBy(F.desc("timestamp"), "service_name", "metric_name").limit(limit)
+    ties = [c for c in ("host", "event_id", "value") if c in shown.columns]
+    return shown.orderBy(F.desc("timestamp"), "service_name", "metric_name", *ties).limit(limit)
+
+
+def between(readings: DataFrame, start: Column | None, end: Column | None) -> DataFrame:
+    """Readings from `start` to `end`, both included; days that a table stored by date keeps apart are not opened."""
+    dated = "date" in readings.columns
+    if start is not None:
+        readings = readings.where(F.col("timestamp") >= start)
+        readings = readings.where(F.col("date") >= F.to_date(start)) if dated else readings
+    if end is not None:
+        readings = readings.where(F.col("timestamp") <= end)
+        readings = readings.where(F.col("date") <= F.to_date(end)) if dated else readings
+    return readings
 
 
 def require_rows(df: DataFrame, what: str = "readings") -> DataFrame:

@@ -26,9 +26,16 @@ def broken_values(df: DataFrame, columns: list[str]) -> DataFrame:
     return row.unpivot([], columns, "feature", "c").select("feature", "c.*")
 
 
-def column_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Mean and population standard deviation per column."""
-    row = df.agg(*(F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")).alias(c) for c in columns))
+def column_profile(df: DataFrame, columns: list[str], scale: int | None = None) -> DataFrame:
+    """Mean and population standard deviation per column.
+
+    With `scale`, the mean comes from an exact sum of the values at that many places, whatever the order of the rows.
+    """
+    def mean(c):
+        if scale is None:
+            return F.avg(c)
+        return F.sum(F.col(c).cast(f"decimal(28,{scale})")).cast("double") / F.count(c)
+    row = df.agg(*(F.struct(mean(c).alias("mean"), F.stddev_pop(c).alias("std")).alias(c) for c in columns))
     return row.unpivot([], columns, "feature", "s").select("feature", "s.*")
 
 
@@ -196,6 +203,6 @@ def first_false_positive(df: DataFrame, label: str, predicted: str, order: list[
 
 def most_confident(df: DataFrame, probability: str, order: list[str]) -> DataFrame:
     """The row with the highest probability; the earliest on ties."""
-    top = df.agg(F.max(probability)).scalar()
-    return df.where(F.col(probability) == top).agg(
-        F.min_by(F.struct(*df.columns), F.struct(*order)).alias("r")).where("r IS NOT NULL").select("r.*")
+    place = F.struct(-F.col(probability), *order)
+    return df.where(F.col(probability).isNotNull()).agg(
+        F.min_by(F.struct(*df.columns), place).alias("r")).where("r IS NOT NULL").select("r.*")

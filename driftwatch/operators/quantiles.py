@@ -8,6 +8,16 @@ from pyspark.sql import DataFrame, functions as F
 BINS = 256
 
 
+def _share(x, low, high):
+    """Where x lies from low (0) to high (1), without overflow; rises with x."""
+    if isinstance(low, int) and high - low < 1 << 53:
+        return (x - F.lit(low)).cast("double") / F.lit(float(high - low))
+    low, high, x = float(low), float(high), x.cast("double")
+    if isfinite(high - low):
+        return (x - F.lit(low)) / F.lit(high - low)
+    return (x / 2 - F.lit(low / 2)) / F.lit(high / 2 - low / 2)
+
+
 def order_statistics(df: DataFrame, column: str, ranks: list[int]) -> dict[int, float]:
     """Value at each 0-based rank of the ascending, non-NULL `column`.
 
@@ -26,11 +36,10 @@ def order_statistics(df: DataFrame, column: str, ranks: list[int]) -> dict[int,
     # Open ranges: lowest value, highest value, rows below the range, ranks sought in it.
     todo = [(lowest, highest, 0, sorted(set(ranks)))]
     while todo:
-        part = F.lit(None).cast("long")
+        part = F.lit(None).cast("long")  # only rows inside a range reach its subtraction
         for i, (low, high, _, _) in enumerate(todo):
             if low < high:
-                share = (F.col("x") - F.lit(low)).cast("double") / F.lit(float(high - low))
-                bin_no = F.least(F.floor(share * BINS), F.lit(BINS - 1))
+                bin_no = F.least(F.floor(_share(F.col("x"), low, high) * BINS), F.lit(BINS - 1))
             else:
                 bin_no = F.lit(0)
             part = F.when(F.col("x").between(low, high), bin_no + i * BINS).otherwise(part)

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from driftwatch.catalog import METRICS, SUMMARY_WINDOW
 from driftwatch.functions.columns import rounded
+from driftwatch.operators.cleaning import between
 
 
 def _summary(scale: int | None) -> list[Column]:
@@ -20,7 +21,7 @@ def trailing_summary(readings: DataFrame, as_of, window: str = SUMMARY_WINDOW, s
     end = F.lit(as_of).cast("timestamp")
     start = end - F.expr(f"INTERVAL {window}")
     return (
-        readings.where((F.col("timestamp") >= start) & (F.col("timestamp") <= end))
+        between(readings, start, end)
         .groupBy("service_name", "metric_name").agg(*_summary(scale))
         .where(F.col("sample_count") > 0)
         .select(start.alias("window_start"), end.alias("window_end"), F.lit(window).alias("window_size"), "*")

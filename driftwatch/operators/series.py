@@ -8,69 +8,62 @@ computed per chunk and then joined up from one summary row per chunk.
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Row, Window, WindowSpec, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from driftwatch.storage import stage
 
 CHUNK = "_chunk"
 COPY = "_copy"
-WIDTH = "_width"
+CUT = "_cut"
 
-ROWS_PER_CHUNK = 500_000
-SMALLEST_CHUNK = 50_000
-# Tables up to this size are not worth cutting.
-SMALL_TABLE = 200_000
-CELL_SECONDS = 60
-# At most this many keys can hold more than 1/MAX_BUSY_KEYS of the rows, which bounds the broadcast table of widths.
-MAX_BUSY_KEYS = 20_000
+# One rule for tables of every size: a key with more rows than this is cut into chunks of about this many.
+ROWS_PER_CHUNK = 200_000
+CELL_SECONDS = 10
+_CELL_MICROS = CELL_SECONDS * 1_000_000
 
 
 @dataclass(frozen=True)
 class Widths:
-    """Chunk width in microseconds of every key that is too big for one task; all other keys stay whole."""
+    """Where the chunks of the keys begin that are too big for one task; all other keys stay whole."""
 
     keys: tuple[str, ...]
-    rows: list[Row]
-    schema: T.StructType
+    rows_per_chunk: int
+    # (keys, _cell, _n, _before): rows of a cell of time and rows of the key before it. None if no key is cut.
+    cells: DataFrame | None
 
     def tag(self, df: DataFrame, ts: str) -> DataFrame:
-        """Add the chunk number and the width (NULL for a whole key, which is chunk 0). No shuffle of the rows."""
-        if not self.rows:
-            return df.withColumns({WIDTH: F.lit(None).cast("long"), CHUNK: F.lit(0).cast("long")})
-        # Fewer than MAX_BUSY_KEYS rows, see `measure`.
-        busy = df.sparkSession.createDataFrame(self.rows, self.schema)
-        chunk = F.coalesce(F.floor(F.unix_micros(ts) / F.col(WIDTH)), F.lit(0)).cast("long")
-        return df.join(F.broadcast(busy), list(self.keys), "left").withColumn(CHUNK, chunk)
+        """Add the chunk number, and whether the row's key is cut (a whole key is chunk 0).
+
+        The cells are joined by key and cell; Spark broadcasts them only if they are small.
+        """
+        if self.cells is None:
+            return df.withColumns({CUT: F.lit(False), CHUNK: F.lit(0).cast("long")})
+        micros = F.unix_micros(ts)
+        # Within a cell the place is estimated from the time; it only rises with the time.
+        share = F.pmod(micros, F.lit(_CELL_MICROS)) / F.lit(_CELL_MICROS)
+        chunk = F.floor((F.col("_before") + F.floor(share * F.col("_n"))) / self.rows_per_chunk)
+        placed = df.withColumn("_cell", F.floor(micros / _CELL_MICROS)).join(self.cells, [*self.keys, "_cell"], "left")
+        return placed.select(*df.columns, F.col("_n").isNotNull().alias(CUT),
+                             F.coalesce(chunk, F.lit(0)).cast("long").alias(CHUNK))
 
 
 def measure(df: DataFrame, keys: list[str], ts: str, rows_per_chunk: int | None = None) -> Widths:
-    """Find the busy keys and the chunk width that the busiest minute of each allows. Reads only `keys` and `ts`.
+    """Count the rows of each key by cells of time and number them through, for keys of more than `rows_per_chunk` rows.
 
-    A key is busy above `rows_per_chunk` rows and above 1/MAX_BUSY_KEYS of all rows, so the driver receives fewer than
-    MAX_BUSY_KEYS rows whatever the input. Without `rows_per_chunk`, chunks are small enough to occupy all cores but
-    neither tiny nor above ROWS_PER_CHUNK. Widths hold for any subset of the rows as well: measure a stored table once
-    and pass the result on to the steps derived from it.
+    Reads only `keys` and `ts`. A chunk gets about `rows_per_chunk` rows however unevenly these lie in time, since the cells
+    of a chunk are added up; only rows closer together than a cell may exceed it. The result holds for any subset of the rows
+    as well: measure a stored table once and pass the result on to the steps derived from it.
     """
-    n = df.count()
-    smallest = rows_per_chunk or SMALL_TABLE
-    if rows_per_chunk is None:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        rows_per_chunk = min(ROWS_PER_CHUNK, max(SMALLEST_CHUNK, n // (16 * cores)))
-    kinds = T.StructType([*df.select(*keys).schema.fields, T.StructField(WIDTH, T.LongType())])
-    limit = max(rows_per_chunk, n / MAX_BUSY_KEYS)
-    if n <= max(limit, smallest):
-        return Widths(tuple(keys), [], kinds)
-    cell_micros = CELL_SECONDS * 1_000_000
-    busy = (
-        df.groupBy(*keys, F.floor(F.unix_micros(ts) / cell_micros).alias("_cell")).agg(F.count("*").alias("_n"))
-        .groupBy(*keys).agg(F.sum("_n").alias("_rows"), F.max("_n").alias("_peak"))
-        .where(F.col("_rows") > limit)
+    rows_per_chunk = rows_per_chunk or ROWS_PER_CHUNK
+    by_key = Window.partitionBy(*keys)
+    before = by_key.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = (
+        df.groupBy(*keys, F.floor(F.unix_micros(ts) / _CELL_MICROS).alias("_cell")).agg(F.count("*").alias("_n"))
+        .withColumns({"_all": F.sum("_n").over(by_key), "_before": F.coalesce(F.sum("_n").over(before), F.lit(0))})
+        .where(F.col("_all") > rows_per_chunk).drop("_all")
     )
-    # Whole minutes per chunk, or a part of a minute where that alone exceeds the chunk.
-    cells = F.lit(rows_per_chunk) / F.col("_peak")
-    micros = F.floor(F.when(cells >= 1, F.floor(cells)).otherwise(cells) * cell_micros)
-    width = F.greatest(micros, F.lit(1)).cast("long").alias(WIDTH)
-    return Widths(tuple(keys), busy.select(*keys, width).collect(), kinds)
+    cells = stage(cells, "cells")
+    return Widths(tuple(keys), rows_per_chunk, None if cells.isEmpty() else cells)
 
 
 @dataclass(frozen=True)
@@ -111,16 +104,16 @@ def series(
 ) -> Series:
     """Prepare `df` for windows that reach at most `lookback` rows back.
 
-    The rows go through one shuffle, when the first window runs. Only busy keys need copies; these come from a second,
+    The rows go through one shuffle, when the first window runs. Only keys that are cut need copies; these come from a second,
     narrow pass in which each map task keeps just the last `lookback` rows of a chunk before it shuffles them.
     """
     keys = list(keys)
     widths = widths or measure(df, keys, order[0], rows_per_chunk)
     tagged = widths.tag(df, order[0])
     main = tagged.select(*df.columns, CHUNK, F.lit(False).alias(COPY))
-    if lookback == 0 or not widths.rows:
-        return Series(main, tuple(keys), tuple(order), bool(widths.rows))
-    cut = tagged.where(F.col(WIDTH).isNotNull()).drop(WIDTH)
+    if lookback == 0 or widths.cells is None:
+        return Series(main, tuple(keys), tuple(order), widths.cells is not None)
+    cut = tagged.where(CUT).drop(CUT)
 
     by_key = Window.partitionBy(*keys).orderBy(CHUNK)
     ends = (

@@ -9,7 +9,7 @@ from driftwatch.plans.ingest import ntz
 from driftwatch.plans.registry import query
 from driftwatch.plans.views import sql
 from driftwatch.sources import tables
-from driftwatch.storage import new_path
+from driftwatch.storage import new_path, stage
 
 GAP_HOURS = 6
 GAP = GAP_HOURS * 3600.0
@@ -110,25 +110,34 @@ def alert_kpis(spark, sf):
                       F.round("agreement_rate", 6).alias("agreement_rate"))
 
 
-@query("J5 M12", sql(f""", cut as (select min(ts) + (max(ts) - min(ts)) / 2 as half from events),
+@query("J5 M12 S7", sql(f""", cut as (select min(ts) + (max(ts) - min(ts)) / 2 as half from events),
     a as ({_ANOMALIES}),
-    old as (select service_name, count(*)::int as n, max(rank) as rank from a, cut where "timestamp" <= half group by 1),
-    fresh as (select service_name, event_id, rank from a, cut where "timestamp" > half
-              qualify row_number() over (partition by service_name order by "timestamp", event_id) = 1)
-    select concat('multivariate:', service_name) as fingerprint, event_id, coalesce(n, 0) + 1 as occurrence_count,
-        case greatest(fresh.rank, coalesce(old.rank, 0)) when 2 then 'CRITICAL' when 1 then 'WARNING' else 'INFO' end
-            as severity
-    from fresh left join old using (service_name)""", "scored"))
+    old as (select service_name, count(*)::int as n, max(rank) as rank, min("timestamp") as first, max("timestamp") as last,
+                   arg_max(event_id, struct_pack(t := "timestamp", e := event_id)) as event_id
+            from a, cut where "timestamp" <= half or service_name in ('svc-1', 'svc-2') group by 1),
+    fresh as (select service_name, count(*)::int as n, max(rank) as rank, min("timestamp") as first, max("timestamp") as last,
+                     arg_max(event_id, struct_pack(t := "timestamp", e := event_id)) as event_id
+              from a, cut where "timestamp" > half and service_name <> 'svc-2' group by 1)
+    select concat('multivariate:', service_name) as fingerprint,
+        case when old.last is null or fresh.last >= old.last then fresh.event_id else old.event_id end as event_id,
+        coalesce(old.n, 0) + coalesce(fresh.n, 0) as occurrence_count,
+        case greatest(coalesce(fresh.rank, 0), coalesce(old.rank, 0)) when 2 then 'CRITICAL' when 1 then 'WARNING'
+            else 'INFO' end as severity,
+        least(coalesce(old.first, fresh.first), coalesce(fresh.first, old.first)) as created_at,
+        greatest(coalesce(old.last, fresh.last), coalesce(fresh.last, old.last)) as last_seen_at
+    from fresh full join old using (service_name)""", "scored"))
 def alert_merge(spark, sf):
-    candidates = alerting.alert_rows(views.scored(spark, sf))
+    """The first half of the candidates, and all of two services, are alerts already; one of these two gets no more candidates."""
+    candidates = stage(alerting.alert_rows(views.scored(spark, sf)).select(
+        "fingerprint", "event_id", "timestamp", "severity"), "candidates")
     first, last = views.events(spark, sf).agg(F.min("ts"), F.max("ts")).first()
     at = F.lit(first + (last - first) / 2)
     rank = alerting.severity_rank(F.col("severity"))
-    existing = candidates.where(F.col("timestamp") <= at).groupBy("fingerprint").agg(
+    whole = F.col("fingerprint").isin("multivariate:svc-1", "multivariate:svc-2")
+    existing = candidates.where((F.col("timestamp") <= at) | whole).groupBy("fingerprint").agg(
         F.count("*").cast("int").alias("occurrence_count"), alerting.severity_name(F.max(rank)).alias("severity"),
-        F.min("timestamp").alias("created_at"), F.lit("ACTIVE").alias("status"))
-    fresh = candidates.where(F.col("timestamp") > at)
-    fresh = fresh.groupBy("fingerprint").agg(
-        F.min_by(F.struct("event_id", "timestamp", "severity"), F.struct("timestamp", "event_id")).alias("r")
-    ).select("fingerprint", "r.*")
-    return alerting.merge_alert(existing, fresh).select("fingerprint", "event_id", "occurrence_count", "severity")
+        F.min("timestamp").alias("created_at"), F.max("timestamp").alias("last_seen_at"),
+        F.max_by("event_id", F.struct("timestamp", "event_id")).alias("event_id"), F.lit("ACTIVE").alias("status"))
+    fresh = candidates.where((F.col("timestamp") > at) & (F.col("fingerprint") != "multivariate:svc-2"))
+    return alerting.merge_alert(existing, fresh).select(
+        "fingerprint", "event_id", "occurrence_count", "severity", ntz("created_at"), ntz("last_seen_at"))

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from driftwatch.catalog import ESCALATION_FEATURES, FEATURES, REASONS
 from driftwatch.detectors import bundle as bundles, forest
 from driftwatch.detectors.bundle import Bundle, scaled
-from driftwatch.detectors.sequence import SequenceModel
 from driftwatch.escalation import classifier, explain
 from driftwatch.operators import alerting, evaluation, labels
 from driftwatch.operators.rolling import SEQUENCE_LOOKBACK, add_features, add_sequence, feature_vector, features
@@ -19,19 +18,29 @@ from driftwatch.plans.views import sql
 from driftwatch.sources import tables
 from driftwatch.storage import new_path, stage
 
-# Smaller models than the library's defaults keep the check short; the rows are all used.
-TREES, COMPONENTS, BOOSTS = 50, 8, 10
+_shared: dict[tuple, object] = {}
 
 
+def shared(make):
+    """Derive something once per session and folder, as several queries start from it."""
+    def get(spark, sf):
+        key = (make.__name__, spark.sparkContext.applicationId, sf)
+        if key not in _shared:
+            _shared[key] = make(spark, sf)
+        return _shared[key]
+    return get
+
+
+@shared
 def training_rows(spark, sf):
     rows = features(labels.chronological_split(views.clean_ticks(spark, sf)), scale=views.SCALE,
                     widths=views.widths(spark, sf))
     return stage(labels.label_readings(rows, views.truth(spark, sf), LINE), "training")
 
 
+@shared
 def trained(spark, sf):
-    return bundles.fit_bundle(training_rows(spark, sf), trees=TREES, components=COMPONENTS,
-                              widths=views.widths(spark, sf))
+    return bundles.fit_bundle(training_rows(spark, sf), widths=views.widths(spark, sf))
 
 
 def replayed(spark, sf, bundle=None):
@@ -44,28 +53,25 @@ def _at(df):
 
 @query("M4 M5")
 def isolation_forest_scores(spark, sf):
-    rows = training_rows(spark, sf)
-    scaler = Scaler.fit(rows.where("split = 'train'"))
-    normal = rows.where("split = 'train' AND NOT is_anomaly")
-    grown = forest.fit(normal, scaled(scaler), ["service_name", "timestamp"], TREES)
-    return rows.select("event_id", "is_anomaly", grown.decision(spark, scaled(scaler)).alias("iforest_score"))
+    bundle = trained(spark, sf)
+    return training_rows(spark, sf).select(
+        "event_id", "is_anomaly", bundle.forest.decision(spark, scaled(bundle.scaler)).alias("iforest_score"))
 
 
 @query("M4")
 def isolation_forest_nodes(spark, sf):
     rows = views.feature_rows(spark, sf)
-    nodes, _ = forest.fit_nodes(rows, [F.col(f) for f in FEATURES], ["event_id"], TREES)
+    nodes, _ = forest.fit_nodes(rows, [F.col(f) for f in FEATURES], ["event_id"])
     return nodes.groupBy("tree").agg(F.count("*").alias("nodes"), F.max("path").alias("longest_path"))
 
 
 @query("M6 S12")
 def sequence_errors(spark, sf):
+    bundle = trained(spark, sf)
     rows = training_rows(spark, sf)
-    scaler = Scaler.fit(rows.where("split = 'train'"))
     s = series(rows, ["service_name"], ["timestamp", "event_id"], SEQUENCE_LOOKBACK, widths=views.widths(spark, sf))
-    windows = stage(add_sequence(s.with_columns({"vector": scaler.vector()}), "vector").rows(), "windows")
-    model = SequenceModel.fit(windows.where("split = 'train' AND NOT is_anomaly"), components=COMPONENTS)
-    return model.add_error(windows).select("event_id", "lstm_error")
+    windows = add_sequence(s.with_columns({"vector": bundle.scaler.vector()}), "vector").rows()
+    return bundle.sequence.add_error(windows).select("event_id", "lstm_error")
 
 
 @query("M8 S13 S15 F13 T6")
@@ -97,15 +103,17 @@ def trained_detection_quality(spark, sf):
                                                        "ensemble_is_anomaly"])
 
 
+@shared
 def escalation_rows(spark, sf):
     """Early anomalous readings with stand-in scores and the split of their episode."""
     rows = stage(labels.early_readings(labels.label_readings(
         views.scored(spark, sf), views.truth(spark, sf), LINE)), "early")
-    return rows.join(labels.episode_split(rows).select("episode_id", "split"), "episode_id")
+    return stage(rows.join(labels.episode_split(rows).select("episode_id", "split"), "episode_id"), "escalation")
 
 
-def escalation_model(rows):
-    return classifier.fit(rows.where("split = 'train'"), trees=BOOSTS)
+@shared
+def escalation_model(spark, sf):
+    return classifier.fit(escalation_rows(spark, sf).where("split = 'train'"))
 
 
 @query("S12 S14", sql(f"""
@@ -132,26 +140,26 @@ def escalation_files(spark, sf):
 @query("M14 M15")
 def escalation_predictions(spark, sf):
     rows = escalation_rows(spark, sf)
-    told = classifier.predict(escalation_model(rows), rows.where("split = 'test'"))
+    told = classifier.predict(escalation_model(spark, sf), rows.where("split = 'test'"))
     return told.select("event_id", "will_be_severe", "escalation_probability", "predicted_severe")
 
 
 @query("M15 M16 A15")
 def escalation_quality(spark, sf):
     rows = escalation_rows(spark, sf)
-    told = classifier.predict(escalation_model(rows), rows.where("split = 'test'")).withColumn("always", F.lit(True))
+    told = classifier.predict(escalation_model(spark, sf), rows.where("split = 'test'")).withColumn("always", F.lit(True))
     return evaluation.confusion(told, "will_be_severe", ["predicted_severe", "always"])
 
 
 @query("A23")
 def escalation_importances(spark, sf):
-    return classifier.importances(escalation_model(escalation_rows(spark, sf)), spark)
+    return classifier.importances(escalation_model(spark, sf), spark)
 
 
 @query("M17")
 def escalation_contributions(spark, sf):
     rows = escalation_rows(spark, sf)
-    model = escalation_model(rows)
+    model = escalation_model(spark, sf)
     told = explain.explain(rows, model)
     return told.select("event_id", "escalation_margin", "contributions.*")
 
@@ -159,7 +167,7 @@ def escalation_contributions(spark, sf):
 @query("M18 M19 M11")
 def explained_alerts(spark, sf):
     rows = escalation_rows(spark, sf)
-    told = explain.explain(rows.where("split = 'test'"), escalation_model(rows))
+    told = explain.explain(rows.where("split = 'test'"), escalation_model(spark, sf))
     return alerting.alert_rows(told).select("event_id", "severity", "escalation_probability", "explanation_text")
 
 

@@ -9,7 +9,7 @@ from driftwatch.operators.scaling import Scaler
 from driftwatch.plans import views
 from driftwatch.plans.labelling import LINE, labelled
 from driftwatch.plans.registry import query
-from driftwatch.plans.views import sql
+from driftwatch.plans.views import SCALE, sql
 from driftwatch.storage import stage
 
 _SPLIT = """select *, case when row_number() over (order by "timestamp", event_id) <= (count(*) over () * 4) // 5
@@ -17,10 +17,14 @@ _SPLIT = """select *, case when row_number() over (order by "timestamp", event_i
 _WORST = "greatest(" + ", ".join(f"abs({c})" for c in Z_SCORES) + ")"
 
 
+def split_features(spark, sf):
+    """Feature rows with their split, which is found on the raw ticks."""
+    return features(labels.chronological_split(views.clean_ticks(spark, sf)), scale=views.SCALE)
+
+
 def split_rows(spark, sf):
-    """Labelled feature rows with their split, which is found on the raw ticks."""
-    rows = features(labels.chronological_split(views.clean_ticks(spark, sf)), scale=views.SCALE)
-    return labels.label_readings(rows, views.truth(spark, sf), LINE)
+    """Labelled feature rows with their split."""
+    return labels.label_readings(split_features(spark, sf), views.truth(spark, sf), LINE)
 
 
 def judged(spark, sf):
@@ -49,11 +53,12 @@ def broken_values(spark, sf):
 
 
 @query("A10", sql(" union all ".join(
-    f"select '{f}' as feature, round(avg({f}), 6) as mean, round(stddev_pop({f}), 6) as std from feats"
+    f"select '{f}' as feature, cast(sum(cast({f} as decimal(28,6))) as double) / count({f}) as mean, "
+    f"round(stddev_pop({f}), 6) as std from feats"
     for f in FEATURES), "feats"))
 def column_profile(spark, sf):
-    found = evaluation.column_profile(views.feature_rows(spark, sf), FEATURES)
-    return found.select("feature", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+    found = evaluation.column_profile(views.feature_rows(spark, sf), FEATURES, SCALE)
+    return found.select("feature", "mean", F.round("std", 6).alias("std"))
 
 
 @query("A11", sql("""
@@ -64,7 +69,8 @@ def column_profile(spark, sf):
     from labelled l join r on l.is_anomaly = r.is_anomaly group by 1, 2""".replace("with r as", ", r as", 1),
                   "labelled"))
 def class_histogram(spark, sf):
-    found = evaluation.class_histogram(labelled(spark, sf), "request_latency_ms")
+    rows = stage(labelled(spark, sf).select("is_anomaly", "request_latency_ms"), "histogram")
+    found = evaluation.class_histogram(rows, "request_latency_ms")
     return found.select("is_anomaly", "bin", "rows", F.round("density", 9).alias("density"))
 
 
@@ -103,14 +109,14 @@ def _scaler_sql(select):
     f"round(({f} - m_{f}) / case when s_{f} = 0 then 1 else s_{f} end, 6) as {f}" for f in FEATURES)
     + " from split, stats"))
 def scaled_features(spark, sf):
-    rows = stage(split_rows(spark, sf).select("event_id", "split", *FEATURES), "split")
+    rows = stage(split_features(spark, sf).select("event_id", "split", *FEATURES), "split")
     scaled = Scaler.fit(rows.where("split = 'train'")).transform(rows)
     return scaled.select("event_id", *(F.round(f"{f}_scaled", 6).alias(f) for f in FEATURES))
 
 
 @query("M2", sql("select event_id, " + ", ".join(f"round({c}, 6) as {c}" for c in Z_SCORES) + " from feats", "feats"))
 def inverse_scaling(spark, sf):
-    rows = stage(split_rows(spark, sf).select("event_id", "split", *FEATURES), "split")
+    rows = stage(split_features(spark, sf).select("event_id", "split", *FEATURES), "split")
     scaler = Scaler.fit(rows.where("split = 'train'"))
     back = scaler.inverse(scaler.transform(rows))
     return back.select("event_id", *(F.round(f"{c}_raw", 6).alias(c) for c in Z_SCORES))

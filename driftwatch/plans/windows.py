@@ -27,6 +27,27 @@ def rolling_features_in_chunks(spark, sf):
     return rows.select("event_id", *FEATURES)
 
 
+_BURST = f"""
+    , bursty as (select event_id, "timestamp", service_name, cpu_usage from clean union all
+                 select event_id + 1000000000, (select min("timestamp") from clean) + interval 1 day
+                        + (event_id % 20000) * interval 1 millisecond, 'svc-0', cpu_usage from clean where event_id % 4 = 0)
+    select event_id, {rolling_sql('cpu_usage', 'cpu_usage_')} from bursty"""
+
+
+@query("W1 W2 W4", sql(_BURST, "clean"))
+def rolling_features_of_a_burst(spark, sf):
+    """A quarter of all ticks comes once more, within 20 seconds and on one service."""
+    rows = views.clean_ticks(spark, sf).select("event_id", "timestamp", "service_name", "cpu_usage")
+    day = rows.agg(F.min("timestamp")).first()[0]
+    at = F.timestamp_micros(F.unix_micros(F.lit(day)) + 86_400_000_000 + (F.col("event_id") % 20_000) * 1000)
+    burst = rows.where("event_id % 4 = 0").select(
+        (F.col("event_id") + 1_000_000_000).alias("event_id"), at.alias("timestamp"), F.lit("svc-0").alias("service_name"),
+        "cpu_usage")
+    s = series(rows.union(burst), KEYS, ORDER, 10, SMALL_CHUNKS)
+    s = s.with_columns(rolling.rolling_columns(s, "cpu_usage", "cpu_usage_", scale=SCALE))
+    return s.rows().select("event_id", *(f"cpu_usage_{c}" for c in ("rolling_avg", "z_score", "rate_of_change")))
+
+
 @query("W3", sql("select event_id, " + ", ".join(rolling_sql(m, f"{m}_", std="stddev_pop") for m in METRICS)
                  + " from clean", "clean"))
 def rolling_features_population(spark, sf):

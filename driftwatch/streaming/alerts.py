@@ -15,7 +15,11 @@ from driftwatch.streaming.windows import DELAY
 # Facts of the newest reading that an alert shows.
 FACTS = ["host", "ensemble_score", "severity"]
 TIMES = ["created_at", "last_seen_at", "resolved_at"]
-STATE = "created long, last_seen long, count long, rank int, host string, score double"
+# Further facts, which travel as one JSON text and come out as the columns they were.
+MORE_FACTS = ["service_name", "detected_by", "triggering_metrics", "escalation_probability", "explanation_text",
+              "contributing_features"]
+STATE = ("created long, last_seen long, count long, rank int, host string, score double, facts string, opened long")
+MERGED = "MERGED"
 # Times cross the Python border as microseconds, which no time zone setting can shift.
 CHANGES = T.StructType([
     T.StructField("id", T.StringType()),
@@ -29,6 +33,7 @@ CHANGES = T.StructType([
     T.StructField("severity", T.StringType()),
     T.StructField("host", T.StringType()),
     T.StructField("anomaly_score", T.DoubleType()),
+    T.StructField("facts", T.StringType()),
 ])
 
 
@@ -41,6 +46,9 @@ class Alert(NamedTuple):
     rank: int
     host: str
     score: float
+    facts: str = ""
+    # When the alert began as it was first told, which names it; 0 if it has not been told yet.
+    opened: int = 0
 
 
 def intervals(rows: pd.DataFrame, gap: int) -> list[Alert]:
@@ -50,10 +58,12 @@ def intervals(rows: pd.DataFrame, gap: int) -> list[Alert]:
     at = at[order]
     rank = rows["severity"].map(SEVERITIES.index).to_numpy()[order]
     host, score = rows["host"].to_numpy()[order], rows["ensemble_score"].to_numpy()[order]
+    facts = rows["facts"].to_numpy()[order] if "facts" in rows else np.full(len(at), "")
     first = np.flatnonzero(np.concatenate([[True], np.diff(at) > gap]))
     last = np.append(first[1:], len(at)) - 1
     return [
-        Alert(int(at[a]), int(at[b]), int(b - a + 1), int(rank[a:b + 1].max()), host[b], float(score[b]))
+        Alert(int(at[a]), int(at[b]), int(b - a + 1), int(rank[a:b + 1].max()), host[b], float(score[b]),
+              facts[b])
         for a, b in zip(first, last)
     ]
 
@@ -66,17 +76,18 @@ def merged(alerts: list[Alert], gap: int) -> list[Alert]:
             old = out[-1]
             newest = alert if alert.last_seen >= old.last_seen else old
             out[-1] = Alert(old.created, newest.last_seen, old.count + alert.count, max(old.rank, alert.rank),
-                            newest.host, newest.score)
+                            newest.host, newest.score, newest.facts, old.opened or alert.opened)
         else:
             out.append(alert)
     return out
 
 
 class AlertLifecycle(StatefulProcessor):
-    """One active alert per fingerprint.
+    """The open alerts of a fingerprint.
 
-    An anomaly later than the gap closes the old alert and opens a new one, even if the timer has not fired yet. The
-    timer closes an alert once the watermark has passed its last reading by more than the gap.
+    Readings may come in any order within the watermark's delay: all alerts stay open until the watermark has passed
+    their last reading by more than the gap, and a reading between two of them joins them to one. The joined alert keeps the name of
+    the earlier one; the other is told as MERGED.
     """
 
     def __init__(self, gap_seconds: float):
@@ -84,57 +95,74 @@ class AlertLifecycle(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.alert = handle.getValueState("alert", STATE)
+        self.alerts = handle.getListState("alerts", STATE)
 
-    def _change(self, fingerprint: str, alert: Alert, resolved: bool) -> dict:
+    def _change(self, fingerprint: str, alert: Alert, status: str) -> dict:
         return {
-            "id": hashlib.sha256(f"{fingerprint}|{alert.created}".encode()).hexdigest(),
-            "fingerprint": fingerprint, "version": 2 * alert.count + resolved,
-            "status": "RESOLVED" if resolved else "ACTIVE",
+            "id": hashlib.sha256(f"{fingerprint}|{alert.opened}".encode()).hexdigest(),
+            "fingerprint": fingerprint, "version": 2 * alert.count + (status != "ACTIVE"), "status": status,
             "created_at": alert.created, "last_seen_at": alert.last_seen,
-            "resolved_at": alert.last_seen + self.gap if resolved else None,
+            "resolved_at": alert.last_seen + self.gap if status == "RESOLVED" else None,
             "occurrence_count": alert.count, "severity": SEVERITIES[alert.rank], "host": alert.host,
-            "anomaly_score": alert.score,
+            "anomaly_score": alert.score, "facts": alert.facts,
         }
 
     @staticmethod
     def _table(changes: list[dict]) -> pd.DataFrame:
-        return pd.DataFrame(changes).astype({"resolved_at": "Int64"})
+        return pd.DataFrame(changes, columns=CHANGES.names).astype({"resolved_at": "Int64"})
+
+    def _due(self, alert: Alert) -> int:
+        return (alert.last_seen + self.gap) // 1000 + 1
+
+    def _keep(self, alerts: list[Alert]) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if alerts:
+            self.alerts.put([tuple(a) for a in alerts])
+            self.handle.registerTimer(min(map(self._due, alerts)))
+        else:
+            self.alerts.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # Batches of rows are reduced to alerts one after the other, so the rows are never held together.
-        alerts = [Alert(*self.alert.get())] if self.alert.exists() else []
-        opened = alerts[0].created if alerts else None
+        known = [Alert(*a) for a in self.alerts.get()]
+        alerts = known
         for part in rows:
             alerts = merged(alerts + intervals(part, self.gap), self.gap)
-        if opened is not None:
-            # An open alert keeps its identity when an earlier reading joins it late.
-            alerts = [a._replace(created=opened) if a.created < opened <= a.last_seen else a for a in alerts]
-        *closed, active = alerts
-        self.alert.update(tuple(active))
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer((active.last_seen + self.gap) // 1000 + 1)
-        yield self._table([self._change(key[0], a, True) for a in closed] + [self._change(key[0], active, False)])
+        alerts = [a._replace(opened=a.opened or a.created) for a in alerts]
+        names = {a.opened for a in alerts}
+        self._keep(alerts)
+        changes = [self._change(key[0], a, MERGED) for a in known if a.opened not in names]
+        changes += [self._change(key[0], a, "ACTIVE") for a in alerts if a not in known]
+        yield self._table(changes)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.alert.exists():
-            yield self._table([self._change(key[0], Alert(*self.alert.get()), True)])
-            self.alert.clear()
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        alerts = [Alert(*a) for a in self.alerts.get()]
+        self._keep([a for a in alerts if self._due(a) > now])
+        yield self._table([self._change(key[0], a, "RESOLVED") for a in alerts if self._due(a) <= now])
 
     def close(self) -> None:
         pass
 
 
 def alert_changes(candidates: DataFrame, gap_seconds: float = RESOLVE_AFTER_SECONDS, delay: str = DELAY) -> DataFrame:
-    """Change log of alerts from a stream of alert candidates (fingerprint, timestamp, host, ensemble_score, severity).
+    """Change log of alerts from a stream of alert candidates (fingerprint, timestamp, host, ensemble_score, severity and any
+    of MORE_FACTS).
 
     Needs the RocksDB state store (`spark.sql.streaming.stateStore.providerClass`).
     """
+    more = [c for c in MORE_FACTS if c in candidates.columns]
+    facts = F.to_json(F.struct(*more)) if more else F.lit("")
     changes = (
-        candidates.select("fingerprint", "timestamp", F.unix_micros("timestamp").alias("micros"), *FACTS)
+        candidates.select("fingerprint", "timestamp", F.unix_micros("timestamp").alias("micros"), *FACTS,
+                          facts.alias("facts"))
         .withWatermark("timestamp", delay)
         .groupBy("fingerprint")
         .transformWithStateInPandas(AlertLifecycle(gap_seconds), CHANGES, "append", "EventTime")
     )
-    return changes.withColumns({c: F.timestamp_micros(c) for c in TIMES})
+    changes = changes.withColumns({c: F.timestamp_micros(c) for c in TIMES})
+    if not more:
+        return changes.drop("facts")
+    read = F.from_json("facts", candidates.select(*more).schema)
+    return changes.withColumn("facts", read).select(*(c for c in changes.columns if c != "facts"), "facts.*")

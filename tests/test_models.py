@@ -86,7 +86,7 @@ def test_chunks_do_not_change_the_replay(spark, trained):
     from driftwatch.operators.series import measure
     ticks = views.clean_ticks(spark, SF)
     cut = measure(ticks, ["service_name"], "timestamp", 40)
-    assert cut.rows
+    assert cut.cells is not None
     columns = ["event_id", "votes", "ensemble_score", "ensemble_score_trend", "consecutive_anomalous_ticks"]
     a = bundles.replay(ticks, trained).select(*columns).orderBy("event_id").collect()
     b = bundles.replay(ticks, trained, widths=cut).select(*columns).orderBy("event_id").collect()
@@ -202,3 +202,14 @@ def test_explanation_sentence(spark):
     assert top == [("lstm_error", 0.124, 0.672), ("zscore_value", 3.157, 0.444), ("iforest_score", -0.013, 0.267)]
     text, _ = sentence(spark, 0.2, votes=-2.0, ensemble_score=0.0, zscore_value=-0.1, iforest_score=0.0, lstm_error=0.0)
     assert text.startswith("This incident looks unlikely to become severe (20% confidence), mainly because only a few")
+
+
+def test_trees_draw_from_the_whole_table(spark):
+    """Two trees of a table of 20,000 rows share only what chance gives, and many trees together see most rows."""
+    from driftwatch.detectors import forest
+    rows = spark.range(20_000).selectExpr("id", "rand(1) AS x")
+    nodes, size = forest.fit_nodes(rows, [F.col("x")], ["id"], trees=200)
+    roots = nodes.groupBy("tree").agg(F.count("*").alias("n"), F.count_if(F.col("left") == F.col("node")).alias("leaves")).collect()
+    assert size == 256 and len(roots) == 200
+    assert all(r["n"] == 2 * r["leaves"] - 1 for r in roots)
+    assert nodes.where("node = 0").select("threshold").distinct().count() > 190

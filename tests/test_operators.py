@@ -115,6 +115,25 @@ def test_merge_never_lowers_severity(spark, stored, fresh, want):
     assert one(alerting.merge_alert(old.where("false"), new))["occurrence_count"] == 1
 
 
+def test_merge_counts_all_candidates_and_keeps_other_alerts(spark):
+    old = spark.createDataFrame(
+        [("f", 5, "INFO", AT, AT + timedelta(seconds=60), "ACTIVE", "h1"), ("g", 2, "CRITICAL", AT, AT, "ACTIVE", "h2"),
+         ("r", 9, "INFO", AT, AT, "RESOLVED", "h3")],
+        "fingerprint string, occurrence_count int, severity string, created_at timestamp, last_seen_at timestamp, "
+        "status string, host string")
+    new = spark.createDataFrame(
+        [("f", "WARNING", AT + timedelta(seconds=5), "n1"), ("f", "INFO", AT - timedelta(seconds=5), "n2"),
+         ("n", "INFO", AT, "n3"), ("n", "INFO", AT + timedelta(seconds=1), "n4")],
+        "fingerprint string, severity string, timestamp timestamp, host string")
+    got = {r["fingerprint"]: r for r in alerting.merge_alert(old, new).collect()}
+    assert sorted(got) == ["f", "g", "n"]
+    f, g, n = got["f"], got["g"], got["n"]
+    assert (f["occurrence_count"], f["severity"], f["host"]) == (7, "WARNING", "h1")
+    plain = AT.replace(tzinfo=None)
+    assert (f["created_at"], f["last_seen_at"]) == (plain - timedelta(seconds=5), plain + timedelta(seconds=60))
+    assert (g["occurrence_count"], g["host"], n["occurrence_count"], n["host"]) == (2, "h2", 2, "n4")
+
+
 def test_triggering_metrics_break_ties_by_payload_order(spark):
     cells = {m: 1.0 for m in METRICS} | {f"{m}_z_score": 0.5 for m in METRICS}
     cells |= {"request_latency_ms_z_score": -3.2, "cpu_usage_z_score": 3.9}
@@ -218,3 +237,30 @@ def test_nearest_against_brute_force(spark, block, pivots):
     for i, x in enumerate(queries):
         d = np.sqrt(((np.array(rows) - x) ** 2).sum(axis=1))
         assert got[i][0] == int(d.argmin()) and got[i][1] == pytest.approx(d.min(), abs=1e-12)
+
+
+def test_order_statistics_at_the_ends_of_the_number_range(spark):
+    longs = [-2**63, -5, 2**63 - 2, 2**63 - 1]
+    df = spark.createDataFrame([(x,) for x in longs], "x long")
+    assert order_statistics(df, "x", [0, 1, 2, 3]) == dict(enumerate(longs))
+    doubles = [-1.7e308, 0.0, 5e-324, 1e-323, 1.7e308]
+    df = spark.createDataFrame([(x,) for x in doubles], "x double")
+    assert order_statistics(df, "x", [0, 1, 2, 3, 4]) == dict(enumerate(doubles))
+
+
+def test_episodes_that_start_together_are_split(spark):
+    from driftwatch.operators.labels import episode_split
+    early = spark.createDataFrame([(f"e{i}", AT) for i in range(40)], "episode_id string, timestamp timestamp")
+    got = {r["split"]: r["count"] for r in episode_split(early).groupBy("split").count().collect()}
+    assert got == {"train": 32, "test": 8}
+
+
+def test_history_opens_only_the_wanted_days(spark):
+    from driftwatch.operators.cleaning import between
+    from driftwatch.storage import new_path
+    path = new_path(spark, "dated")
+    days = spark.range(5).selectExpr("id", "timestamp'2024-01-01 12:00:00' + make_interval(0,0,0,cast(id as int)) AS timestamp")
+    days.withColumn("date", F.to_date("timestamp")).write.partitionBy("date").parquet(path)
+    found = between(spark.read.parquet(path), F.lit("2024-01-02").cast("timestamp"), F.lit("2024-01-03 13:00:00").cast("timestamp"))
+    assert sorted(r["id"] for r in found.collect()) == [1, 2]
+    assert "date" in found._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1].split("]")[0]

@@ -88,7 +88,19 @@ def test_gap_of_exactly_the_limit_merges(spark):
 
 def test_only_busy_keys_are_cut(spark):
     widths = measure(frame(spark, make_rows(5)), ["k"], "ts", 50)
-    assert [r["k"] for r in widths.rows] == ["a"]
+    assert [r["k"] for r in widths.cells.select("k").distinct().collect()] == ["a"]
+
+
+def test_a_burst_does_not_shrink_the_other_chunks(spark):
+    """60,000 rows ten minutes apart and a burst of 2,000 rows within 20 seconds."""
+    from driftwatch.operators.series import CHUNK
+
+    calm = spark.range(60_000).selectExpr("'s' AS k", "timestamp_seconds(id * 600) AS ts", "id")
+    burst = spark.range(2_000).selectExpr("'s' AS k", "timestamp_millis(18000000000 + id * 10) AS ts", "id + 60000 AS id")
+    cut = series(calm.union(burst), ["k"], ["ts", "id"], 34, 2_000).df
+    chunks = cut.groupBy(CHUNK).count().collect()
+    assert len(chunks) < 100 and max(r["count"] for r in chunks) < 4_200
+    assert cut.count() < 1.1 * 62_000
 
 
 def readings(spark, values):

@@ -94,6 +94,16 @@ def test_alert_opens_merges_resolves_and_reopens(spark):
     assert first["resolved_at"] - first["last_seen_at"] == timedelta(seconds=120)
 
 
+def test_a_reading_between_two_alerts_joins_them(spark):
+    batches = [[("a", at(0), "h1", 0.6, "WARNING"), ("a", at(200), "h2", 0.7, "INFO")],
+               [("a", at(100), "h3", 0.8, "CRITICAL")], [("b", at(5000), "h", 0.6, "INFO")]]
+    log = run_alerts(spark, batches, delay="10 minutes")
+    rows = alerting.latest_snapshot(log).where("fingerprint = 'a'").collect()
+    assert [(r["status"], r["occurrence_count"], r["severity"], r["host"], r["created_at"], r["last_seen_at"]) for r in rows] == [
+        ("RESOLVED", 3, "CRITICAL", "h2", at(0).replace(tzinfo=None), at(200).replace(tzinfo=None))]
+    assert log.where("status = 'MERGED'").count() == 1
+
+
 def test_summaries_hold_back_open_windows_and_drop_late_rows(spark):
     ticks = views.clean_ticks(spark, SF)
     low = ticks.agg(F.min("timestamp")).first()[0]
