@@ -22,7 +22,9 @@ OVERLAP = 0.6  # share of the question's and of the answer's word runs
 RUN = 5  # words in a run
 PASSAGE = 128  # words in a passage, at least
 BLOCK = 32  # postings under one maximum
-FREQUENT = 0.2  # share of any item's score that the terms left out of the first sieve may make
+NEAR = 2  # items under one maximum in the first sieve
+CELLS = 4_000_000  # sums that the sieve holds at once
+FREQUENT = 0.1  # share of any item's score that the terms left out of the first sieve may make
 MAX_WORDS = 1_000_000  # words of items in one index; more items are searched in slices, one pass each
 
 
@@ -79,7 +81,6 @@ class Index:
             at, w = np.array(at), np.array(w)
             blocks = [w[k : k + BLOCK].max() for k in range(0, len(w), BLOCK)]
             self.postings.append((at.tolist(), w.tolist(), blocks, float(w.max())))
-        self.bound = np.array([p[3] for p in self.postings])
         # the terms in most items are left to the search proper, as long as no item gets more than FREQUENT from them
         self.sieve = np.ones(len(self.terms), bool)
         gained = np.zeros(len(self.ids))
@@ -90,6 +91,17 @@ class Index:
                 break
             gained, self.sieve[k] = after, False
         self.left_out = float(gained.max(initial=0))
+        # maxima of each sieved term over groups of NEAR items, one after the other
+        tops = []
+        for k, (at, w, _, _) in enumerate(self.postings):
+            best = {}
+            for item, x in zip(at, w, strict=True) if self.sieve[k] else ():
+                best[item // NEAR] = max(best.get(item // NEAR, 0.0), x)
+            tops.append(best)
+        self.top_from = np.concatenate(([0], np.cumsum([len(t) for t in tops]))).astype(np.int64)
+        self.top_group = np.array([g for t in tops for g in t], np.int64)
+        self.top_value = np.array([x for t in tops for x in t.values()])
+        self.groups = len(self.ids) // NEAR + 1
         self.passage = max(PASSAGE, 2 * self.longest)
 
     def search(self, terms, least):
@@ -145,6 +157,22 @@ class Index:
             c = block_end if at[block_end - 1] < target else c + 1
         return c
 
+    def _promising(self, passage, term, passages, share):
+        """Passages in which some group of items may reach `share`, by the sums of the terms' maxima over the group."""
+        slab = max(1, CELLS // self.groups)  # passages whose sums are held at once
+        found = []
+        for first in range(0, passages, slab):
+            a, b = np.searchsorted(passage, (first, first + slab))
+            here, part = term[a:b], passage[a:b] - first
+            size = self.top_from[here + 1] - self.top_from[here]
+            ends = np.cumsum(size)
+            at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.top_from[here] - ends + size, size)
+            reach = np.bincount(np.repeat(part, size) * self.groups + self.top_group[at], self.top_value[at],
+                                minlength=min(slab, passages - first) * self.groups)
+            best = reach.reshape(-1, self.groups).max(axis=1)
+            found += (first + np.flatnonzero(best >= share - self.left_out - 1e-9)).tolist()
+        return found
+
     def leaks(self, hashes, share, overlap):
         """{item number: (score, question share, answer share)} of one document's word hashes."""
         if not len(self.terms) or not len(hashes):
@@ -160,9 +188,8 @@ class Index:
         pairs = np.unique(pairs[pairs >= 0])
         passage, which = pairs // len(self.terms), pairs % len(self.terms)
         keep = passage <= last
-        reach = np.bincount(passage[keep], self.bound[which[keep]], minlength=1)
         out = {}
-        for p in np.flatnonzero(reach >= share - self.left_out - 1e-9).tolist():
+        for p in self._promising(passage[keep], which[keep], last + 1, share):
             here = slice(p * half, len(hashes) if p == last else p * half + self.passage)
             inside = np.unique(term[here][hit[here]])
             runs = {}
