@@ -26,6 +26,12 @@ def mix(x):
 
 
 def _power(base, n):
+    """The powers of an odd number. Tasks keep those of a whole block; short texts, as the driver has them, leave nothing
+    behind that would travel with every function."""
+    if n < BLOCK // 16:
+        out = np.full(n, base, np.uint64)
+        out[:1] = 1
+        return np.cumprod(out, dtype=np.uint64)
     have = _powers.get(base)
     if have is None or len(have) < n:
         have = np.full(max(n, 2 * BLOCK), base, np.uint64)
