@@ -150,6 +150,34 @@ def test_model_only_adds_spans_beside_the_base(spark, table):
     assert personal.fit(docs.where("false"))["trees"] == []
 
 
+DISGUISED = [
+    ("please contact bob.smith (at) host.org today", "0", "bob.smith (at) host.org"), ("write an email to ann[at]mail.example.com soon", "0", "ann[at]mail.example.com"),
+    ("call (269) 555-3296 now", "3", "(269) 555-3296"), ("phone 2695553296 now", "3", "2695553296"), ("mobile: 1 (269) 555-3296 now", "3", "1 (269) 555-3296"),
+    ("credit card 4111.1111.1111.1111 paid", "2", "4111.1111.1111.1111"), ("card 5018 0000 0009 paid", "2", "5018 0000 0009"),
+    ("visa 4222222222222 paid", "2", "4222222222222"), ("server address 10:20:30:40 down", "1", "10:20:30:40")]
+ORDINARY = ["we sent order 2695553296 out", "the order number 12345678 is due", "invoice 4222222222222 is open", "call about order 2695553296 soon",
+            "version 2.13.4 is out", "it was 12:30:45 then", "on 2024-01-15 we met", "bob @home again", "a token 9a10d19030926318f5d here"]
+
+
+def test_disguised_data_is_added_and_an_order_number_is_not(table):
+    rng = random.Random(11)
+    rows = []
+    for i in range(900):
+        n = "".join(rng.choices("0123456789", k=15))
+        card = next(n[:15] + d for d in "0123456789" if luhn(n[:15] + d))
+        name = "".join(rng.choices("abcdef", k=6))
+        rows.append((i, rng.choice(["some words here {} and more", "as it is told, {} then", "call {} now", "order {} now", "at {}."]).format(rng.choice([
+            f"+1 ({n[:3]}) {n[3:6]}-{n[6:10]}", f"{name}@{name}.com", card, f"{n[0]}.{n[1:3]}.{n[3]}.1", n[:9]]))))
+    disguised = [(1000 + i, t) for i, (t, _, _) in enumerate(DISGUISED)]
+    ordinary = [(2000 + i, t) for i, t in enumerate(ORDINARY)]
+    found = personal.find(table(disguised + ordinary), personal.fit(table(rows + disguised * 2)))
+    got = {r["doc_id"]: r for r in found.collect()}
+    for i, (t, kind, span) in enumerate(DISGUISED):
+        row = got[1000 + i]
+        assert row["base"] == [] and (t.index(span), int(kind), t.index(span) + len(span)) in {tuple(s) for s in row["spans"]}, (t, row["spans"])
+    assert {t: got[2000 + i]["spans"] for i, t in enumerate(ORDINARY) if got[2000 + i]["spans"]} == {}
+
+
 def test_trees_as_columns_equal_the_fitted_model(spark):
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
