@@ -74,7 +74,7 @@ def scored_stream(spark, sf, **options):
 
 @query("T1 T2 T10 T7", sql(f"select event_id, {ALL_FEATURES} from feats", "feats"))
 def stream_features(spark, sf):
-    return spark.read.parquet(scored_stream(spark, sf) + "/scored").select("event_id", *FEATURES)
+    return scoring.latest_scores(spark, scored_stream(spark, sf)).select("event_id", *FEATURES)
 
 
 _W = views.W
@@ -89,7 +89,7 @@ _W = views.W
            sum(flag) over (partition by service_name, island order by "timestamp", event_id rows unbounded preceding)
                ::bigint as streak from i""", "scored0"))
 def stream_scores(spark, sf):
-    rows = spark.read.parquet(scored_stream(spark, sf, rows_per_chunk=100) + "/scored")
+    rows = scoring.latest_scores(spark, scored_stream(spark, sf, rows_per_chunk=100))
     return rows.select("event_id", F.round("zscore_value", 6).alias("zscore_value"), "ensemble_is_anomaly",
                        "ensemble_score", F.col("ensemble_score_trend").alias("trend"),
                        F.col("consecutive_anomalous_ticks").alias("streak"))

@@ -8,9 +8,11 @@ import pytest
 from hypothesis import given, strategies as st
 from pyspark.sql import functions as F
 
+from driftwatch.catalog import FEATURES
 from driftwatch.detectors import bundle as bundles
 from driftwatch.operators import alerting, labels
 from driftwatch.operators.rolling import features
+from driftwatch.operators.scaling import Scaler
 from driftwatch.plans import views
 from driftwatch.storage import new_path, stage
 from driftwatch.streaming import alerts, scoring, windows
@@ -51,6 +53,27 @@ def test_late_rows_are_put_aside(spark):
     assert spark.read.parquet(f"{out}/scored").count() == ticks.where("event_id >= 500").count()
 
 
+def test_batches_that_overlap_in_time_equal_the_replay(spark):
+    ticks = stage(views.clean_ticks(spark, SF), "test-ticks")
+    low, high = ticks.agg(F.min("timestamp"), F.max("timestamp")).first()
+    unit = (high - low).total_seconds() / 4
+    shift = F.pmod(F.xxhash64("event_id"), F.lit(1000)) / 1000
+    number = F.floor((F.unix_micros("timestamp") - F.unix_micros(F.lit(low))) / 1e6 / unit + shift)
+    numbered = stage(ticks.withColumn("_no", F.least(number, F.lit(4))), "test-numbered")
+    parts = [numbered.where(f"_no = {n}").drop("_no") for n in range(5)]
+    assert parts[1].agg(F.min("timestamp")).first()[0] < parts[0].agg(F.max("timestamp")).first()[0]
+    only_z = bundles.Bundle(scaler=Scaler(tuple(FEATURES), (0.0,) * len(FEATURES), (1.0,) * len(FEATURES)), zscore_threshold=1.5)
+    path = new_path(spark, "test-overlap")
+    step = scoring.score_step(path, only_z, delay=f"{int(2 * unit) + 1} seconds")
+    for n, part in enumerate(parts):
+        step(part, n)
+    columns = ["event_id", *FEATURES, "zscore_value", "ensemble_score", "ensemble_score_trend", "consecutive_anomalous_ticks"]
+    got = scoring.latest_scores(spark, path).select(*columns).orderBy("event_id").collect()
+    want = bundles.replay(ticks, only_z).select(*columns).orderBy("event_id").collect()
+    assert got == want and max(r["consecutive_anomalous_ticks"] for r in got) > 1
+    assert spark.read.parquet(f"{path}/late").count() == 0
+
+
 def test_a_repeated_batch_changes_nothing(spark):
     ticks = stage(views.clean_ticks(spark, SF), "test-ticks")
     path = new_path(spark, "test-repeat")
