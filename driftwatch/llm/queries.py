@@ -11,6 +11,7 @@ from driftwatch.llm.language import fit as fit_languages
 from driftwatch.llm.language import languages
 from driftwatch.llm.minhash import near_duplicates
 from driftwatch.llm.mixing import mixture
+from driftwatch.llm.negatives import hard_negatives, integer_vectors
 from driftwatch.llm.personal import digests as span_digests
 from driftwatch.llm.personal import find
 from driftwatch.llm.personal import fit as fit_spans
@@ -243,3 +244,30 @@ def op9_warc(spark, sf_dir):
     http = F.array_join(F.transform("http", lambda f: F.concat(f["name"], F.lit("="), f["value"])), ";")
     return out.select(number("record_id").alias("page_id"), "outcome", number("base_id").alias("base_page_id"),
                       "payload_sha256", http.alias("http"))
+
+
+@query("""
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * cast(x as double))) as x
+  from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select a.vec_id as anchor_id, b.vec_id as vec_id, a.label = b.label as same, cast(list_inner_product(a.x, b.x) as bigint) as score
+  from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id
+), positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+), negatives as (
+  select p.*, s.vec_id as negative_id, s.score as negative_score,
+         cast(row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.vec_id) as int) as rank
+  from positives p join scored s on s.anchor_id = p.anchor_id and not s.same
+       and 50 * positive_score <= 100 * s.score and 100 * s.score <= 95 * positive_score
+)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from negatives where rank <= 3
+""")
+def op12_hard_negatives(spark, sf_dir):
+    """Hard negatives of every fiftieth vector against all vectors."""
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(integer_vectors(rows.withColumn("label", moved)), F.col("vec_id") % 50 == 0)
