@@ -15,6 +15,7 @@ from driftwatch.llm.negatives import hard_negatives, integer_vectors
 from driftwatch.llm.personal import digests as span_digests
 from driftwatch.llm.personal import find
 from driftwatch.llm.personal import fit as fit_spans
+from driftwatch.llm.phrases import collocations
 from driftwatch.llm.quality import quality
 from driftwatch.llm.registry import ORACLES, QUERIES, query, table
 from driftwatch.storage import new_path
@@ -271,3 +272,44 @@ def op12_hard_negatives(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives(integer_vectors(rows.withColumn("label", moved)), F.col("vec_id") % 50 == 0)
+
+
+@query(r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents
+), w as (
+  select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces
+), f1 as (
+  select lang, word, count(*) as f from (select lang, unnest(w) as word from w) group by all
+), n as (
+  select lang, sum(f) as n from f1 group by lang
+), f2 as (
+  select lang, g[1] as w1, g[2] as w2, count(*) as f
+  from (select lang, unnest(list_transform(range(1, len(w)), lambda k: w[k:k + 1])) as g from w where len(w) > 1) group by all having count(*) >= 10
+), f3 as (
+  select lang, g[1] as w1, g[2] as w2, g[3] as w3, count(*) as f
+  from (select lang, unnest(list_transform(range(1, len(w) - 1), lambda k: w[k:k + 2])) as g from w where len(w) > 2) group by all having count(*) >= 10
+), cuts as (
+  select p.lang, w1 || ' ' || w2 as phrase, 1 as k, p.f as a, x.f as l, y.f as r
+  from f2 p join f1 x on x.lang = p.lang and x.word = w1 join f1 y on y.lang = p.lang and y.word = w2
+  where not exists (select 1 from f3 t where t.lang = p.lang and 100 * t.f >= 50 * p.f
+                    and (t.w1 = p.w1 and t.w2 = p.w2 or t.w2 = p.w1 and t.w3 = p.w2))
+  union all
+  select t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, 1, t.f, x.f, p.f
+  from f3 t join f1 x on x.lang = t.lang and x.word = t.w1 join f2 p on p.lang = t.lang and p.w1 = t.w2 and p.w2 = t.w3
+  union all
+  select t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, 2, t.f, p.f, x.f
+  from f3 t join f1 x on x.lang = t.lang and x.word = t.w3 join f2 p on p.lang = t.lang and p.w1 = t.w1 and p.w2 = t.w2
+), scored as (
+  select *, cast((cast(1000000 as hugeint) * a * a) // (cast(l as hugeint) * r) as bigint) as score from cuts
+), lowest as (
+  select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1
+)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, cast(n as bigint) as n, score
+from lowest join n using (lang) qualify rank <= 2000
+""")
+def op13_phrases(spark, sf_dir):
+    """The strongest collocations of two or three words in every language."""
+    return collocations(table(spark, sf_dir, "documents"))
