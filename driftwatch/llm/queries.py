@@ -18,6 +18,7 @@ from driftwatch.llm.personal import fit as fit_spans
 from driftwatch.llm.phrases import collocations
 from driftwatch.llm.quality import quality
 from driftwatch.llm.registry import ORACLES, QUERIES, query, table
+from driftwatch.llm.repeats import without_repeats
 from driftwatch.storage import new_path
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -313,3 +314,12 @@ from lowest join n using (lang) qualify rank <= 2000
 def op13_phrases(spark, sf_dir):
     """The strongest collocations of two or three words in every language."""
     return collocations(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op11_repeats(spark, sf_dir):
+    """Every document without the bytes covered by strings of 400 bytes that also stand elsewhere."""
+    out = without_repeats(table(spark, sf_dir, "documents"), 400)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
