@@ -41,3 +41,20 @@ class SequenceModel:
         residual = F.greatest(squared_norm("_centered") - squared_norm("_projected"), F.lit(0.0)) / width
         return projected.withColumn(name, F.when(F.col(sequence).isNotNull(), residual)).drop(
             "_window", "_centered", "_projected")
+
+
+@dataclass(frozen=True)
+class GivenComponents:
+    """A sequence detector from given orthonormal components of the flattened, scaled window, for instance learned elsewhere."""
+
+    components: tuple[tuple[float, ...], ...]
+
+    def add_error(self, df: DataFrame, sequence: str = "sequence", name: str = "lstm_error") -> DataFrame:
+        """Mean squared reconstruction error per row; NULL without a full window."""
+        def added(values):
+            return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+        window = F.col("_window")
+        explained = [added(F.zip_with(window, F.array(*map(F.lit, c)), lambda x, y: x * y)) for c in self.components]
+        rest = added(F.transform(window, lambda x: x * x)) - sum((e * e for e in explained), F.lit(0.0))
+        error = F.greatest(rest, F.lit(0.0)) / F.size(window)
+        return df.withColumn("_window", F.flatten(sequence)).withColumn(name, F.when(F.col(sequence).isNotNull(), error)).drop("_window")

@@ -19,7 +19,7 @@ from driftwatch.catalog import (
     TOP_METRICS,
 )
 from driftwatch.escalation.classifier import inputs, predict
-from driftwatch.functions.columns import percent_text
+from driftwatch.functions.columns import percent_text, sigmoid
 from driftwatch.storage import new_path
 
 UNEXPLAINED = {"ensemble_score"}
@@ -151,14 +151,25 @@ def sentence(probability: Column, top: Column) -> Column:
         *(reason(i, lead) for i, lead in enumerate(SENTENCE_REASONS)), F.lit(SENTENCE_END))
 
 
-def explain(df: DataFrame, model: GBTClassificationModel, features: list[str] = ESCALATION_FEATURES) -> DataFrame:
-    """Add probability, sentence and top contributions to scored readings; `df` needs the feature columns."""
-    spark = df.sparkSession
-    leaves = read_leaves(spark, model)
-    told = predict(model, df, features).withColumn("contributions", contributions(spark, leaves, features))
+def _told(told: DataFrame, features: list[str]) -> DataFrame:
+    """Add sentence and top contributions to rows with `escalation_probability` and `contributions`."""
     told = told.withColumn("_top", top_contributions(features=features))
     p = F.col("escalation_probability")
     return told.withColumns({
         "explanation_text": sentence(p, F.col("_top")),
         "contributing_features": contributing_features(F.col("_top")),
     }).withColumn("escalation_probability", F.round(p, 4)).drop("_top")
+
+
+def explain(df: DataFrame, model: GBTClassificationModel, features: list[str] = ESCALATION_FEATURES) -> DataFrame:
+    """Add probability, sentence and top contributions to scored readings; `df` needs the feature columns."""
+    spark = df.sparkSession
+    leaves = read_leaves(spark, model)
+    return _told(predict(model, df, features).withColumn("contributions", contributions(spark, leaves, features)), features)
+
+
+def explain_leaves(df: DataFrame, leaves: Leaves, features: list[str] = ESCALATION_FEATURES) -> DataFrame:
+    """The same from the leaves alone: contributions add up to the log-odds, so no model has to run beside them."""
+    told = df.withColumn("contributions", contributions(df.sparkSession, leaves, features))
+    margin = sum((F.col(f"contributions.{f}") for f in features), F.lit(leaves.base))
+    return _told(told.withColumns({"escalation_margin": margin, "escalation_probability": sigmoid(margin)}), features)

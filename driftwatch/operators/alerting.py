@@ -45,7 +45,7 @@ def alert_rows(scored: DataFrame) -> DataFrame:
             scored = scored.withColumn(name, F.lit(None).cast(kind))
     return scored.where("ensemble_is_anomaly").select(
         fingerprint(F.col("service_name")).alias("fingerprint"),
-        "service_name", "host", "timestamp", "event_id", "ensemble_score",
+        "service_name", "host", "timestamp", *(c for c in ("event_id",) if c in scored.columns), "ensemble_score",
         detected_by().alias("detected_by"), triggering_metrics().alias("triggering_metrics"),
         *ESCALATION_COLUMNS,
         alert_severity(F.col("escalation_probability"), F.col("votes"), F.col("available")).alias("severity"),
@@ -58,7 +58,7 @@ def alert_id(fp: Column, created_at: Column) -> Column:
 
 
 def alerts(scored: DataFrame, gap_seconds: float = RESOLVE_AFTER_SECONDS, as_of=None,
-           rows_per_chunk: int | None = None, widths: Widths | None = None) -> DataFrame:
+           rows_per_chunk: int | None = None, widths: Widths | None = None, order=("timestamp", "event_id")) -> DataFrame:
     """Alert snapshot from scored history.
 
     Anomalies of one fingerprint that are at most `gap_seconds` apart form one alert; it shows its newest reading, its
@@ -66,7 +66,7 @@ def alerts(scored: DataFrame, gap_seconds: float = RESOLVE_AFTER_SECONDS, as_of=
     that is not given). Pass the `widths` of the readings, or this step derives the scores twice to measure them.
     """
     rows = alert_rows(scored).withColumn("severity_rank", severity_rank(F.col("severity")))
-    s = series(rows, ["fingerprint", "service_name"], ["timestamp", "event_id"], 0, rows_per_chunk, widths)
+    s = series(rows, ["fingerprint", "service_name"], list(order), 0, rows_per_chunk, widths)
     merged = sessions(s, gap_seconds, SNAPSHOT, ["severity_rank"])
     return finish_alerts(merged, gap_seconds, as_of)
 

@@ -2,20 +2,26 @@
 
 from datetime import timedelta
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from driftwatch.catalog import FEATURES, METRICS
+from driftwatch.catalog import ESCALATION_FEATURES, FEATURES, METRICS, SEQUENCE_ROWS
 from driftwatch.detectors.bundle import Bundle
+from driftwatch.detectors.forest import Forest, expected_path
+from driftwatch.detectors.sequence import GivenComponents
+from driftwatch.escalation.explain import Leaves
 from driftwatch.functions.columns import fingerprint
 from driftwatch.operators import alerting
 from driftwatch.operators.scaling import Scaler
 from driftwatch.plans import alerts as alert_plans, views
+from driftwatch.plans import models
 from driftwatch.plans.ingest import REASONS_SQL, SHORT_SCALE, _SHORT_SQL, nested, ntz
 from driftwatch.plans.registry import query
 from driftwatch.plans.views import ALL_FEATURES, sql
-from driftwatch.sources import tables
+from driftwatch.sources import keyed, tables
 from driftwatch.storage import new_path
-from driftwatch.streaming import alerts, ingest, scoring, windows
+from driftwatch.streaming import alerts, ingest, live, scoring, windows
 
 PARTS = 4
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -160,3 +166,125 @@ def stream_alerts(spark, sf):
     snapshot = alerting.latest_snapshot(spark.read.parquet(out))
     return snapshot.select("fingerprint", ntz("created_at"), ntz("last_seen_at"), "occurrence_count", "severity",
                            "anomaly_score")
+
+
+_SNAPSHOT_SQL = sql(f"""select concat('multivariate:', service_name) as fingerprint, started_at as created_at,
+    last_seen_at, occurrence_count, case when critical then 'CRITICAL' else 'WARNING' end
+    as severity, score as anomaly_score from ({_HIGH_ALERTS})""", "clean")
+
+
+@query("S7 T5 T7", _SNAPSHOT_SQL)
+def stream_alert_upserts(spark, sf):
+    """The change log of the alerts in four batches, of which one is repeated, upserted into a stored snapshot by alert id."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    rows = views.clean_ticks(spark, sf).where("cpu_usage > 60").select(
+        fingerprint(F.col("service_name")).alias("fingerprint"), "timestamp", "host",
+        F.col("cpu_usage").alias("ensemble_score"),
+        F.when(F.col("cpu_usage") >= 100, "CRITICAL").otherwise("WARNING").alias("severity"))
+    store = keyed.KeyedStore(new_path(spark, "alert-snapshot"), ("id",))
+
+    def write(batch, batch_id):
+        for _ in range(1 + (batch_id == 1)):
+            keyed.upsert(store, batch, "version", batch_id)
+
+    def start(source, _, checkpoint):
+        changes = alerts.alert_changes(event_stream(spark, source, rows), alert_plans.GAP)
+        return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    run_in_parts(spark, rows, "timestamp", "alert-upserts", start)
+    schema = alerts.CHANGE_LOG
+    return store.read(spark, schema).where("status <> 'MERGED'").select(
+        "fingerprint", ntz("created_at"), ntz("last_seen_at"), "occurrence_count", "severity", "anomaly_score")
+
+
+# A bundle and an escalation model of a few given numbers, so that what the live stream does with them is plain SQL as well.
+_FOREST = [(0, 0, FEATURES.index("cpu_usage"), 90.0, 1, 2, 0.0), (0, 1, 0, np.inf, 1, 1, 8.0), (0, 2, 0, np.inf, 2, 2, 2.0),
+           (1, 0, FEATURES.index("request_latency_ms_z_score"), 2.0, 1, 2, 0.0), (1, 1, 0, np.inf, 1, 1, 7.0), (1, 2, 0, np.inf, 2, 2, 3.0)]
+_OFFSET, _Z, _ERROR = -0.7, 3.0, 12000.0
+# feature: (cut, log-odds up to the cut, share of rows, log-odds above)
+_STUMPS = {"votes": (2.5, -0.4, 0.7, 0.9), "zscore_value": (4.0, -0.6, 0.6, 0.8), "iforest_score": (-0.1, 0.7, 0.25, -0.3),
+           "lstm_error": (20000.0, -0.2, 0.5, 0.5)}
+
+
+def given_bundle():
+    nodes = pd.DataFrame(_FOREST, columns=["tree", "node", "feature", "threshold", "left", "right", "path"])
+    average = tuple(SEQUENCE_ROWS ** -0.5 if k % len(FEATURES) == 0 else 0.0 for k in range(SEQUENCE_ROWS * len(FEATURES)))
+    return Bundle(
+        scaler=Scaler(tuple(FEATURES), (0.0,) * len(FEATURES), (1.0,) * len(FEATURES)), zscore_threshold=_Z,
+        forest=Forest(nodes, 256, _OFFSET), forest_threshold=0.0, sequence=GivenComponents((average,)), sequence_threshold=_ERROR)
+
+
+def given_escalation():
+    value, feature, low, high, share = [], [], [], [], []
+    for name, (cut, below, part, above) in _STUMPS.items():
+        for v, limits, p in ((below, (-np.inf, cut), part), (above, (cut, np.inf), 1 - part)):
+            value.append(v)
+            feature.append([ESCALATION_FEATURES.index(name), 0, 0])
+            low.append([limits[0], -np.inf, -np.inf])
+            high.append([limits[1], np.inf, np.inf])
+            share.append([p, 1.0, 1.0])
+    return Leaves(np.array(value), np.array(feature), np.array(low), np.array(high), np.array(share))
+
+
+def _step(name, missing):
+    cut, below, part, above = _STUMPS[name]
+    return f"(case when coalesce({name}, {missing}) <= {cut} then {below}::double else {above}::double end)", below * part + above * (1 - part)
+
+
+_STEPS = {f: _step(f, {"iforest_score": -10, "lstm_error": -1}.get(f, 0)) for f in _STUMPS}
+_SQUARES = " + ".join(f"{f} * {f}" for f in FEATURES)
+_LAST = f"over ({_W} rows between {SEQUENCE_ROWS - 1} preceding and current row)"
+_GIVEN_SQL = f"""
+    , given0 as (select *, {views._WORST} as zscore_value,
+        -power(2, -((case when cpu_usage <= 90 then 8 else 2 end) + (case when request_latency_ms_z_score <= 2 then 7 else 3 end))
+                   / 2.0::double / {expected_path(256)}) - ({_OFFSET}) as iforest_score,
+        case when count(*) {_LAST} = {SEQUENCE_ROWS} then greatest(sum({_SQUARES}) {_LAST}
+             - power(sum(cpu_usage) {_LAST}, 2) / {SEQUENCE_ROWS}, 0) / {SEQUENCE_ROWS * len(FEATURES)} end as lstm_error from feats),
+    given1 as (select *, zscore_value > {_Z} as zscore_flag, iforest_score < 0 as iforest_flag, coalesce(lstm_error > {_ERROR}, false) as lstm_flag,
+        2 + (lstm_error is not null)::int as available from given0),
+    given2 as (select *, zscore_flag::int + iforest_flag::int + lstm_flag::int as votes from given1),
+    given3 as (select *, round(votes::double / available, 4) as ensemble_score, votes >= available // 2 + 1 as ensemble_is_anomaly from given2),
+    given4 as (select *, {' + '.join(s for s, _ in _STEPS.values())} as margin from given3 where ensemble_is_anomaly),
+    given5 as (select *, 1 / (1 + exp(-margin)) as p, list_sort([{', '.join(
+        f"{{'size': -abs({s} - ({mean})), 'place': {i}, 'feature': '{f}', 'c': {s} - ({mean})}}"
+        for i, (f, (s, mean)) in enumerate(_STEPS.items()))}]) as top from given4),
+    given as (select *, case when p >= 0.5 then 2 when p >= 0.2 then 1 else 0 end as rank,
+        concat('This incident looks ', case when p >= 0.5 then 'likely' else 'unlikely' end, ' to become severe (',
+            cast(cast(round(p * 100, 0) as int) as varchar), '% confidence), mainly because ', {models._text(1)}, ', and ',
+            {models._text(2)}, '. A smaller factor: ', {models._text(3)}, '.') as explanation_text from given5),
+    opened as (select *, case when "timestamp" - lag("timestamp") over ({_W}) <= interval {alert_plans.GAP_HOURS} hour then 0 else 1 end as opens
+               from given),
+    islands as (select *, sum(opens) over ({_W}) as island from opened)"""
+_METRIC_SIZES = "list_sort([" + ", ".join(
+    f"{{'size': -abs({m}_z_score), 'place': {i}, 'metric': '{m}'}}" for i, m in enumerate(METRICS)) + "])"
+_SHOWN = ["host", "ensemble_score", "votes", "available", "zscore_flag", "iforest_flag", "lstm_flag", "explanation_text"]
+
+
+@query("T1 T3 T5 T6 M7 M9 M10 M11 M18 M19 S7 W7 W8", sql(_GIVEN_SQL + f"""
+    select concat('multivariate:', service_name) as fingerprint, min("timestamp") as created_at, max("timestamp") as last_seen_at,
+        count(*)::int as occurrence_count, case max(rank) when 2 then 'CRITICAL' when 1 then 'WARNING' else 'INFO' end as severity,
+        {', '.join(f'arg_max({c}, event_id) as {c}' for c in _SHOWN)},
+        round(arg_max(p, event_id), 4) as escalation_probability,
+        arg_max(concat_ws(',', m[1].metric, m[2].metric, m[3].metric), event_id) as metrics,
+        arg_max(top[1].feature, event_id) as first_feature, round(arg_max(top[1].c, event_id), 4) as first_contribution
+    from (select *, {_METRIC_SIZES} as m from islands) group by service_name, island""", "feats"))
+def stream_explained_alerts(spark, sf):
+    """Payloads in, alerts with votes, metrics, probability and sentence out, through all three detectors and the escalation model."""
+    path = {}
+
+    def start(source, out, checkpoint):
+        path["out"] = out
+        return live.start_live(tables.read_payload_stream(spark, source), out, checkpoint, given_bundle(), given_escalation(),
+                               gap_seconds=alert_plans.GAP, on_invalid="repair", scale=views.SCALE)
+
+    run_in_parts(spark, nested(views.ticks(spark, sf)), "timestamp", "live", start, tables.append_json)
+    found = live.stored_alerts(spark, path["out"], alert_plans.GAP)
+    by = F.col("detected_by")
+    return found.select(
+        "fingerprint", ntz("created_at"), ntz("last_seen_at"), "occurrence_count", "severity", "host",
+        F.col("anomaly_score").alias("ensemble_score"), by["votes"].alias("votes"), by["total_available"].alias("available"),
+        by["zscore"].alias("zscore_flag"), by["iforest"].alias("iforest_flag"), by["lstm"].alias("lstm_flag"), "explanation_text",
+        F.round("escalation_probability", 4).alias("escalation_probability"),
+        F.array_join(F.transform("triggering_metrics", lambda m: m["metric"]), ",").alias("metrics"),
+        F.col("contributing_features")[0]["feature"].alias("first_feature"),
+        F.col("contributing_features")[0]["contribution"].alias("first_contribution"))

@@ -37,6 +37,10 @@ CHANGES = T.StructType([
 ])
 
 
+# What the change log holds without further facts.
+CHANGE_LOG = T.StructType([T.StructField(f.name, T.TimestampType() if f.name in TIMES else f.dataType) for f in CHANGES if f.name != "facts"])
+
+
 class Alert(NamedTuple):
     """Anomalies that belong together; times in microseconds."""
 
