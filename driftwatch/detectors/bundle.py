@@ -134,9 +134,9 @@ def score(s: Series, bundle: Bundle) -> Series:
 
 
 def replay(ticks: DataFrame, bundle: Bundle, keys=("service_name",), order=("timestamp", "event_id"),
-           widths: Widths | None = None) -> DataFrame:
+           widths: Widths | None = None, scale: int | None = 4) -> DataFrame:
     """Score the whole history as it would have been scored live, with the score trend and the anomaly streak."""
-    s = score(add_features(series(ticks, list(keys), list(order), REPLAY_LOOKBACK, widths=widths)), bundle)
+    s = score(add_features(series(ticks, list(keys), list(order), REPLAY_LOOKBACK, widths=widths), scale=scale), bundle)
     s = stored(add_trend(s, "ensemble_score"), "replay")
     return streak(s, "ensemble_is_anomaly", "consecutive_anomalous_ticks").rows()
 

@@ -53,6 +53,18 @@ def window_summary_of_ticks(ticks: DataFrame, window: str = SUMMARY_WINDOW, scal
         F.lit(window).alias("window_size"), "service_name", "metric_name", "s.*")
 
 
+def distinct_sketches(df: DataFrame, value: str, window: str, ts: str = "timestamp", keys: tuple[str, ...] = (), lg: int = 12) -> DataFrame:
+    """A HyperLogLog sketch of the distinct values per window and keys; sketches of any windows can be united."""
+    grouped = df.groupBy(F.window(ts, window).alias("w"), *keys).agg(F.hll_sketch_agg(value, lg).alias("sketch"))
+    return grouped.select(F.col("w.start").alias("window_start"), *keys, "sketch")
+
+
+def distinct_estimates(sketches: DataFrame, window: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct counts of longer windows from sketches of shorter ones; off by about 1.6 % for lg = 12, exact for few values."""
+    united = sketches.groupBy(F.window("window_start", window).alias("w"), *keys).agg(F.hll_union_agg("sketch").alias("sketch"))
+    return united.select(F.col("w.start").alias("window_start"), *keys, F.hll_sketch_estimate("sketch").alias("estimate"))
+
+
 def _summary_of(metric: str, scale: int | None) -> list[Column]:
     value = F.col(metric).cast("double")
     return [

@@ -44,6 +44,24 @@ def score_sink(spark, sf):
     return stored.groupBy("service_name").agg(F.count("*").alias("n"), F.sum("votes").alias("votes"))
 
 
+_SCORE_ROW = ["service_name", "host", "zscore_value", "zscore_flag", "iforest_score", "iforest_flag", "lstm_error", "lstm_flag", "votes",
+              "ensemble_score"]
+
+
+@query("S5 T6", sql(f"""select "timestamp", {', '.join(_SCORE_ROW[:2])}, null::varchar as metric_name,
+    {', '.join(f'round({c}, 6) as {c}' if c in ('zscore_value', 'iforest_score', 'lstm_error') else c for c in _SCORE_ROW[2:-2])},
+    votes::int as votes, ensemble_score, ensemble_is_anomaly as is_anomaly, 'v1' as model_version from scored""", "scored"))
+def score_rows_sink(spark, sf):
+    """All columns of every score, stored by day and read back."""
+    rows = views.scored(spark, sf).select("timestamp", *_SCORE_ROW[:2], F.lit(None).cast("string").alias("metric_name"), *_SCORE_ROW[2:-2],
+                                          F.col("votes").cast("int").alias("votes"), "ensemble_score",
+                                          F.col("ensemble_is_anomaly").alias("is_anomaly"), F.lit("v1").alias("model_version"))
+    path = new_path(spark, "score-rows")
+    tables.write_by_date(rows, path)
+    rounded = {c: F.round(c, 6) for c in ("zscore_value", "iforest_score", "lstm_error")}
+    return tables.read_by_date(spark, path, rows.schema).drop("date").withColumns({"timestamp": ntz("timestamp")} | rounded)
+
+
 @query("M9 M10 M11 X5 X14", sql(f"""select event_id, concat('multivariate:', service_name) as fingerprint,
     votes::int as votes, available::int as total_available, zscore_flag as zscore, iforest_flag as iforest,
     lstm_flag as lstm, {_SEVERITY} as severity from scored where ensemble_is_anomaly""", "scored"))

@@ -8,7 +8,7 @@ from driftwatch.plans import views
 from driftwatch.plans.registry import query
 from driftwatch.plans.views import SEVEN, sql
 from driftwatch.sources import tables
-from driftwatch.storage import new_path
+from driftwatch.storage import new_path, stage
 
 NTZ = "timestamp_ntz"
 RAW_SEVEN = SEVEN.replace("db_connections", "cast(db_connections as bigint) as db_connections")
@@ -79,6 +79,20 @@ def readings_sink(spark, sf):
         F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
 
 
+_NARROW = 'partition by service_name, metric_name order by "timestamp", event_id'
+
+
+@query("S4 W1 W2 W4", sql(f"""select "timestamp", service_name, host, metric_name, value, rolling_avg, z_score, rate_of_change
+    from (select *, {views.rolling_sql('value', '', _NARROW)} from readings)""", "readings"))
+def enriched_readings_sink(spark, sf):
+    """Every reading with its labels, stored by day and read back."""
+    rows = rolling.narrow_features(views.readings(spark, sf), scale=views.SCALE).drop("event_id")
+    path = new_path(spark, "enriched")
+    tables.write_by_date(rows, path)
+    stored = tables.read_by_date(spark, path, rows.schema)
+    return stored.select(ntz("timestamp"), "service_name", "host", "metric_name", "value", "labels.*")
+
+
 @query("S8", sql('select "timestamp", service_name, host, metric_name, value from readings', "readings"))
 def full_history(spark, sf):
     return views.readings(spark, sf).select(ntz("timestamp"), "service_name", "host", "metric_name", "value")
@@ -197,6 +211,17 @@ def distinct_services(spark, sf):
         F.count_distinct("service_name").alias("services"), F.count_distinct("host").alias("hosts"))
 
 
+@query("A6", sql("""select date_trunc('day', ts) as window_start, count(distinct user_id) as users, true as close from events group by 1"""))
+def distinct_users_from_sketches(spark, sf):
+    """Daily distinct users from hourly sketches, held against the exact count."""
+    rows = views.events(spark, sf)
+    sketches = stage(rollup.distinct_sketches(rows, "user_id", "1 hour", "ts"), "sketches")
+    daily = rollup.distinct_estimates(sketches, "1 day")
+    exact = rows.groupBy(F.window("ts", "1 day")["start"].alias("window_start")).agg(F.count_distinct("user_id").alias("users"))
+    near = F.abs(F.col("estimate") - F.col("users")) <= F.greatest(F.lit(1.0), F.col("users") * 0.06)
+    return exact.join(daily, "window_start").select(ntz("window_start"), "users", near.alias("close"))
+
+
 @query("A21", sql("""select service_name, count(*) as "rows", count(*) // 7 as samples, min("timestamp") as first_at,
                      max("timestamp") as last_at from readings group by service_name""", "readings"))
 def load_audit(spark, sf):

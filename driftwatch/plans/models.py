@@ -10,6 +10,7 @@ from driftwatch.operators import alerting, evaluation, labels
 from driftwatch.operators.rolling import SEQUENCE_LOOKBACK, add_features, add_sequence, feature_vector, features
 from driftwatch.operators.scaling import Scaler
 from driftwatch.operators.series import series
+from driftwatch.operators.training import read_training_set, write_training_set
 from driftwatch.plans import views
 from driftwatch.plans.ingest import ntz
 from driftwatch.plans.labelling import LINE
@@ -116,6 +117,53 @@ def escalation_model(spark, sf):
     return classifier.fit(escalation_rows(spark, sf).where("split = 'train'"))
 
 
+def _meta(rows):
+    return rows.where("split = 'test'").select("episode_id", "category", "anomaly_type", "severity")
+
+
+@query("S14", sql("""
+    , early as (select l.* from labelled l where is_anomaly and progress <= 0.5 and episode_id is not null),
+    e as (select episode_id, row_number() over (order by min("timestamp")) > (count(*) over () * 4) // 5 as test
+          from early group by episode_id)
+    select episode_id, category, anomaly_type, severity from early join e using (episode_id) where test""", "labelled"))
+def escalation_meta(spark, sf):
+    """What the CSV beside the escalation matrix holds, read back."""
+    path = new_path(spark, "escalation-meta")
+    tables.write_csv(_meta(escalation_rows(spark, sf)), path)
+    return spark.read.option("header", True).csv(path).select("episode_id", "category", "anomaly_type", "severity")
+
+
+_FIXED = Scaler(tuple(FEATURES), (50.0,) * len(FEATURES), (10.0,) * len(FEATURES))
+_SCALED = " + ".join(f"({f} - 50.0::double) / 10.0::double" for f in FEATURES)
+_LAST_20 = f"over ({views.W} rows between 19 preceding and current row)"
+
+
+@query("S12 S13 F13 M1 W6", sql(f"""
+    , r as (select *, {_SCALED} as total, case when row_number() over (order by "timestamp", event_id) <= (count(*) over () * 80) // 100
+                then 'train' else 'test' end as split from labelled),
+    s as (select *, count(*) {_LAST_20} = 20 as complete, sum(total) {_LAST_20} as together from r)
+    select split, count(*) as "rows", sum(is_anomaly::int)::bigint as anomalies, count_if(complete)::bigint as sequences,
+        round(sum(total), 3) as total, round(sum(case when complete then together end), 2) as sequence_total,
+        28::bigint as width, 20::bigint as length from s group by split""", "labelled"))
+def training_set(spark, sf):
+    """Features, sequences, labels and splits of all readings, stored and read back; another order of features is refused."""
+    path = new_path(spark, "training-set")
+    write_training_set(training_rows(spark, sf), path, _FIXED, widths=views.widths(spark, sf))
+    try:
+        read_training_set(spark, path, FEATURES[::-1])
+        raise AssertionError("a training set with other features was not refused")
+    except ValueError:
+        rows = read_training_set(spark, path, scaler=_FIXED)
+
+    def added(values):
+        return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+    return rows.groupBy("split").agg(
+        F.count("*").alias("rows"), F.sum("label").alias("anomalies"), F.count("sequence").alias("sequences"),
+        F.round(F.sum(added(F.col("features"))), 3).alias("total"),
+        F.round(F.sum(added(F.flatten("sequence"))), 2).alias("sequence_total"),
+        F.max(F.size("features")).cast("long").alias("width"), F.max(F.size("sequence")).cast("long").alias("length"))
+
+
 @query("S12 S14", sql(f"""
     , early as (select l.episode_id, l."timestamp", (l.severity = 'severe')::int as y from labelled l
                 where is_anomaly and progress <= 0.5 and episode_id is not null),
@@ -130,7 +178,7 @@ def escalation_files(spark, sf):
     vector = feature_vector(ESCALATION_FEATURES)
     rows.select("split", vector.alias("features"), F.col("will_be_severe").alias("label")).write.partitionBy(
         "split").parquet(f"{path}/matrix")
-    tables.write_csv(rows.where("split = 'test'").select("episode_id", "anomaly_type", "severity"), f"{path}/meta")
+    tables.write_csv(_meta(rows), f"{path}/meta")
     stored = spark.read.parquet(f"{path}/matrix").groupBy("split").agg(
         F.count("*").alias("rows"), F.sum("label").alias("severe"))
     meta = spark.read.option("header", True).csv(f"{path}/meta").agg(F.count("*").alias("meta_rows"))

@@ -218,6 +218,12 @@ def recall_report(spark, sf):
         "recall", F.round("recall", 6))
 
 
+@query("A17", sql(f"""select category, round(avg(ensemble_is_anomaly::int), 6) as recall, count(*) as n_readings
+    from (select s.*, l.is_anomaly, l.category from scored s join labelled l using (event_id)) where is_anomaly group by category""", "scored", "labelled"))
+def recall_by_category(spark, sf):
+    return evaluation.recall_by(judged(spark, sf), "is_anomaly", "ensemble_is_anomaly", "category").withColumn("recall", F.round("recall", 6))
+
+
 @query("M16", sql(f""", early as (select cast(severity = 'severe' as int) as y from labelled
         where is_anomaly and progress <= 0.5 and episode_id is not null)
     select sum(y)::bigint as tp, (count(*) - sum(y))::bigint as fp, round(avg(y), 6) as precision,

@@ -7,12 +7,13 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from driftwatch.catalog import ESCALATION_FEATURES, FEATURES, METRICS, SEQUENCE_ROWS
+from driftwatch.detectors import bundle as bundles
 from driftwatch.detectors.bundle import Bundle
 from driftwatch.detectors.forest import Forest, expected_path
 from driftwatch.detectors.sequence import GivenComponents
-from driftwatch.escalation.explain import Leaves
+from driftwatch.escalation.explain import Leaves, explain_leaves
 from driftwatch.functions.columns import fingerprint
-from driftwatch.operators import alerting
+from driftwatch.operators import alerting, rollup
 from driftwatch.operators.scaling import Scaler
 from driftwatch.plans import alerts as alert_plans, views
 from driftwatch.plans import models
@@ -21,7 +22,7 @@ from driftwatch.plans.registry import query
 from driftwatch.plans.views import ALL_FEATURES, sql
 from driftwatch.sources import keyed, tables
 from driftwatch.storage import new_path
-from driftwatch.streaming import alerts, ingest, live, scoring, windows
+from driftwatch.streaming import alerts, ingest, live, retry, scoring, windows
 
 PARTS = 4
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -288,3 +289,76 @@ def stream_explained_alerts(spark, sf):
         F.array_join(F.transform("triggering_metrics", lambda m: m["metric"]), ",").alias("metrics"),
         F.col("contributing_features")[0]["feature"].alias("first_feature"),
         F.col("contributing_features")[0]["contribution"].alias("first_contribution"))
+
+
+@query("M5 M6 M7 M8 W7 W8", sql(_GIVEN_SQL + f""",
+    streaks as (select *, sum(1 - ensemble_is_anomaly::int) over ({_W} rows unbounded preceding) as run,
+                ensemble_score - lag(ensemble_score, 5) over ({_W}) as trend from given3)
+    select event_id, round(zscore_value, 6) as zscore_value, round(iforest_score, 9) as iforest_score, round(lstm_error, 3) as lstm_error,
+        zscore_flag, iforest_flag, lstm_flag, votes::int as votes, available::int as available, ensemble_score, ensemble_is_anomaly,
+        round(trend, 4) as trend, sum(ensemble_is_anomaly::int) over (partition by service_name, run order by "timestamp", event_id
+            rows unbounded preceding)::bigint as streak from streaks""", "feats"))
+def replay_of_given_models(spark, sf):
+    """The whole history through a forest of a given node table and a sequence detector of given components."""
+    rows = bundles.replay(views.clean_ticks(spark, sf), given_bundle(), widths=views.widths(spark, sf), scale=views.SCALE)
+    return rows.select(
+        "event_id", F.round("zscore_value", 6).alias("zscore_value"), F.round("iforest_score", 9).alias("iforest_score"),
+        F.round("lstm_error", 3).alias("lstm_error"), "zscore_flag", "iforest_flag", "lstm_flag", F.col("votes").cast("int").alias("votes"),
+        F.col("available").cast("int").alias("available"), "ensemble_score", "ensemble_is_anomaly",
+        F.round("ensemble_score_trend", 4).alias("trend"), F.col("consecutive_anomalous_ticks").alias("streak"))
+
+
+@query("M15 M17 M18", sql(_GIVEN_SQL + f"""
+    select event_id, round(margin, 6) as margin, round(p, 4) as escalation_probability, explanation_text,
+        {', '.join(f'round({s} - ({mean}), 6) as {f}' for f, (s, mean) in _STEPS.items())} from given""", "feats"))
+def contributions_of_given_leaves(spark, sf):
+    """Shapley contributions of the leaves of a given model, for every anomalous reading."""
+    rows = bundles.replay(views.clean_ticks(spark, sf), given_bundle(), widths=views.widths(spark, sf), scale=views.SCALE)
+    told = explain_leaves(rows.where("ensemble_is_anomaly"), given_escalation())
+    return told.select("event_id", F.round("escalation_margin", 6).alias("margin"), "escalation_probability", "explanation_text",
+                       *(F.round(f"contributions.{f}", 6).alias(f) for f in _STEPS))
+
+
+@query("T4 T8 S6", sql(f"""select date_trunc('hour', "timestamp") as window_start, service_name, metric_name, {_SHORT_SQL}
+    from readings group by all""", "readings"))
+def stream_summary_upserts(spark, sf):
+    """Hourly summaries that are corrected by rows which come up to eight minutes late, and that are complete to the last window."""
+    rows = views.clean_ticks(spark, sf).withColumn("arrives", F.col("timestamp") + F.make_dt_interval(mins=F.pmod("event_id", F.lit(3)) * 4))
+    path = {}
+
+    def start(source, out, checkpoint):
+        path["out"] = out
+        return windows.start_summary_upserts(event_stream(spark, source, rows).drop("arrives"), out, checkpoint, "1 hour", scale=SHORT_SCALE)
+
+    run_in_parts(spark, rows, "arrives", "summary-upserts", start)
+    shown = rollup.window_summary_of_ticks(rows, "1 hour", SHORT_SCALE)
+    found = windows.stored_summaries(spark, path["out"], shown.schema)
+    return found.select(ntz("window_start"), "service_name", "metric_name", "avg_value", "min_value", "max_value", "sample_count")
+
+
+@query("T7 T1", sql("""
+    , cut as (select min("timestamp") as low, max("timestamp") - min("timestamp") as span from ticks),
+    placed as (select service_name, case when "timestamp" >= low + span / 4 * 2 and "timestamp" < low + span / 4 * 3 then 'dead' else 'taken' end as went
+               from ticks, cut)
+    select service_name, went, count(*) as n, case when went = 'dead' then 3 end as attempts from placed group by all""", "ticks"))
+def stream_retries(spark, sf):
+    """Four batches, of which the second passes at the third attempt and the third never does."""
+    tries = {}
+
+    def start(source, out, checkpoint):
+        intake = ingest.take_in(out, "repair")
+
+        def step(batch, batch_id):
+            tries[batch_id] = tries.get(batch_id, 0) + 1
+            if batch_id == 2 or (batch_id == 1 and tries[1] < 3):
+                raise RuntimeError("the step broke off")
+            intake(batch, batch_id)
+        return tables.read_payload_stream(spark, source).writeStream.foreachBatch(
+            retry.retrying(step, out, 3, 0.01)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    out = run_in_parts(spark, nested(views.ticks(spark, sf)), "timestamp", "retries", start, tables.append_json)
+    taken = spark.read.parquet(f"{out}/ticks").groupBy("service_name").agg(
+        F.lit("taken").alias("went"), F.count("*").alias("n"), F.lit(None).cast("int").alias("attempts"))
+    dead = spark.read.parquet(f"{out}/dead").groupBy("service_name").agg(
+        F.lit("dead").alias("went"), F.count("*").alias("n"), F.max("attempts").alias("attempts"))
+    return taken.unionByName(dead)

@@ -66,6 +66,11 @@ def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features(clean_ticks(spark, sf_dir), scale=SCALE, widths=widths(spark, sf_dir))
 
 
+# A category of the scenario catalogue for each kind of event.
+CATEGORY = ("CASE event_type WHEN 'click' THEN 'spike' WHEN 'error' THEN 'plateau' WHEN 'purchase' THEN 'surge' "
+            "WHEN 'signup' THEN 'trend' ELSE 'dip' END")
+
+
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels; every 500th event has a second line with the same key."""
     kind = "(day(ts) + user_id % 8) % 3"
@@ -74,6 +79,7 @@ def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat('svc-', string(user_id % 8)) AS service_name",
         "value > 100 AS is_anomaly",
         "CASE WHEN value > 100 THEN event_type ELSE 'normal' END AS anomaly_type",
+        f"CASE WHEN value > 100 THEN {CATEGORY} END AS category",
         "CASE WHEN value > 100 THEN concat('ep-', string(user_id % 8), '-', string(day(ts))) END AS episode_id",
         f"CASE WHEN value <= 100 THEN 'none' WHEN {kind} = 0 THEN 'mild' WHEN {kind} = 1 THEN 'moderate'"
         " ELSE 'severe' END AS severity",
@@ -158,11 +164,12 @@ VIEWS = {
         f"select event_id, \"timestamp\", service_name, host, '{m}' as metric_name, {m} as value from clean"
         for m in METRICS),
     "feats": "select *, " + ", ".join(rolling_sql(m, f"{m}_") for m in METRICS) + " from clean",
-    "truth": """
+    "truth": f"""
         select e."ts" as "timestamp",
                concat('svc-', cast(e.user_id % 8 as varchar)) as service_name,
                e.value > 100 as is_anomaly,
                case when e.value > 100 then e.event_type else 'normal' end as anomaly_type,
+               case when e.value > 100 then {CATEGORY} end as category,
                case when e.value > 100 then concat('ep-', cast(e.user_id % 8 as varchar), '-',
                     cast(day(e."ts") as varchar)) end as episode_id,
                case when e.value <= 100 then 'none'
@@ -184,7 +191,7 @@ VIEWS = {
           select *, row_number() over (partition by sec, service_name order by "timestamp", copy_no) as rn
           from truth_secs) where rn = 1""",
     "labelled": """
-        select f.*, coalesce(l.is_anomaly, false) as is_anomaly, l.anomaly_type, l.severity, l.progress, l.episode_id
+        select f.*, coalesce(l.is_anomaly, false) as is_anomaly, l.anomaly_type, l.category, l.severity, l.progress, l.episode_id
         from feats_secs f left join labels1 l on f.sec = l.sec and f.service_name = l.service_name""",
     "scored0": f"""
         select *, {_WORST} as zscore_value, 0.3::double - cpu_usage / 200.0::double as iforest_score,
