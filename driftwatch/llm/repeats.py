@@ -13,6 +13,7 @@ this half share; parts that nobody shares drop out, and equal contexts of a part
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +22,8 @@ from driftwatch.llm.words import mix
 from driftwatch.storage import stage
 
 GRAM = 32  # bytes of an anchor
-SEGMENT = 1 << 23  # bytes of one text that are hashed at once
+SEGMENT = 1 << 21  # bytes of one text that are hashed at once
+TAKEN = 1 << 23  # bytes of texts that are taken out of a batch at once
 PLACES = 24  # bits of a place within what is hashed at once
 CONTEXTS = 4096  # different contexts of an anchor that are transformed together; more are divided
 HELD = 8192  # contexts of several anchors that are transformed together
@@ -96,10 +98,20 @@ def anchors(texts, length):
         yield docs[segment], own, left, right, hashes[place], c1, c2
 
 
+def _parts(batch):
+    """Slices of a batch with at most about TAKEN bytes of texts each."""
+    sizes = np.cumsum(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + TAKEN, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def _anchor_rows(length):
     def run(batches):
-        for batch in batches:
-            texts = [t.as_py() for t in batch.column(2)]
+        for batch in (part for whole in batches for part in _parts(whole)):
+            texts = batch.column(2).to_pylist()
             found = list(anchors(texts, length))
             if not found:
                 continue
@@ -131,7 +143,7 @@ def long_matches(symbols, given, group, length):
     begin[np.r_[True, group[1:] != group[:-1]]] = columns + 1
     for column in range(columns):
         here = order
-        symbol = np.where(given[here, column], symbols[here, column], 256 + here)  # what is not given differs from everything
+        symbol = np.where(given[here, column], symbols[here, column].astype(np.int64), 256 + here)  # what is not given differs from everything
         key = base[here] + symbol
         place = np.argsort(key, kind="stable")
         order, sorted_key = here[place], key[place]
@@ -169,7 +181,7 @@ def _transformed(length):
         left, right, place, n = (np.array(x, np.int64) for x in (left, right, place, n))
         columns = np.arange(reach + length)
         given = (columns >= (reach - left)[:, None]) & (columns < (reach + right)[:, None])
-        symbols = np.zeros(given.shape, np.int64)
+        symbols = np.zeros(given.shape, np.uint8)
         symbols[given] = np.frombuffer(b"".join(text), np.uint8)
         marks = np.zeros((len(rows), reach + 1), np.int8)
         marks[order] = long_matches(symbols[order], given[order], group[order], length)
