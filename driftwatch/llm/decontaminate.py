@@ -3,13 +3,16 @@
 The index holds the items, and every passage of every document is a query. An item's weights are divided by its score
 against itself, so one threshold (a share of the item's own score) serves all. Passages overlap by half and are at
 least twice as long as the longest item, so an item that stands in a document stands whole in one passage. Items that
-pass the threshold are confirmed by the shares of question and answer word runs that the passage holds.
+pass the threshold are confirmed by the shares of word runs that the passage holds: of question and answer, of the whole item, or
+of a question that stands alone. So an item with an edited or missing answer is found too.
 """
 
+import pickle
 import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +21,8 @@ from driftwatch.storage import stage
 
 K1, B = 1.2, 0.75
 SHARE = 0.5  # of an item's own score that a passage must reach
-OVERLAP = 0.6  # share of the question's and of the answer's word runs
+OVERLAP = 0.6  # share of the question's and of the answer's word runs, or of the whole item's
+ALONE = 0.9, 8  # share of a question's word runs that suffices by itself, and how many runs it must have for that
 RUN = 5  # words in a run
 PASSAGE = 128  # words in a passage, at least
 BLOCK = 32  # postings under one maximum
@@ -71,7 +75,7 @@ class Index:
                 lists.setdefault(t, []).append((len(self.ids), w))
             question, answer = question_answer(text)
             q, a = _hash(question), _hash(answer)
-            self.checks.append((_runs(q, RUN), min(RUN, len(q)), _runs(a, RUN), min(RUN, len(a))))
+            self.checks.append((_runs(q, RUN), min(RUN, len(q)), _runs(a, RUN), min(RUN, len(a)), _runs(hashes, RUN), min(RUN, len(hashes))))
             self.ids.append(item_id)
             self.longest = max(self.longest, len(hashes))
         self.terms = np.array(sorted(lists), np.uint64)
@@ -194,12 +198,14 @@ class Index:
             inside = np.unique(term[here][hit[here]])
             runs = {}
             for item, score in self.search(inside.tolist(), share):
-                q, nq, a, na = self.checks[item]
-                for n in (nq, na):
+                q, nq, a, na, whole, nw = self.checks[item]
+                for n in (nq, na, nw):
                     if n not in runs:
                         runs[n] = _runs(hashes[here], n) if n else np.zeros(0, np.uint64)
-                got = [float(np.isin(w, runs[n], assume_unique=True).mean()) if len(w) else 1.0 for w, n in ((q, nq), (a, na))]
-                if min(got) >= overlap and (item not in out or (min(got), score) > (min(out[item][1:]), out[item][0])):
+                *got, every = [float(np.isin(w, runs[n], assume_unique=True).mean()) if len(w) else 1.0
+                               for w, n in ((q, nq), (a, na), (whole, nw))]
+                alone = got[0] >= max(overlap, ALONE[0]) and len(q) >= ALONE[1]
+                if (max(min(got), every) >= overlap or alone) and (item not in out or (min(got), score) > (min(out[item][1:]), out[item][0])):
                     out[item] = (score, *got)
         return out
 
@@ -248,7 +254,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, overlap:
           max_words: int = MAX_WORDS) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) of every document and test item found in it.
 
-    Score is the part of the item's own BM25 score that the best passage reaches. Words are runs of letters and digits in lower case.
+    An item is found where a passage reaches `share` of the item's own BM25 score and holds `overlap` of the word runs of both its question and
+    its answer (the last sentence), or of the whole item, or nearly all of a question that is not short. Score is the part of the item's own BM25
+    score that the best passage reaches. Words are runs of letters and digits in lower case.
     Null and empty texts, and items without words or item_id, match nothing; items that share an item_id count as one, with the best values.
     Repeated documents get their rows each; a null doc_id stays null; other columns do not matter; empty tables give
     an empty result.
@@ -256,10 +264,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, overlap:
     out = None
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     for index in indexes(benchmark, max_words):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(index))  # with its code: workers need no package
 
         def run(batches, shared=shared):
-            index = shared.value
+            index = pickle.loads(shared.value)
             for batch in batches:
                 found = []
                 for doc, items in zip(batch.column(0).to_pylist(),
@@ -284,11 +292,12 @@ def clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, overlap:
     """The rows of `docs` in which no test item is found, with all columns as they are."""
     at = docs.columns.index("text")
     for index in indexes(benchmark, max_words):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(index))  # with its code: workers need no package
 
         def run(batches, shared=shared):
+            index = pickle.loads(shared.value)
             for batch in batches:
-                found = shared.value.each(batch.column(at).cast(pa.string()).to_pylist(), share, overlap)
+                found = index.each(batch.column(at).cast(pa.string()).to_pylist(), share, overlap)
                 yield batch.filter(pa.array([not x for x in found], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
