@@ -33,6 +33,11 @@ OFF_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "
              "masthead", "cookie", "cookies", "consent", "notice", "notices", "gdpr", "popup", "modal", "newsletter",
              "subscribe", "signup", "login", "share", "sharing", "social", "related", "recommended", "comment", "comments",
              "reply", "replies", "disqus", "widget", "toolbar", "pagination", "pager", "copyright", "overlay", "paywall"}
+# words that say nothing about what a part holds; a class name names such a part only if all its other words do
+PLAIN_WORDS = {"box", "bar", "block", "wrap", "wrapper", "container", "area", "list", "section", "inner", "outer", "slot", "unit", "top",
+               "bottom", "left", "right", "main", "site", "page", "global", "links", "buttons", "form", "item", "items", "icon", "icons"}
+# elements of the running text, which no class name takes out of a marked main part
+RUNNING = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "td", "th", "dt", "dd", "figcaption", "caption"}
 OFF_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form"}
 KEPT = {"html", "body", "main", "article"}
 MAIN = {"article", "main"}
@@ -47,15 +52,26 @@ def _attributes(text):
     return {m[1].lower(): references.unescape((m[2] or "").strip("\"'")).lower() for m in _ATTRIBUTE.finditer(text)} if text else {}
 
 
-def _off(name, attributes):
+def _named_off(names):
+    """Whether one of the class names or ids says that a part is not the article: "cookie-notice", but not "social-science"."""
+    for name in names.split():
+        telling = [w for w in _NAME.findall(name) if w not in PLAIN_WORDS and not w.isdigit()]
+        if telling and all(w in OFF_WORDS for w in telling):
+            return True
+    return False
+
+
+def _off(name, attributes, in_main):
     if name in OFF_NAMES:
         return True
     if name in KEPT or not attributes:
         return False
-    named = set(_NAME.findall(attributes.get("class", "") + " " + attributes.get("id", "")))
-    return bool(named & OFF_WORDS or attributes.get("role") in OFF_ROLES or "hidden" in attributes
-                or attributes.get("aria-hidden") == "true"
-                or "display:none" in attributes.get("style", "").replace(" ", ""))
+    if (attributes.get("role") in OFF_ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true"
+            or "display:none" in attributes.get("style", "").replace(" ", "")):
+        return True
+    if name in INLINE or in_main and name in RUNNING:  # part of a sentence, or running text
+        return False
+    return _named_off(attributes.get("class", "") + " " + attributes.get("id", ""))
 
 
 def events(page: str):
@@ -101,7 +117,7 @@ def events(page: str):
                     break
         first = _NAME.search(attributes.get("class", ""))
         if name not in VOID and not raw.rstrip().endswith("/"):
-            state = (name, _off(name, attributes), name in MAIN or attributes.get("role") == "main")
+            state = (name, _off(name, attributes, main > 0), name in MAIN or attributes.get("role") == "main")
             stack.append(state)
             off += state[1]
             main += state[2]
