@@ -2,7 +2,6 @@
 
 import itertools
 import math
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,6 @@ FAMILIES = {
 UNKNOWN = "und"
 CLASSES = 2048  # hash classes of byte pairs and triples
 TRAIN_ROWS = 1000  # documents of each language to learn from, at most about
-_LETTER = re.compile(r"[^\W\d_]")
 _PLAIN = np.arange(256, dtype=np.uint32)
 _PLAIN[[b for b in range(128) if not chr(b).isalpha()]] = 32
 
@@ -94,7 +92,7 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> dict:
 
 def predict(text: str | None, model: dict) -> tuple[str, float]:
     """Language and score from 0 to 1: the family's probability times the mean support of the language within it."""
-    if not model["langs"] or text is None or not _LETTER.search(text):
+    if not model["langs"] or text is None or not any(map(str.isalpha, text)):
         return UNKNOWN, 0.0
     x, sure, chosen = profile(text), 1.0, model["families"][0]
     if "family" in model:
