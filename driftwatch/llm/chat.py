@@ -103,7 +103,7 @@ def formatted(conversations: DataFrame) -> DataFrame:
     `conversations` has conv_id, turn, role, text; other columns do not matter. Turns go by (turn, role, text), nulls first, so
     ties and repeated rows have one order and all are written. A null text or role is empty; a role other than the
     three known ones is written with its name. A null conv_id is a conversation of its own. An empty table gives an
-    empty result. `turns` are the turns read back from `formatted` (role, text, start, end); `loss` are the spans of the assistant's
+    empty result. `n_turns` counts the turns read back. `turns` are the turns read back from `formatted` (role, text, start, end); `loss` are the spans of the assistant's
     texts in `formatted`. `round_trip` says that the turns read back are the source's, which the escape ensures.
     """
     told = F.struct(F.col("turn").cast("long").alias("turn"),
@@ -117,7 +117,7 @@ def formatted(conversations: DataFrame) -> DataFrame:
     df = df.withColumn("formatted", F.when(F.col("escaped"), render(F.col("source"), True)).otherwise(F.col("plain")))
     df = parse(df.drop("plain"), "formatted", "turns")
     return df.select(
-        "conv_id", F.size("source").cast("long").alias("n_turns"), "formatted", "escaped",
+        "conv_id", F.coalesce(F.size("turns"), F.lit(0)).cast("long").alias("n_turns"), "formatted", "escaped",
         F.coalesce(_told("turns") == F.col("source"), F.lit(False)).alias("round_trip"), "turns",
         F.transform(F.filter("turns", lambda t: t["role"] == "assistant"),
                     lambda t: F.struct(t["start"], t["end"])).alias("loss"))
