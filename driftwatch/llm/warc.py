@@ -13,6 +13,7 @@ from driftwatch.storage import stage
 
 END = "\r\n\r\n"
 CUT = END + "WARC/1."  # between records
+UNNAMED = "\0unnamed:"  # before the numbers of records without an id
 FIELD = "struct<name:string,value:string>"
 # fixed values: fields of a 304 answer that never replace those of the stored response, and hop-by-hop fields
 KEPT_FIELDS = ["content-encoding", "content-length", "content-md5", "content-range", "content-type", "content-location"]
@@ -199,12 +200,16 @@ def resolve(records: DataFrame) -> DataFrame:
 
     outcome: "etag" or "last-modified" names the validator that agrees with the latest earlier full response; "conflict" (a
     validator differs), "unverified" (no validator on both sides), "no base" (no earlier full response) and "no url" (no url
-    or date) leave the revisit as it is: base_id, http and payload stay null. Entity tags are compared weakly; Last-Modified counts only where
-    a side lacks the tag. `http` are the merged fields. Records that repeat a record_id count once. An empty table gives an empty result.
+    or date) leave the revisit as it is: base_id, http and payload stay null; so does the base_id of a base without an id. Entity tags are compared weakly; Last-Modified counts only where
+    a side lacks the tag. `http` are the merged fields. Of records that repeat a record_id, the earliest counts, then the
+    smallest by type, url, status, digest and size (nulls first); records without a record_id are all kept. An empty table gives an empty result.
     """
-    small = stage(records.where(F.col("type").isin("response", "revisit")).select(
-        "record_id", "type", "url", "date", "http_status", "http", F.sha2("body", 256).alias("payload_sha256"),
-        F.octet_length("body").cast("long").alias("payload_bytes")).dropDuplicates(["record_id"]), "captures")
+    own = F.concat(F.lit(UNNAMED), F.monotonically_increasing_id().cast("string"))
+    rows = records.where(F.col("type").isin("response", "revisit")).select(
+        F.coalesce("record_id", own).alias("record_id"), F.col("date"), "type", "url", "http_status",
+        F.sha2("body", 256).alias("payload_sha256"), F.octet_length("body").cast("long").alias("payload_bytes"), "http")
+    first = F.min(F.struct(*rows.columns[1:])).alias("r")
+    small = stage(rows.groupBy("record_id").agg(first).select("record_id", "r.*"), "captures")
     found = bases(small)
     full = small.where("type = 'response' and http_status = 200").select(
         F.col("record_id").alias("base_id"), F.col("http").alias("old"), "payload_sha256", "payload_bytes")
@@ -218,6 +223,7 @@ def resolve(records: DataFrame) -> DataFrame:
                .otherwise("unverified"))
     df = df.withColumn("outcome", outcome)
     good = F.col("outcome").isin("etag", "last-modified")
-    return df.select("record_id", "url", "date", F.when(good, F.col("base_id")).alias("base_id"), "outcome",
+    named = lambda c: F.when(~F.col(c).startswith(UNNAMED), F.col(c))
+    return df.select(named("record_id").alias("record_id"), "url", "date", F.when(good, named("base_id")).alias("base_id"), "outcome",
                      F.when(good, merged(F.col("old"), F.col("new"))).alias("http"),
                      *(F.when(good, F.col(c)).alias(c) for c in ("payload_sha256", "payload_bytes")))
