@@ -78,6 +78,7 @@ def test_language_of_odd_rows(spark, table, odd, empty):
     assert {r["lang_pred"] for r in got if r["doc_id"] in (1, 2, 3)} == {"und"}
     assert all(0 <= r["score"] <= 1 for r in got)
     assert language.predict("das haus", model)[0] == "de" and language.predict("123 !!", model) == ("und", 0.0)
+    assert language.predict("12²½", model) == ("und", 0.0) and language.predict("é", model)[0] != "und"
     nothing = language.fit(empty)
     assert {r["lang_pred"] for r in language.languages(odd, nothing).collect()} == {"und"}
     one = language.fit(docs.where("lang = 'fr'"))

@@ -1,6 +1,7 @@
 """Chat formatting, HTML extraction, decontamination, mixing and WARC against brute force and SQL."""
 
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 import duckdb
@@ -89,6 +90,17 @@ def test_main_text_of_pages(spark):
     assert html.extract(pages.where("false"), {}).collect() == []
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ('<article><div class="social-science"><p>Only words here</p></div></article>', "Only words here"),
+    ('<body><div class="social-science"><p>Only words</p></div></body>', "Only words"),
+    ('<article><h2 class="header">Title one</h2><p>see <a class="related" href=x>the paper</a> now.</p><div class="ad-slot">Buy</div></article>',
+     "Title one\nsee the paper now."),
+    ('<div class="cookie-notice">x</div><p>real text</p><div id="site-footer-2">foot</div>', "real text"),
+])
+def test_class_names_cut_whole_parts_only(page, text):
+    assert html.main_text(page, {}) == text
+
+
 def test_best_run_equals_all_runs():
     rng = random.Random(3)
     for _ in range(200):
@@ -151,6 +163,32 @@ def test_leaks_of_planted_items(spark, table, odd, empty, max_words):
     assert decontaminate.clean(odd, bench).count() == len(ODD)
 
 
+@pytest.mark.parametrize(("edit", "least"), [("whole", 1.0), ("one word", 0.9), ("answer word", 0.9), ("no answer", 0.7)])
+def test_recall_of_edited_items(edit, least):
+    """Every item of the given benchmark between other words, whole or changed; documents without an item stay clean."""
+    told = duckdb.sql("select item_id, text from '/root/testdata/sf0.001/benchmark.parquet'").fetchall()
+    frequency = Counter(h for _, text in told for h in set(decontaminate._hash(text).tolist()))
+    index = decontaminate.Index(told, frequency, len(told), sum(len(decontaminate._hash(t)) for _, t in told) / len(told))
+    rng = random.Random(1)
+    filler = [w for _, text in told for w in text.split()]
+    found = 0
+    for item, text in told:
+        each, (question, answer) = text.split(), decontaminate.question_answer(text)
+        if edit == "one word":
+            each[rng.randrange(len(each))] = "changed"
+        elif edit == "answer word":
+            last = answer.split()
+            last[rng.randrange(len(last))] = "changed"
+            each = [question, *last]
+        elif edit == "no answer":
+            each = [question]
+        around = rng.choices(filler, k=80)
+        assert index.leaks(decontaminate._hash(" ".join(around)), decontaminate.SHARE, decontaminate.OVERLAP) == {}
+        got = index.leaks(decontaminate._hash(" ".join([*around[:40], *each, *around[40:]])), decontaminate.SHARE, decontaminate.OVERLAP)
+        found += item in {index.ids[k] for k in got}
+    assert found >= least * len(told)
+
+
 def test_mixture_keeps_budgets(spark, table, odd, empty):
     rng = random.Random(2)
     rows = [(i, " ".join(["w"] * rng.randrange(1, 30)), rng.choice(["en", "de", None]), rng.choice(["src0"] * 6 + ["src1", "src2", None]))
@@ -245,3 +283,14 @@ def test_revisits_take_the_latest_earlier_response(spark):
     assert len(got) == len({r[0] for r in rows if r[1] == "revisit"})
     assert (got["urn:none"]["outcome"], got["urn:alone"]["outcome"]) == ("no url", "no base")
     assert warc.resolve(df.where("false")).collect() == []
+
+
+def test_records_without_an_id_are_kept(spark):
+    df = spark.createDataFrame(
+        [(i, k, "http://a/x", START + timedelta(hours=h), s, [("etag", "1")], bytearray(b), b.decode()) for i, k, h, s, b in (
+            (None, "response", 0, 200, b"first"), (None, "revisit", 1, 304, b""), (None, "revisit", 2, 304, b""), ("r", "revisit", 4, 304, b""),
+            ("r", "revisit", 3, 304, b""))],
+        "record_id string, type string, url string, date timestamp, http_status int, http array<struct<name:string,value:string>>, "
+        "body binary, extra string")
+    got = sorted(((r["record_id"] or "", r["date"].hour, r["outcome"], r["base_id"], r["payload_bytes"]) for r in warc.resolve(df).collect()))
+    assert got == [("", 1, "etag", None, 5), ("", 2, "etag", None, 5), ("r", 3, "etag", None, 5)]
