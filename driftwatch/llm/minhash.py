@@ -5,7 +5,8 @@ only under the rarest ones: two sets that agree in at least t coordinates must m
 COORDINATES - t + 1 of any common order (prefix), and the long lists at the end of that order are skipped and counted on
 the signatures instead. t is so low that a pair at the wanted similarity is missed with a probability below `MISS`.
 Short lists give all their pairs; a long list compares its members with one hub, and what stays in several
-components after that is narrowed by an exact bound before the next hubs. So a large group of near copies costs one pair for each
+components after that is narrowed by an exact bound before the next hubs, and from then on a pair is only formed if the
+parities of its sets allow the similarity. So a large group of near copies costs one pair for each
 member, not all pairs. All pairs that agree in t coordinates are confirmed on the full sets.
 """
 
@@ -26,6 +27,8 @@ SHORT, GROWTH = 24, 16  # members of a list that gives all its pairs at once, an
 RARE = 8  # members that share a shingle, at most, for all their pairs to be compared when long lists are narrowed
 COUNTERS = 1 << 18  # of the rarity order, whatever the number of documents
 ID_CLASSES = 1 << 21  # of the filters on ids, likewise
+PARITY = 512  # hash classes of a set whose numbers of shingles are known to be odd or even
+SALTS = 64  # parts that the members of a list are dealt to when they meet what is known of their list
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 
 
@@ -47,32 +50,44 @@ def _signature(one, multipliers):
     return best.astype(np.uint32).view(np.int32)
 
 
+def _parity(one):
+    """Whether each of PARITY hash classes holds an odd number of shingles, as 64-bit numbers.
+
+    Two sets differ in at least as many shingles as these bits differ, which rules out pairs exactly and without the sets.
+    """
+    odd = np.bincount((one >> np.uint64(40)) & np.uint64(PARITY - 1), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _texts(column):
     return [b"" if t is None else t for t in column.cast(pa.binary()).to_pylist()]
 
 
 def signatures(docs: DataFrame, size: int, coordinates: int = COORDINATES) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2, sig) of every row; f1 and f2 identify the shingle set."""
+    """(doc_id, n_shingles, f1, f2, sig, parity) of every row; f1 and f2 identify the shingle set."""
     multipliers = _MULTIPLIERS[:coordinates]
 
     def run(batches):
         for batch in batches:
             for sub in (batch.slice(a, 2000) for a in range(0, batch.num_rows, 2000)):
-                n, f1, f2, sig = [], [], [], []
+                n, f1, f2, sig, parity = [], [], [], [], []
                 for one in words.shingle_sets(_texts(sub.column(1)), size):
                     n.append(len(one))
                     f1.append(one.sum(dtype=np.uint64).astype(np.int64) if len(one) else 0)
                     f2.append(np.bitwise_xor.reduce(words.mix(one)).astype(np.int64) if len(one) else 0)
                     sig.append(_signature(one, multipliers))
-                flat = np.concatenate(sig)
+                    parity.append(_parity(one))
+                flat, odd = np.concatenate(sig), np.concatenate(parity)
                 offsets = pa.array(np.arange(0, len(flat) + 1, coordinates), pa.int32())
+                places = pa.array(np.arange(0, len(odd) + 1, PARITY // 64), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [sub.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()),
-                     pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))],
-                    ["doc_id", "n_shingles", "f1", "f2", "sig"])
+                     pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32())),
+                     pa.ListArray.from_arrays(places, pa.array(odd, pa.int64()))],
+                    ["doc_id", "n_shingles", "f1", "f2", "sig", "parity"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, n_shingles long, f1 long, f2 long, sig array<int>")
+        run, "doc_id long, n_shingles long, f1 long, f2 long, sig array<int>, parity array<long>")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -152,15 +167,25 @@ def postings(sets: DataFrame, prefix: int) -> DataFrame:
 
 
 def _alike(least: int, coordinates: int, num: int, den: int) -> str:
-    """Condition on a pair (na, ca), (nb, cb) of sizes and codes that all linked pairs meet which agree in `least` coordinates."""
+    """Condition on a pair (na, ca, pa), (nb, cb, pb) of sizes, codes and parities that all linked pairs meet which agree in `least`
+    coordinates; a parity may be null."""
     seen = min(32, coordinates)
     differ = "bit_count(((ca ^ cb) | shiftright(ca ^ cb, 1)) & 6148914691236517205L)"
-    return (f"{seen} - {differ} >= {least - (coordinates - seen)} and least(na, nb) * {den} >= greatest(na, nb) * {num}")
+    return (f"{seen} - {differ} >= {least - (coordinates - seen)} and least(na, nb) * {den} >= greatest(na, nb) * {num} and "
+            + _few_differ(num, den))
+
+
+def _few_differ(num: int, den: int) -> str:
+    """At most (na + nb) * (den - num) / (den + num) shingles of a linked pair are in one of its sets only."""
+    odd = " + ".join(f"bit_count(pa[{k}] ^ pb[{k}])" for k in range(PARITY // 64))
+    return f"coalesce({odd}, 0) * {num + den}L <= (na + nb) * {den - num}L"
 
 
 def _sides(df: DataFrame, key: str, *more: str) -> tuple[DataFrame, DataFrame]:
+    if "parity" not in df.columns:
+        df = df.withColumn("parity", F.lit(None).cast("array<long>"))
     return tuple(df.select(key, F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("code").alias(f"c{x}"),
-                           F.col("group").alias(f"g{x}"), *more) for x in "ab")
+                           F.col("group").alias(f"g{x}"), F.col("parity").alias(f"p{x}"), *more) for x in "ab")
 
 
 def _all_pairs(df: DataFrame, key: str, alike: str, once: bool = False) -> DataFrame:
@@ -177,11 +202,11 @@ def _all_pairs(df: DataFrame, key: str, alike: str, once: bool = False) -> DataF
 
 def _agreeing(pairs: DataFrame, sets: DataFrame, least: int, num: int, den: int) -> DataFrame:
     """Pairs that agree in at least `least` coordinates and whose sizes allow the similarity."""
-    a = sets.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa"))
-    b = sets.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb"))
+    a = sets.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa"), F.col("parity").alias("pa"))
+    b = sets.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sig").alias("sb"), F.col("parity").alias("pb"))
     same = F.expr("size(filter(zip_with(sa, sb, (x, y) -> x = y), e -> e))")
     return (pairs.join(b, "b").join(a, "a").where(f"least(na, nb) * {den} >= greatest(na, nb) * {num}")
-            .where(same >= least).select("a", "b", "na", "nb"))
+            .where(_few_differ(num, den)).where(same >= least).select("a", "b", "na", "nb"))
 
 
 def _linked(docs: DataFrame, pairs: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -194,6 +219,13 @@ def _linked(docs: DataFrame, pairs: DataFrame, size: int, num: int, den: int) ->
             .where(f"{den} * common >= {num} * (na + nb - common)").select("a", "b"))
 
 
+def _with_facts(lists: DataFrame, facts: dict) -> DataFrame:
+    """The postings of `lists` with aggregates of their list; a long list is dealt by (token, salt), not by its token alone."""
+    salted = lists.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    known = salted.groupBy("token").agg(*(c.alias(k) for k, c in facts.items()), F.collect_set("salt").alias("salts"))
+    return salted.join(known.where("members > 1").withColumn("salt", F.explode("salts")).drop("salts"), ["token", "salt"]).drop("salt")
+
+
 def _mixed(lists: DataFrame, found: DataFrame | None) -> DataFrame:
     """The lists whose members are in several components, with what is needed of each list's hub (its smallest doc_id)."""
     if found is None:
@@ -201,40 +233,43 @@ def _mixed(lists: DataFrame, found: DataFrame | None) -> DataFrame:
     else:
         member = lists.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn(
             "group", F.coalesce("component", "doc_id")).drop("component")
-    hub = {f"hub_{c}": F.min_by(c, "doc_id") for c in ("group", "n", "code")}
-    several = (member.groupBy("token").agg(
-        F.count("*").alias("members"), F.min("doc_id").alias("hub"), *(c.alias(k) for k, c in hub.items()),
-        (F.min("group") != F.max("group")).alias("mixed")).where("mixed").drop("mixed"))
-    return stage(member.join(several, "token"), "mixed-lists")
+    hub = {f"hub_{c}": F.min_by(c, "doc_id") for c in ("group", "n", "code", "parity")}
+    facts = {"members": F.count("*"), "hub": F.min("doc_id"), **hub, "mixed": F.min("group") != F.max("group")}
+    return stage(_with_facts(member, facts).where("mixed").drop("mixed"), "mixed-lists")
 
 
-def _narrowed(docs: DataFrame, lists: DataFrame, size: int, num: int, den: int, alike: str, rare: int) -> tuple:
+def _narrowed(docs: DataFrame, sets: DataFrame, lists: DataFrame, size: int, num: int, den: int, alike: str, rare: int) -> tuple:
     """Drop members of long lists that cannot have a link to another member, but for pairs that are returned besides.
 
-    A pair of members either has a shingle in common that at most `rare` members have, and then is returned as one of that shingle's
-    pairs (all of them, if different groups), or shares at most n - (such shingles) of either set; that must reach num / den of the
-    union with the smallest partner that the list and the similarity allow.
+    A pair of different groups either has a shingle in common that at most `rare` members have, and then is returned as one of that
+    shingle's pairs, or shares at most n - own of either set, where `own` counts such shingles and those that one group has alone;
+    that must reach num / den of the union with the smallest partner that the list and the similarity allow. Each member is judged by itself first; only what is
+    left of the lists, with the parities of its members, is judged list by list. Every step is written, so that the next one does not repeat it.
     """
     members = stage(lists.select("doc_id", "n", "code", "group").distinct(), "members")
     shingle = full_sets(docs, members, size).join(members, "doc_id").select(
         "doc_id", "n", "code", "group", F.explode("set").alias("s"))
     if rare > 1:
         shingle = stage(shingle, "member-shingles")
-    seen = shingle.groupBy("s").agg(F.count("*").alias("times"), F.min("doc_id").alias("doc_id")).where(f"times <= {rare}")
+    seen = shingle.groupBy("s").agg(F.count("*").alias("times"), F.min("doc_id").alias("doc_id"),
+                                    (F.min("group") == F.max("group")).alias("alone"))
     pairs = None
     if rare > 1:
-        few = shingle.join(seen.select("s", "times"), "s")
-        pairs = stage(_all_pairs(few.where("times > 1"), "s", alike).distinct(), "rare-pairs")
+        few = stage(shingle.join(seen.where(f"alone or times <= {rare}").select("s", "times", "alone"), "s"), "few-have")
+        pairs = stage(_all_pairs(few.where("not alone").drop("alone"), "s", alike).distinct(), "rare-pairs")
         seen = few
+    else:
+        seen = seen.where("times = 1")
     facts = stage(members.join(seen.groupBy("doc_id").agg(F.count("*").alias("own")), "doc_id", "left")
-                  .select("doc_id", F.coalesce("own", F.lit(0)).alias("own")), "facts")
-    lists = lists.join(facts, "doc_id").where(f"(n - own) * {den} >= n * {num}")
-    for _ in range(3):  # each pass may lift the smallest size of a list; any number of passes is exact
-        least = lists.groupBy("token").agg(F.min("n").alias("least"))
+                  .withColumn("own", F.coalesce("own", F.lit(0))).where(f"(n - own) * {den} >= n * {num}")
+                  .join(sets.select("doc_id", "parity"), "doc_id").select("doc_id", "own", "parity"), "facts")
+    left = stage(lists.select("token", "doc_id", "n", "code", "group").join(facts, "doc_id"), "possible")
+    for _ in range(2):  # each pass may lift the smallest size of a list; any number of passes is exact
         # the smallest partner has max(least, n * num / den) shingles
-        lists = lists.join(least, "token").where(
-            f"(n - own) * {(num + den) * den}L >= {num}L * (n * {den} + greatest(least * {den}, n * {num}))").drop("least")
-    return lists.select("token", "doc_id", "n", "code"), pairs
+        listed = _with_facts(left, {"members": F.count("*"), "least": F.min("n"), "mixed": F.min("group") != F.max("group")})
+        left = stage(listed.where("mixed").where(
+            f"(n - own) * {(num + den) * den}L >= {num}L * (n * {den} + greatest(least * {den}, n * {num}))").select(left.columns), "possible")
+    return left.select("token", "doc_id", "n", "code", "parity"), pairs
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100,
@@ -252,28 +287,29 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     alike = _alike(least, coordinates, num, den)
     rows = stage(signatures(docs, size, coordinates), "signatures")
     sets = stage(rows.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2", "n_shingles")
-                 .agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), "sets")
-    # a value that one set has takes a place in the prefix and needs no list
+                 .agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("parity").alias("parity")), "sets")
+    # a value that one set has takes a place in the prefix and needs no list: its only member is of one component
     lists = stage(postings(sets, coordinates - least + 1), "postings")
-    shared = lists.groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token")
-    member = _mixed(lists.join(shared, "token"), None)
+    # parities would only swell these lists, which give few pairs for each member
+    member = _mixed(lists.withColumn("parity", F.lit(None).cast("array<long>")), None)
     links = pairs = None
     while True:
         few = _all_pairs(member.where(F.col("members") <= short), "token", alike, once=links is not None)
         hubs = member.where((F.col("members") > short) & (F.col("group") != F.col("hub_group"))).select(
             F.col("hub").alias("a"), F.col("doc_id").alias("b"), F.col("hub_n").alias("na"), F.col("n").alias("nb"),
-            F.col("hub_code").alias("ca"), F.col("code").alias("cb")).where(alike).select("a", "b")
+            F.col("hub_code").alias("ca"), F.col("code").alias("cb"), F.col("hub_parity").alias("pa"),
+            F.col("parity").alias("pb")).where(alike).select("a", "b")
         found_pairs = few.union(hubs) if pairs is None else few.union(hubs).union(pairs)
         agreeing = stage(_agreeing(found_pairs.distinct(), sets, least, num, den), "pairs")
         linked = stage(_linked(docs, agreeing, size, num, den), "links")
         links = linked if links is None else links.union(linked)
         found = components(links)
         long = member.where((F.col("members") > short) & (F.col("doc_id") != F.col("hub")))
-        member = _mixed(long.select("token", "doc_id", "n", "code"), found)
+        member = _mixed(long.select("token", "doc_id", "n", "code", "parity"), found)
         pairs = None
         for rare in (1, RARE):
             if not member.isEmpty():
-                left, pairs = _narrowed(docs, member, size, num, den, alike, rare)
+                left, pairs = _narrowed(docs, sets, member, size, num, den, alike, rare)
                 member = _mixed(left, found)
         if member.isEmpty() and (pairs is None or pairs.isEmpty()):
             break
