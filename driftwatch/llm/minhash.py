@@ -264,11 +264,10 @@ def _narrowed(docs: DataFrame, sets: DataFrame, lists: DataFrame, size: int, num
                   .withColumn("own", F.coalesce("own", F.lit(0))).where(f"(n - own) * {den} >= n * {num}")
                   .join(sets.select("doc_id", "parity"), "doc_id").select("doc_id", "own", "parity"), "facts")
     left = stage(lists.select("token", "doc_id", "n", "code", "group").join(facts, "doc_id"), "possible")
-    for _ in range(2):  # each pass may lift the smallest size of a list; any number of passes is exact
-        # the smallest partner has max(least, n * num / den) shingles
-        listed = _with_facts(left, {"members": F.count("*"), "least": F.min("n"), "mixed": F.min("group") != F.max("group")})
-        left = stage(listed.where("mixed").where(
-            f"(n - own) * {(num + den) * den}L >= {num}L * (n * {den} + greatest(least * {den}, n * {num}))").select(left.columns), "possible")
+    # the smallest partner has max(least, n * num / den) shingles; more passes could lift the smallest size, any number is exact
+    listed = _with_facts(left, {"members": F.count("*"), "least": F.min("n"), "mixed": F.min("group") != F.max("group")})
+    left = stage(listed.where("mixed").where(
+        f"(n - own) * {(num + den) * den}L >= {num}L * (n * {den} + greatest(least * {den}, n * {num}))").select(left.columns), "possible")
     return left.select("token", "doc_id", "n", "code", "parity"), pairs
 
 
@@ -307,7 +306,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
         long = member.where((F.col("members") > short) & (F.col("doc_id") != F.col("hub")))
         member = _mixed(long.select("token", "doc_id", "n", "code", "parity"), found)
         pairs = None
-        for rare in (1, RARE):
+        for rare in (1, RARE) if links is linked else (RARE,):  # the first round has the most members, and a cheap pass before
             if not member.isEmpty():
                 left, pairs = _narrowed(docs, sets, member, size, num, den, alike, rare)
                 member = _mixed(left, found)
