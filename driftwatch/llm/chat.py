@@ -10,6 +10,8 @@ escaped text holds no control string.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftwatch.llm.blocks import cut, scan
+
 # fixed values: the control strings of the template
 OPEN = {"system": "[SYS]", "user": "[INST]", "assistant": "[OUT]"}
 CLOSE = {"system": "[/SYS]", "user": "[/INST]", "assistant": "</s>"}
@@ -60,15 +62,8 @@ def parse(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumns({controls: F.regexp_extract_all(text, F.lit(CONTROL), F.lit(0)),
                          parts: F.split(text, CONTROL, -1)})
     # where the text after each control string begins
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("all"))
-
-    def add(acc, pair):
-        at = (acc["at"] + F.length(pair["part"]) + F.length(pair["control"])).cast("long")
-        return F.struct(at.alias("at"), F.concat(acc["all"], F.array(at)).alias("all"))
-
-    pairs = F.zip_with(controls, F.slice(parts, F.lit(1), F.size(controls)),
-                       lambda c, p: F.struct(c.alias("control"), p.alias("part")))
-    df = df.withColumn(starts, F.aggregate(pairs, empty, add)["all"])
+    sizes = F.zip_with(controls, F.slice(parts, F.lit(1), F.size(controls)), lambda c, p: F.length(p) + F.length(c))
+    df = df.withColumn(starts, scan(sizes))
     turns = F.arrays_zip(_odd(controls, 0).alias("open"), _odd(controls, 1).alias("close"), _odd(parts, 1).alias("inner"),
                          _odd(starts, 0).alias("start"))
 
@@ -126,8 +121,7 @@ def formatted(conversations: DataFrame) -> DataFrame:
 def digests(chats: DataFrame) -> DataFrame:
     """Turns and loss text of `formatted`, read from its output only."""
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform("loss", lambda s: unescape(
-        F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
+    loss = F.array_join(F.transform(cut(F.col("formatted"), F.col("loss")), unescape), "")
     return (chats.withColumn("loss_text", loss)
             .select("conv_id", "n_turns", F.sha2(turns, 256).alias("turns_sha256"),
                     F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
