@@ -1,12 +1,13 @@
 """Isolation forest (Liu, Ting and Zhou 2008) on Spark.
 
 The rows are sampled into trees by a hash of their key, so a forest does not depend on how the table is partitioned.
-Every tree draws from all rows with the same chance for each row; a first draw, which most rows of a large table fail,
-spares these the draws for the single trees.
+Every tree draws from all rows with the same chance for each row: first each row draws its number of trees (one hash,
+0 for most rows of a large table), then which trees these are, at every size of the table.
 Trees are grown in one task each from at most a few hundred rows; scoring is a batched function over the node table,
 which has at most trees * (2 * sample - 1) rows.
 """
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,7 +19,7 @@ from driftwatch.operators.quantiles import percentiles
 from driftwatch.storage import stage
 
 NODES = "tree int, node int, feature int, threshold double, left int, right int, path double"
-HASHES = 1 << 40
+HASHES = 1 << 52
 
 
 def expected_path(n: float) -> float:
@@ -49,9 +50,29 @@ def grow(rows: np.ndarray, rng: np.random.Generator, max_depth: int) -> list[tup
     return nodes
 
 
-def _share(key: list[str], *salt: Column) -> Column:
+def _share(*key: Column | str) -> Column:
     """Uniform number below HASHES from the row key."""
-    return F.pmod(F.xxhash64(*key, *salt), F.lit(HASHES))
+    return F.pmod(F.xxhash64(*key), F.lit(HASHES))
+
+
+def chances(trees: int, p: float) -> list[float]:
+    """Chance that a row is drawn by at most k of the trees, each of which draws it with chance `p`, for k below `trees`."""
+    return np.cumsum([math.comb(trees, k) * p**k * (1.0 - p) ** (trees - k) for k in range(trees)]).tolist()
+
+
+def draw(rows: DataFrame, columns: list[Column], key: list[str], trees: int, p: float, seed: int) -> DataFrame:
+    """(tree, draw, x0, x1, ...): each tree draws each row with chance `p`; `draw` is a random order."""
+    limits = [min(HASHES, int(c * HASHES)) for c in chances(trees, p)]
+    times = F.size(F.filter(F.array(*map(F.lit, limits)), lambda limit: limit <= F.col("_share")))
+    places = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
+        F.xxhash64(*key, F.lit(seed + 1), t).alias("place"), t.alias("tree")))
+    return (
+        rows.withColumn("_share", _share(*key, F.lit(seed))).where(F.col("_share") >= limits[0])
+        .withColumn("_drawn", F.explode(F.slice(F.array_sort(places), 1, times)))
+        .withColumn("tree", F.col("_drawn.tree"))
+        .withColumn("draw", _share(*key, F.lit(seed + 2), F.col("tree")))
+        .select("tree", "draw", *(c.cast("double").alias(f"x{i}") for i, c in enumerate(columns)))
+    )
 
 
 def fit_nodes(rows: DataFrame, columns: list[Column], key: list[str], trees: int = TREES, sample: int = SAMPLE,
@@ -61,21 +82,10 @@ def fit_nodes(rows: DataFrame, columns: list[Column], key: list[str], trees: int
     if n == 0:
         raise ValueError("no rows to grow the forest from")
     size = min(sample, n)
-    wanted = min(1.0, 2.0 * size / n)  # of the rows for each tree
-    passing = min(1.0, 4.0 * trees * wanted)  # in the first draw: at most a quarter of a tree is expected of each
-    offered = wanted / passing
     depth = max(1, int(np.ceil(np.log2(max(size, 2)))))
     names = [f"x{i}" for i in range(len(columns))]
-    hashed = F.xxhash64(*key, F.lit(seed + 1))
-    draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
-        t.alias("tree"), F.pmod(F.xxhash64(F.col("_hash"), t), F.lit(HASHES)).alias("draw")))
-    drawn = (
-        rows.where(_share(key, F.lit(seed)) < int(passing * HASHES))
-        .withColumn("_hash", hashed)
-        .withColumn("_draw", F.explode(F.filter(draws, lambda d: d["draw"] < int(offered * HASHES))))
-        .withColumns({"tree": F.col("_draw.tree"), "draw": F.col("_draw.draw")})
-        .select("tree", "draw", *(c.cast("double").alias(x) for c, x in zip(columns, names)))
-    )
+    # Twice the rows that a tree takes, so that hardly any tree falls short.
+    drawn = draw(rows, columns, key, trees, min(1.0, 2.0 * size / n), seed)
 
     def grow_tree(tree_key: tuple, drawn_rows: pd.DataFrame) -> pd.DataFrame:
         tree = int(tree_key[0])

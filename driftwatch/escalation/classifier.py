@@ -28,7 +28,7 @@ def _assembled(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def fit(train: DataFrame, label: str = "will_be_severe", features: list[str] = ESCALATION_FEATURES,
-        trees: int = TREES) -> GBTClassificationModel:
+        trees: int = TREES, depth: int = DEPTH) -> GBTClassificationModel:
     """Positives weigh n_negative / n_positive, so that both classes count the same."""
     n, positive = train.agg(F.count("*"), F.sum(label)).first()
     if not positive or positive == n:
@@ -36,7 +36,7 @@ def fit(train: DataFrame, label: str = "will_be_severe", features: list[str] = E
     weighted = _assembled(train, features).withColumn(
         "_weight", F.when(F.col(label) == 1, (n - positive) / positive).otherwise(1.0))
     return GBTClassifier(
-        featuresCol="_features", labelCol=label, weightCol="_weight", maxIter=trees, maxDepth=DEPTH, stepSize=STEP,
+        featuresCol="_features", labelCol=label, weightCol="_weight", maxIter=trees, maxDepth=depth, stepSize=STEP,
         seed=SEED,
     ).fit(weighted.select("_features", "_weight", F.col(label).cast("double").alias(label)))
 

@@ -8,7 +8,6 @@ from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from driftwatch.catalog import (
-    BOOSTED_DEPTH as DEPTH,
     ESCALATION_FEATURES,
     REASONS,
     SENTENCE_CONFIDENCE,
@@ -23,14 +22,15 @@ from driftwatch.functions.columns import percent_text, sigmoid
 from driftwatch.storage import new_path
 
 UNEXPLAINED = {"ensemble_score"}
+CELLS = 1 << 21  # rows * leaves * places that are worked on at once
 
 
 @dataclass(frozen=True)
 class Leaves:
-    """All leaves of the model, at most trees * 2 ** DEPTH.
+    """All leaves of the model, at most trees * 2 ** depth, with as many places each as the longest path has features.
 
-    A leaf has up to DEPTH features on its path; each is kept as the interval (low, high] that leads to the leaf and
-    the share of training rows that follow it. Unused places hold an interval that always matches, with share 1.
+    A feature on the path to a leaf is kept as the interval (low, high] that leads to the leaf and the share of training
+    rows that follow it. Unused places hold an interval that always matches, with share 1.
     """
 
     value: np.ndarray
@@ -53,19 +53,14 @@ def read_leaves(spark: SparkSession, model: GBTClassificationModel) -> Leaves:
     for row in spark.read.parquet(f"{path}/data").select("treeID", "nodeData").collect():
         trees.setdefault(row["treeID"], {})[row["nodeData"]["id"]] = row["nodeData"]
     weights = model.treeWeights
-    value, feature, low, high, share = [], [], [], [], []
+    found = []
     for tree, nodes in trees.items():
         paths = [(0, {})]
         while paths:
             at, limits = paths.pop()
             node = nodes[at]
             if node["leftChild"] < 0:
-                if len(limits) > DEPTH:
-                    raise ValueError(f"the explanation covers trees of depth {DEPTH}")
-                filled = [(f, *v) for f, v in limits.items()] + [(0, -np.inf, np.inf, 1.0)] * (DEPTH - len(limits))
-                value.append(2.0 * weights[tree] * node["prediction"])
-                for target, part in zip((feature, low, high, share), zip(*filled)):
-                    target.append(part)
+                found.append((2.0 * weights[tree] * node["prediction"], limits))
                 continue
             f, cut = node["split"]["featureIndex"], node["split"]["leftCategoriesOrThreshold"][0]
             lower, upper, kept = limits.get(f, (-np.inf, np.inf, 1.0))
@@ -73,26 +68,34 @@ def read_leaves(spark: SparkSession, model: GBTClassificationModel) -> Leaves:
                                   (node["rightChild"], (max(lower, cut), upper))):
                 follows = nodes[child]["rawCount"] / node["rawCount"]
                 paths.append((child, limits | {f: (*bounds, kept * follows)}))
-    return Leaves(np.array(value), np.array(feature, dtype=int), np.array(low), np.array(high), np.array(share))
+    places = max(1, *(len(limits) for _, limits in found))
+    filled = [[(f, *v) for f, v in limits.items()] + [(0, -np.inf, np.inf, 1.0)] * (places - len(limits)) for _, limits in found]
+    feature, low, high, share = np.moveaxis(np.array(filled, dtype=float), 2, 0)
+    return Leaves(np.array([value for value, _ in found]), feature.astype(int), low, high, share)
 
 
 def shapley(x: np.ndarray, leaves: Leaves) -> np.ndarray:
     """Contribution of every input column to the log-odds of every row of `x`.
 
-    With three places per leaf the Shapley sum over feature subsets has four terms; places that always match do not
-    change the values of the others.
+    A set of k of the other m - 1 places weighs k! (m - 1 - k)! / m!, which is the integral of t^k (1 - t)^(m - 1 - k) over
+    0 to 1. So the sum over all sets is the integral of a product over the places, a polynomial that a few points integrate
+    exactly: the work grows with the square of the depth, not with the number of sets. Places that always match do not change the
+    values of the others.
     """
     out = np.zeros(x.shape)
     picked = x[:, leaves.feature]
     known = ((picked > leaves.low) & (picked <= leaves.high)).astype(float)
-    unknown = leaves.share
-    for a in range(DEPTH):
-        b, c = (i for i in range(DEPTH) if i != a)
-        kb, kc, ub, uc = known[:, :, b], known[:, :, c], unknown[:, b], unknown[:, c]
-        rest = ub * uc / 3 + (kb * uc + ub * kc) / 6 + kb * kc / 3
-        effect = leaves.value * (known[:, :, a] - unknown[:, a]) * rest
-        for f in range(x.shape[1]):
-            out[:, f] += effect[:, leaves.feature[:, a] == f].sum(axis=1)
+    points, weights = np.polynomial.legendre.leggauss((leaves.feature.shape[1] + 1) // 2)
+    rest = np.zeros(known.shape)
+    for t, weight in zip((points + 1) / 2, weights / 2):
+        factor = leaves.share * (1 - t) + known * t
+        others = np.full(known.shape, weight)
+        others[:, :, 1:] *= np.cumprod(factor, axis=2)[:, :, :-1]
+        others[:, :, :-1] *= np.cumprod(factor[:, :, ::-1], axis=2)[:, :, -2::-1]
+        rest += others
+    effect = leaves.value[:, None] * (known - leaves.share) * rest
+    for f in range(x.shape[1]):
+        out[:, f] = effect[:, leaves.feature == f].sum(axis=1)
     return out
 
 
@@ -105,7 +108,8 @@ def contributions(spark: SparkSession, leaves: Leaves, features: list[str] = ESC
     def explain(*columns: pd.Series) -> pd.DataFrame:
         x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
         known = Leaves(*shared.value)
-        parts = [shapley(x[i:i + 1000], known) for i in range(0, len(x), 1000)]
+        step = max(1, CELLS // known.feature.size)
+        parts = [shapley(x[i:i + step], known) for i in range(0, len(x), step)]
         return pd.DataFrame(np.vstack(parts) if parts else x, columns=names)
 
     return explain(*inputs(names))

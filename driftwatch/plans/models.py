@@ -1,8 +1,11 @@
 """Queries: trained detectors, replay, escalation and its explanations."""
 
+import math
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from driftwatch.catalog import ESCALATION_FEATURES, FEATURES, REASONS
+from driftwatch.catalog import ESCALATION_FEATURES, FEATURES, METRICS, REASONS
 from driftwatch.detectors import bundle as bundles, forest
 from driftwatch.detectors.bundle import Bundle, scaled
 from driftwatch.escalation import classifier, explain
@@ -249,3 +252,46 @@ def explanation_sentences(spark, sf):
     return rows.select("event_id", F.col("top")[0]["feature"].alias("first_feature"),
                        F.round(F.col("top")[0]["contribution"], 6).alias("first_contribution"),
                        explain.sentence(F.col("p"), F.col("top")).alias("explanation_text"))
+
+
+# A given tree of depth 6, one metric at each level: (cut, share of rows above it, log-odds above it); below the last cut, _BELOW.
+_LEVELS = [(62.0, 0.31, 0.83), (47.0, 0.62, -0.57), (430.0, 0.73, 0.29), (31.0, 0.54, -0.41), (0.13, 0.83, 0.67), (19.0, 0.71, -0.19)]
+_BELOW = 0.47
+
+
+def given_tree():
+    above, below = (lambda i: (_LEVELS[i][0], np.inf, _LEVELS[i][1])), (lambda i: (-np.inf, _LEVELS[i][0], 1 - _LEVELS[i][1]))
+    depth = len(_LEVELS)
+    paths = [[*map(below, range(i)), above(i)] for i in range(depth)] + [[*map(below, range(depth))]]
+    low, high, share = np.moveaxis(np.array([p + [(-np.inf, np.inf, 1.0)] * (depth - len(p)) for p in paths]), 2, 0)
+    feature = np.tile(np.arange(depth), (len(paths), 1))
+    return explain.Leaves(np.array([v for _, _, v in _LEVELS] + [_BELOW]), feature, low, high, share)
+
+
+def _expected(level=0):
+    """Mean log-odds when the metrics in the bits of `known` are known."""
+    if level == len(_LEVELS):
+        return f"{_BELOW}::double"
+    cut, share, value = _LEVELS[level]
+    above = f"(case when known & {1 << level} > 0 then ({METRICS[level]} > {cut})::int else {share}::double end)"
+    return f"({above} * {value}::double + (1 - {above}) * {_expected(level + 1)})"
+
+
+_SET_WEIGHTS = [f"{math.factorial(k) * math.factorial(len(_LEVELS) - 1 - k)} / {math.factorial(len(_LEVELS))}::double" for k in range(len(_LEVELS))]
+
+
+def _effect(level):
+    return (f"case when known & {1 << level} > 0 then weights[bit_count(known)] else -weights[bit_count(known) + 1] end")
+
+
+@query("M17", sql(f"""
+    , sets as (select range::int as known, [{', '.join(_SET_WEIGHTS)}] as weights from range({1 << len(_LEVELS)})),
+    means as (select event_id, known, weights, {_expected()} as mean from clean, sets)
+    select event_id, {', '.join(f'round(sum(mean * {_effect(i)}), 6) as {METRICS[i]}' for i in range(len(_LEVELS)))}
+    from means group by event_id""", "clean"))
+def contributions_of_a_deep_tree(spark, sf):
+    """Shapley contributions of six metrics to a given tree of depth 6; the SQL goes through all their sets."""
+    rows = views.clean_ticks(spark, sf)
+    names = METRICS[:len(_LEVELS)]
+    told = rows.withColumn("contributions", explain.contributions(spark, given_tree(), names))
+    return told.select("event_id", *(F.round(f"contributions.{m}", 6).alias(m) for m in names))

@@ -134,8 +134,11 @@ def escalation(spark):
     return df, classifier.fit(df, trees=8)
 
 
-def test_contributions_sum_to_the_margin(spark, escalation):
+@pytest.mark.parametrize("depth", [1, 3, 6])
+def test_contributions_sum_to_the_margin(spark, escalation, depth):
     df, model = escalation
+    if depth != 3:
+        model = classifier.fit(df, trees=4, depth=depth)
     base = explain.read_leaves(spark, model).base
     told = explain.explain(df, model)
     total = sum((F.col(f"contributions.{f}") for f in ESCALATION_FEATURES), F.lit(base))
@@ -145,10 +148,14 @@ def test_contributions_sum_to_the_margin(spark, escalation):
     assert row["gap"] < 1e-9 and row["p"] < 1e-9
 
 
-def test_contributions_are_shapley_values(spark, escalation):
+@pytest.mark.parametrize("depth", [3, 6])
+def test_contributions_are_shapley_values(spark, escalation, depth):
     """Against the definition: the average effect of a feature over all orders in which features become known."""
     df, model = escalation
+    if depth != 3:
+        model = classifier.fit(df, trees=2, depth=depth)
     leaves = explain.read_leaves(spark, model)
+    assert leaves.feature.shape[1] == 3 if depth == 3 else leaves.feature.shape[1] > 3
     x = np.array([[float(v) for v in r] for r in df.select(*classifier.inputs()).limit(3).collect()])
 
     def expectation(row, known):
@@ -213,3 +220,28 @@ def test_trees_draw_from_the_whole_table(spark):
     assert size == 256 and len(roots) == 200
     assert all(r["n"] == 2 * r["leaves"] - 1 for r in roots)
     assert nodes.where("node = 0").select("threshold").distinct().count() > 190
+
+
+@pytest.mark.parametrize("n", [300, 3_000, 60_000])
+def test_rows_are_drawn_alike_at_every_size(spark, n):
+    """Every tree draws each row with the same chance, independently: the numbers of trees per row are binomial."""
+    trees, sample = 40, 64
+    p = min(1.0, 2.0 * sample / n)
+    chances = forest.chances(trees, p)
+    assert all(a <= b + 1e-12 for a, b in zip(chances, chances[1:]))
+    for k in (0, 1, 5):
+        want = sum(math.comb(trees, j) * p**j * (1 - p) ** (trees - j) for j in range(k + 1))
+        assert chances[k] == pytest.approx(want, abs=1e-12)
+    drawn = forest.draw(spark.range(n).withColumn("x", F.col("id").cast("double")), [F.col("x")], ["id"], trees, p, 1)
+    per_row = [r["count"] for r in drawn.groupBy("x0").count().collect()]
+    per_tree = [r["count"] for r in drawn.groupBy("tree").count().collect()]
+    assert len(per_tree) == trees and drawn.distinct().count() == sum(per_row)
+    assert sum(per_row) == pytest.approx(trees * n * p, rel=0.1)
+    assert max(abs(c - n * p) for c in per_tree) <= 6 * math.sqrt(n * p)
+    assert len(per_row) == pytest.approx(n * (1 - (1 - p) ** trees), rel=0.1)
+
+
+def test_the_smallest_tables_give_all_rows_to_all_trees(spark):
+    rows = spark.createDataFrame([(0, 1.0), (1, 2.0), (2, 2.0)], "id long, x double")
+    nodes, size = forest.fit_nodes(rows, [F.col("x")], ["id"], trees=5)
+    assert size == 3 and nodes.where("node = 0 and threshold between 1 and 2").count() == 5
