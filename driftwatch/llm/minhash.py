@@ -69,7 +69,7 @@ def signatures(docs: DataFrame, size: int, coordinates: int = COORDINATES) -> Da
 
     def run(batches):
         for batch in batches:
-            for sub in (batch.slice(a, 2000) for a in range(0, batch.num_rows, 2000)):
+            for sub in (batch.slice(a, 500) for a in range(0, batch.num_rows, 500)):
                 n, f1, f2, sig, parity = [], [], [], [], []
                 for one in words.shingle_sets(_texts(sub.column(1)), size):
                     n.append(len(one))
@@ -98,7 +98,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """
     def run(batches):
         for batch in batches:
-            for sub in (batch.slice(a, 500) for a in range(0, batch.num_rows, 500)):
+            for sub in (batch.slice(a, 200) for a in range(0, batch.num_rows, 200)):
                 sets = list(words.shingle_sets(_texts(sub.column(1)), size))
                 offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
                 flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)

@@ -32,19 +32,19 @@ def _power(base, n):
         out = np.full(n, base, np.uint64)
         out[:1] = 1
         return np.cumprod(out, dtype=np.uint64)
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, 2 * BLOCK), base, np.uint64)
+    have = _powers.get(base, ())
+    if len(have) < n:
+        have = np.full(max(n, BLOCK // 2, 2 * len(have)), base, np.uint64)
         have[0] = 1
         _powers[base] = have = np.cumprod(have, dtype=np.uint64)
     return have[:n]
 
 
-def blocks(texts):
-    """Slices (from, to) of a list of byte strings with at most about BLOCK bytes each."""
+def blocks(texts, most=BLOCK):
+    """Slices (from, to) of a list of byte strings with at most about `most` bytes each."""
     start = size = 0
     for i, t in enumerate(texts):
-        if i > start and size + len(t) > BLOCK:
+        if i > start and size + len(t) > most:
             yield start, i
             start, size = i, 0
         size += len(t) + 1
@@ -89,8 +89,8 @@ def shingles(words, size):
 
 
 def shingle_sets(texts, size):
-    """Yield the shingle set of each byte string."""
-    for a, b in blocks(texts):
+    """Yield the shingle set of each byte string; small blocks, as the sets are held beside them."""
+    for a, b in blocks(texts, BLOCK // 4):
         hashes, offsets = word_hashes(texts[a:b])
         for i in range(b - a):
             yield shingles(hashes[offsets[i] : offsets[i + 1]], size)
