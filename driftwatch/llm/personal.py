@@ -1,9 +1,11 @@
 """Personal data in texts, in DataFrame functions only.
 
 Strict patterns give the base spans, which always stay. Loose generators propose more spans, which may overlap; boosted
-trees score them by format and context, and thresholds calibrated on a held-out part of the sample select those that are added.
+trees score them by format and context, and thresholds calibrated on a held-out third of the documents select those that are added.
 Examples for both are candidates beside the base spans, as they are what can be added: disguised rewritings of base spans, look-alikes
 made from them, and bare or glued candidates of the texts.
+All documents give examples. Equal ones, of which there are many as their features are small whole numbers, are counted before the
+trees are fitted, so that the fit grows with the different examples only.
 The trees are fitted by Spark and compiled into one column expression over the candidates of a document, so that spans need no
 shuffle: every document is handled in its own row.
 """
@@ -17,7 +19,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwatch.llm.blocks import apart, cut, let, scan, with_piece
-from driftwatch.llm.sampling import bounded
 from driftwatch.storage import stage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -44,10 +45,8 @@ CUES = {"email": "mail|contact", "ip": r"\bip\b|host|server|address", "card": "c
 DENIES = r"\b(?:order|invoice|ticket|item|version|serial|batch|build|article|page|total|ref|isbn)\b"
 CONTEXT = 24  # characters before a span that are searched for cues
 AROUND = 40  # characters kept on both sides of a rewritten span
-MADE_FROM = 4  # base spans of a kind in a document that examples are made from, at most
 FEATURES = ["kind", "size", "digits", "letters", "ats", "dots", "dashes", "spaces", "brackets", "plus", "groups", "longest",
             "luhn", "small", "cue", "denied", "domain", "joined_before", "joined_after"]
-TRAIN_DOCS = 20_000  # documents whose candidates the trees are fitted on, at most about
 TREES, DEPTH = 20, 4
 PRECISION, LEAST_SCORE = 0.98, 0.5  # of added spans on the held-out part, and the score that one needs in any case
 
@@ -237,19 +236,19 @@ def made_examples(rows: DataFrame) -> DataFrame:
     rewriting, candidates of other kinds that overlap it are counterexamples; others, all that touch a base span, and disguised
     ones behind a word of the text that denies them do not count.
     """
-    def first(number):
-        return F.slice(F.filter("base", lambda b: b["kind"] == number), 1, MADE_FROM)
+    def cut_out(s, piece, shift):
+        start, end = (s["start"] - shift).cast("int"), (s["end"] - shift).cast("int")
+        left = F.substring(piece, F.greatest(start - AROUND + 1, F.lit(1)), F.least(s["start"], F.lit(AROUND)))
+        return F.struct(s["start"], s["kind"], s["match"], left.alias("left"), F.substring(piece, end + 1, F.lit(AROUND)).alias("right"))
 
-    few = F.concat(*map(first, range(len(KINDS))))
-    spans = rows.select("doc_id", "text", F.explode(few).alias("s"))
-    left = F.substring(F.col("text"), F.greatest(F.col("s.start") - AROUND + 1, F.lit(1)), F.least(F.col("s.start"), F.lit(AROUND)))
-    right = F.substring(F.col("text"), F.col("s.end") + 1, F.lit(AROUND))
+    spans = rows.withColumn("around", with_piece(F.col("text"), F.col("base"), AROUND, cut_out)).select(
+        "doc_id", F.explode("around").alias("s"))
     none = F.array().cast("array<struct<label:double,words:string,span:string>>")
     made = none
     for number, kind in enumerate(KINDS):
         ways = F.array(*(F.struct(F.lit(label).alias("label"), words.alias("words"), span.alias("span")) for label, words, span in _made(kind)))
         made = F.when(F.col("s.kind") == number, ways).otherwise(made)
-    pieces = spans.select("doc_id", F.col("s.kind").alias("kind"), left.alias("left"), right.alias("right"), F.explode(made).alias("m")).select(
+    pieces = spans.select("doc_id", F.col("s.kind").alias("kind"), "s.left", "s.right", F.explode(made).alias("m")).select(
         "doc_id", "kind", "m.label", (F.length("left") + F.length("m.words")).alias("start"), F.length("m.span").alias("size"),
         F.concat("left", "m.words", "m.span", "right").alias("text"))
     pieces = _with_featured(pieces.withColumn("base", base_spans(F.col("text"))))
@@ -273,7 +272,8 @@ def plain_examples(rows: DataFrame) -> DataFrame:
     their kind (a domain, groups of digits as in a phone number, a right check digit, four small numbers). All others are
     unknown: they may be what is looked for, so nothing is learned from them.
     """
-    found = _with_featured(rows).select("doc_id", "base", F.explode("featured").alias("x"))
+    free = rows.withColumn("proposed", candidates(F.col("text"))).withColumn("free", apart(F.col("proposed"), F.col("base")))
+    found = free.withColumn("featured", _featured(F.col("text"), F.col("free"))).select("doc_id", F.explode("featured").alias("x"))
     form = {"email": F.col("x.domain") == 1, "ip": (F.col("x.groups") == 4) & (F.col("x.small") == 1), "card": F.col("x.luhn") == 1,
             "phone": F.col("x.groups").between(2, 5) & F.col("x.digits").between(10, 15)}
     shaped = F.lit(False)
@@ -281,28 +281,35 @@ def plain_examples(rows: DataFrame) -> DataFrame:
         shaped = shaped | ((F.col("x.number") == number) & form[kind])
     glued = (F.col("x.joined_before") == 1) | (F.col("x.joined_after") == 1)
     sure = glued | ((F.col("x.cue") == 0) & ((F.col("x.denied") == 1) | ~shaped))
-    return found.where(sure & ~_touched()).select("doc_id", F.lit(0.0).alias("label"), "x.number", *(F.col(f"x.{n}") for n in FEATURES))
+    return found.where(sure).select("doc_id", F.lit(0.0).alias("label"), "x.number", *(F.col(f"x.{n}") for n in FEATURES))
 
 
-def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> dict:
-    """Trees and one threshold for each kind, from the candidates of at most about `train_docs` documents.
+def counted_examples(docs: DataFrame) -> DataFrame:
+    """(held, label, number, FEATURES, n): how often each example occurs in all `docs`, apart for the third of them that is held back."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("base", base_spans(F.col("text")))
+    examples = made_examples(rows).where("label is not null").unionByName(plain_examples(rows))
+    held = F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(3)) == 0
+    return examples.groupBy(held.alias("held"), "label", "number", *FEATURES).agg(F.count("*").cast("double").alias("n"))
+
+
+def fit(docs: DataFrame) -> dict:
+    """Trees and one threshold for each kind, from the candidates of all documents.
 
     Examples are candidates beside the base spans only, see `made_examples` and `plain_examples`. Two thirds of the
     documents (by hash) fit the trees, the rest sets the thresholds: the lowest one above which PRECISION is kept. A kind or a table without
     examples of both sorts adds nothing.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    some = bounded(rows, "doc_id", train_docs).withColumn("base", base_spans(F.col("text")))
-    examples = stage(made_examples(some).where("label is not null").unionByName(plain_examples(some)), "examples")
-    part = F.pmod(F.xxhash64(F.lit("calibrate"), "doc_id"), F.lit(3))
-    vectors = VectorAssembler(inputCols=FEATURES, outputCol="vector").transform(examples)
-    learn = vectors.where(part > 0).select("label", "vector").coalesce(4)
+    vectors = VectorAssembler(inputCols=FEATURES, outputCol="vector").transform(stage(counted_examples(docs), "examples"))
+    learn = vectors.where("not held")
     if learn.select("label").distinct().count() < 2:
         return {"trees": [], "thresholds": {}}
-    model = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=5).fit(learn)
-    scored = model.transform(vectors.where(part == 0)).select(
-        "number", "label", F.floor(vector_to_array("probability")[1] * 100).alias("bin"))
-    bins = scored.groupBy("number", "bin").agg(F.sum("label").alias("good"), F.count("*").alias("n")).collect()
+    # the same parts in the same order whenever it is fitted
+    learn = learn.repartition(4, *FEATURES).sortWithinPartitions("label", *FEATURES).select("label", "n", "vector")
+    model = GBTClassifier(featuresCol="vector", labelCol="label", weightCol="n", maxIter=TREES, maxDepth=DEPTH, seed=5).fit(learn)
+    scored = model.transform(vectors.where("held")).select(
+        "number", "label", "n", F.floor(vector_to_array("probability")[1] * 100).alias("bin"))
+    bins = scored.groupBy("number", "bin").agg(F.sum(F.col("label") * F.col("n")).alias("good"), F.sum("n").alias("n")).collect()
     thresholds = {}
     for number in range(len(KINDS)):
         good = n = 0.0

@@ -198,3 +198,10 @@ def test_redaction_keeps_the_rest(table):
     docs = table([(1, "me a@b.co and 1.2.3.4!"), (2, None), (3, "nothing")])
     got = {r["doc_id"]: r["text"] for r in personal.redact(personal.find(docs, {"trees": [], "thresholds": {}})).collect()}
     assert got == {1: "me ****** and *******!", 2: "", 3: "nothing"}
+
+
+def test_every_document_and_every_base_span_gives_examples(spark):
+    docs = spark.range(21_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("write to ann@mail.org"), F.when(
+        F.col("id") == 5, F.repeat(F.lit(" or bob@host.net"), 8)).otherwise("")).alias("text"))
+    made = personal.counted_examples(docs).where("label = 1 and number = 0").agg(F.sum("n").alias("n")).first()["n"]
+    assert made == 21_008  # one disguised address for each
