@@ -20,9 +20,11 @@ from driftwatch.operators.rolling import (
     add_sequence,
     add_trend,
     check_feature_order,
+    sequences,
+    stretches,
 )
 from driftwatch.operators.scaling import Scaler
-from driftwatch.operators.series import Series, Widths, series, stored, streak
+from driftwatch.operators.series import CHUNK, COPY, Series, Widths, series, streak
 from driftwatch.storage import stage
 
 VALUES = ["zscore_value", "iforest_score", "lstm_error"]
@@ -113,13 +115,14 @@ def score(s: Series, bundle: Bundle) -> Series:
     ready = bundle.scaler is not None
     z = evaluation.worst_z() if ready and bundle.zscore_threshold is not None else none
     f = bundle.forest.decision(spark, scaled(bundle.scaler)) if ready and bundle.forest else none
-    s = s.with_columns({"zscore_value": z, "iforest_score": f})
+    # The forest comes last: rows that return from Python would have to be shuffled and sorted again for the sequences.
     if ready and bundle.sequence:
         s = s.with_columns({"_vector": bundle.scaler.vector()})
         s = add_sequence(s, "_vector", "_sequence", bundle.sequence_length)
         s = replace(s, df=bundle.sequence.add_error(s.df, "_sequence").drop("_vector", "_sequence"))
     else:
         s = s.with_columns({"lstm_error": none})
+    s = s.with_columns({"zscore_value": z, "iforest_score": f})
     no = F.lit(False)
     s = s.with_columns({
         "zscore_flag": F.coalesce(F.col("zscore_value") > F.lit(bundle.zscore_threshold), no),
@@ -134,11 +137,17 @@ def score(s: Series, bundle: Bundle) -> Series:
 
 
 def replay(ticks: DataFrame, bundle: Bundle, keys=("service_name",), order=("timestamp", "event_id"),
-           widths: Widths | None = None, scale: int | None = 4) -> DataFrame:
-    """Score the whole history as it would have been scored live, with the score trend and the anomaly streak."""
+           widths: Widths | None = None, scale: int | None = 4, keep: list[str] | None = None) -> DataFrame:
+    """Score the whole history as it would have been scored live, with the score trend and the anomaly streak.
+
+    With `keep`, only these columns remain beside keys, order and scores, and only they are stored and shuffled on the way.
+    """
     s = score(add_features(series(ticks, list(keys), list(order), REPLAY_LOOKBACK, widths=widths), scale=scale), bundle)
-    s = stored(add_trend(s, "ensemble_score"), "replay")
-    return streak(s, "ensemble_is_anomaly", "consecutive_anomalous_ticks").rows()
+    if keep is not None:
+        s = replace(s, df=s.df.select(*dict.fromkeys([*keys, *order, *keep, *SCORE_COLUMNS]), CHUNK, COPY))
+    if s.cut:  # the streak reads it twice; the trend needs the copies, and its window is that of the streak
+        s = replace(s, df=stage(s.df, "replay"))
+    return streak(add_trend(s, "ensemble_score"), "ensemble_is_anomaly", "consecutive_anomalous_ticks").rows()
 
 
 def fit_bundle(rows: DataFrame, label: str = "is_anomaly", split: str = "split", key=("service_name", "timestamp"),
@@ -163,9 +172,11 @@ def fit_bundle(rows: DataFrame, label: str = "is_anomaly", split: str = "split",
     bundle = replace(bundle, forest=grown, forest_threshold=_best(
         scores, label, evaluation.linear_grid(scores, "v"), False))
 
-    s = series(rows, list(keys), list(order), SEQUENCE_LOOKBACK, widths=widths).with_columns(
-        {"_vector": scaler.vector()})
-    windows = add_sequence(s, "_vector").rows().where((F.col(split) == "train") & F.col("sequence").isNotNull())
+    narrow = rows.select(*dict.fromkeys([*keys, *order, split, label]), scaler.vector().alias("_vector"))
+    s = series(narrow, list(keys), list(order), SEQUENCE_LOOKBACK, widths=widths)
+    # Shuffled and sorted once; every pass of the fit reads the stretches.
+    windows = sequences(stage(stretches(s, "_vector", [split, label]), "stretches")).where(
+        (F.col(split) == "train") & F.col("sequence").isNotNull())
     if windows.isEmpty():
         return bundle
     model = SequenceModel.fit(windows.where(~F.col(label)), components=components)

@@ -51,10 +51,14 @@ class GivenComponents:
 
     def add_error(self, df: DataFrame, sequence: str = "sequence", name: str = "lstm_error") -> DataFrame:
         """Mean squared reconstruction error per row; NULL without a full window."""
-        def added(values):
-            return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
         window = F.col("_window")
-        explained = [added(F.zip_with(window, F.array(*map(F.lit, c)), lambda x, y: x * y)) for c in self.components]
-        rest = added(F.transform(window, lambda x: x * x)) - sum((e * e for e in explained), F.lit(0.0))
+
+        def projected(component):
+            # Places with weight 0 add nothing.
+            terms = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(float(w)).alias("w")) for k, w in enumerate(component) if w)
+                            ).cast("array<struct<k:int,w:double>>")
+            return F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + F.get(window, t["k"]) * t["w"])
+        explained = [projected(c) for c in self.components]
+        rest = F.aggregate(window, F.lit(0.0), lambda acc, x: acc + x * x) - sum((e * e for e in explained), F.lit(0.0))
         error = F.greatest(rest, F.lit(0.0)) / F.size(window)
         return df.withColumn("_window", F.flatten(sequence)).withColumn(name, F.when(F.col(sequence).isNotNull(), error)).drop("_window")

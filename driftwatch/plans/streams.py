@@ -300,7 +300,7 @@ def stream_explained_alerts(spark, sf):
             rows unbounded preceding)::bigint as streak from streaks""", "feats"))
 def replay_of_given_models(spark, sf):
     """The whole history through a forest of a given node table and a sequence detector of given components."""
-    rows = bundles.replay(views.clean_ticks(spark, sf), given_bundle(), widths=views.widths(spark, sf), scale=views.SCALE)
+    rows = bundles.replay(views.clean_ticks(spark, sf), given_bundle(), widths=views.widths(spark, sf), scale=views.SCALE, keep=[])
     return rows.select(
         "event_id", F.round("zscore_value", 6).alias("zscore_value"), F.round("iforest_score", 9).alias("iforest_score"),
         F.round("lstm_error", 3).alias("lstm_error"), "zscore_flag", "iforest_flag", "lstm_flag", F.col("votes").cast("int").alias("votes"),
@@ -313,7 +313,7 @@ def replay_of_given_models(spark, sf):
         {', '.join(f'round({s} - ({mean}), 6) as {f}' for f, (s, mean) in _STEPS.items())} from given""", "feats"))
 def contributions_of_given_leaves(spark, sf):
     """Shapley contributions of the leaves of a given model, for every anomalous reading."""
-    rows = bundles.replay(views.clean_ticks(spark, sf), given_bundle(), widths=views.widths(spark, sf), scale=views.SCALE)
+    rows = bundles.replay(views.clean_ticks(spark, sf), given_bundle(), widths=views.widths(spark, sf), scale=views.SCALE, keep=[])
     told = explain_leaves(rows.where("ensemble_is_anomaly"), given_escalation())
     return told.select("event_id", F.round("escalation_margin", 6).alias("margin"), "escalation_probability", "explanation_text",
                        *(F.round(f"contributions.{f}", 6).alias(f) for f in _STEPS))

@@ -137,3 +137,43 @@ def test_features_take_one_shuffle(spark):
     rows = features(views.clean_ticks(spark, SF))
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.count("Sort ") == 1 and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("rows_per_chunk,stretch", [(1000, 128), (25, 7), (25, 1)])
+def test_sequences_of_stretches_equal_windows(spark, monkeypatch, rows_per_chunk, stretch):
+    from driftwatch.operators import rolling
+    monkeypatch.setattr(rolling, "STRETCH", stretch)
+    df = frame(spark, make_rows(8, n=400)).withColumn("vector", F.array("v", F.col("id").cast("double")))
+    s = series(df, ["k"], ["ts", "id"], 5, rows_per_chunk)
+    want = [(r["id"], r["flag"], r["sequence"]) for r in add_sequence(s, "vector", length=6).rows().orderBy("id").collect()]
+    found = rolling.sequences(rolling.stretches(s, "vector", ["id", "flag"], 6), length=6)
+    assert [(r["id"], r["flag"], r["sequence"]) for r in found.orderBy("id").collect()] == want
+    assert found.columns == ["id", "flag", "sequence"]
+    assert rolling.sequences(rolling.stretches(series(df.where("false"), ["k"], ["ts", "id"], 5, 9), "vector", ["id"], 6)).collect() == []
+
+
+def test_scores_take_one_shuffle(spark):
+    from driftwatch.detectors import bundle
+    from driftwatch.operators.rolling import REPLAY_LOOKBACK, add_features
+    from driftwatch.plans import views
+    from driftwatch.plans.streams import given_bundle
+    from tests.conftest import SF
+    s = series(views.clean_ticks(spark, SF), ["service_name"], ["timestamp", "event_id"], REPLAY_LOOKBACK)
+    plan = bundle.score(add_features(s), given_bundle()).df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort ") == 1 and "ArrowEvalPython" in plan
+
+
+def test_replay_stores_only_what_is_kept(spark, monkeypatch):
+    from driftwatch.detectors import bundle
+    from driftwatch.plans import views
+    from driftwatch.plans.streams import given_bundle
+    from tests.conftest import SF
+    stored = []
+    monkeypatch.setattr(bundle, "stage", lambda df, name, stage=bundle.stage: stored.append(df.columns) or stage(df, name))
+    ticks = views.clean_ticks(spark, SF)
+    cut = measure(ticks, ["service_name"], "timestamp", 40)
+    shown = ["event_id", *bundle.SCORE_COLUMNS, "ensemble_score_trend", "consecutive_anomalous_ticks"]
+    whole = bundle.replay(ticks, given_bundle(), widths=cut).select(shown).orderBy("event_id").collect()
+    assert bundle.replay(ticks, given_bundle(), widths=cut, keep=["host"]).select(shown).orderBy("event_id").collect() == whole
+    assert len(stored) == 2 and "cpu_usage_z_score" in stored[0]
+    assert sorted(stored[1]) == sorted(["service_name", "timestamp", "event_id", "host", *bundle.SCORE_COLUMNS, "_chunk", "_copy"])
