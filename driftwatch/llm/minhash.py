@@ -231,8 +231,10 @@ def _mixed(lists: DataFrame, found: DataFrame | None) -> DataFrame:
     if found is None:
         member = lists.withColumn("group", F.col("doc_id"))
     else:
-        member = lists.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn(
-            "group", F.coalesce("component", "doc_id")).drop("component")
+        # a document meets its component once, not once for each of its lists, of which a prefix bounds the number
+        each = lists.groupBy("doc_id").agg(*(F.first(c).alias(c) for c in ("n", "code", "parity")), F.collect_list("token").alias("tokens"))
+        member = each.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
+            F.explode("tokens").alias("token"), "doc_id", "n", "code", "parity", F.coalesce("component", "doc_id").alias("group"))
     hub = {f"hub_{c}": F.min_by(c, "doc_id") for c in ("group", "n", "code", "parity")}
     facts = {"members": F.count("*"), "hub": F.min("doc_id"), **hub, "mixed": F.min("group") != F.max("group")}
     return stage(_with_facts(member, facts).where("mixed").drop("mixed"), "mixed-lists")

@@ -204,3 +204,16 @@ def test_filters_keep_every_count(bits):
     for *w, n in zip(*words, counts, strict=True):
         want[tuple(map(int, w))] += int(n)
     assert seen == want
+
+
+def test_a_document_of_many_lists_meets_its_component_once(spark, monkeypatch):
+    import re
+
+    from driftwatch.llm import minhash
+    lists = spark.createDataFrame([(t, d, 9, d, [0]) for t in range(5) for d in range(4)], "token long, doc_id long, n long, code long, parity array<long>")
+    found = spark.createDataFrame([(0, 0), (1, 0), (2, 0)], "id long, component long")
+    monkeypatch.setattr(minhash, "stage", lambda df, name: df)
+    got = minhash._mixed(lists, found)
+    assert re.search(r"Generate explode\(tokens.*Join LeftOuter", got._jdf.queryExecution().optimizedPlan().toString(), re.S)
+    rows = sorted((r["token"], r["doc_id"], r["n"], r["code"], r["parity"], r["group"], r["members"], r["hub"]) for r in got.collect())
+    assert rows == sorted((t, d, 9, d, [0], 3 if d == 3 else 0, 4, 0) for t in range(5) for d in range(4))
