@@ -21,6 +21,7 @@ from driftwatch.operators.rolling import REPLAY_LOOKBACK, add_features, add_tren
 from driftwatch.operators.series import measure, series, stored, streak
 from driftwatch.sources.keyed import BUCKETS, KeyedStore
 from driftwatch.sources.tables import write_batch
+from driftwatch.storage import stage
 
 STREAK = "consecutive_anomalous_ticks"
 DELAY = "10 minutes"  # of the watermark
@@ -62,14 +63,16 @@ def score_step(path: str, bundle: Bundle, keys=("service_name",), order=("timest
         write_batch(s.rows().drop("_new", "_brought"), f"{path}/scored", batch_id)
 
         # What the next batch needs: per key the rows that are not behind its watermark, the newest ones before, and their runs.
-        scored = batch.sparkSession.read.parquet(f"{path}/scored/batch_id={batch_id}").groupBy(*keys, *order).agg(
-            F.max(STREAK).alias("_run"))
         ends = rows.groupBy(*keys).agg(F.max(order[0]).alias("_newest"))
-        kept = rows.join(ends, keys, "left").withColumn(
+        judged = rows.join(ends, keys, "left").withColumn(
             "_open", F.coalesce(F.col(order[0]) >= F.col("_newest") - F.expr(f"interval {delay}"), F.lit(False)))
-        newest_first = Window.partitionBy(*keys, "_open").orderBy(*(F.desc(c) for c in order))
-        kept = kept.withColumn("_age", F.row_number().over(newest_first)).where(
-            F.col("_open") | (F.col("_age") <= REPLAY_LOOKBACK)).join(scored, [*keys, *order], "left")
+        # By themselves, so that a task keeps the newest closed rows of what it reads, and a busy key is not sorted in one task.
+        newest_first = Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order))
+        closed = judged.where(~F.col("_open")).withColumn("_age", F.row_number().over(newest_first)).where(F.col("_age") <= REPLAY_LOOKBACK)
+        kept = stage(judged.where("_open").unionByName(closed.drop("_age")), "stream-kept")
+        scored = batch.sparkSession.read.parquet(f"{path}/scored/batch_id={batch_id}").join(kept, [*keys, *order], "left_semi").groupBy(
+            *keys, *order).agg(F.max(STREAK).alias("_run"))
+        kept = kept.join(scored, [*keys, *order], "left")
         kept = kept.withColumn(STREAK, F.when(F.col("_new"), F.col("_run")).otherwise(F.col(STREAK))).select(*schema.names)
         store.commit(kept.unionByName(before.join(present, keys, "left_anti")), touched, batch_id)
         batch.unpersist()

@@ -164,3 +164,18 @@ def test_unknown_intake_mode_is_refused():
     from driftwatch.streaming.ingest import take_in
     with pytest.raises(ValueError):
         take_in("x", "ignore")
+
+
+def test_rows_for_the_next_batch_are_limited_before_the_shuffle(spark, monkeypatch):
+    from driftwatch.detectors.bundle import Bundle
+    from driftwatch.plans import views
+    from driftwatch.storage import new_path
+    from driftwatch.streaming import scoring
+    from tests.conftest import SF
+    kept = []
+    monkeypatch.setattr(scoring, "stage", lambda df, name, stage=scoring.stage: kept.append(df) or stage(df, name))
+    scoring.score_step(new_path(spark, "limited"), Bundle())(views.clean_ticks(spark, SF), 0)
+    plan = kept[0]._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+    counts = {r["service_name"]: r["count"] for r in kept[0].where("not _open").groupBy("service_name").count().collect()}
+    assert len(counts) == 8 and set(counts.values()) == {34}
