@@ -226,15 +226,18 @@ def _with_facts(lists: DataFrame, facts: dict) -> DataFrame:
     return salted.join(known.where("members > 1").withColumn("salt", F.explode("salts")).drop("salts"), ["token", "salt"]).drop("salt")
 
 
-def _mixed(lists: DataFrame, found: DataFrame | None) -> DataFrame:
-    """The lists whose members are in several components, with what is needed of each list's hub (its smallest doc_id)."""
-    if found is None:
-        member = lists.withColumn("group", F.col("doc_id"))
-    else:
-        # a document meets its component once, not once for each of its lists, of which a prefix bounds the number
-        each = lists.groupBy("doc_id").agg(*(F.first(c).alias(c) for c in ("n", "code", "parity")), F.collect_list("token").alias("tokens"))
-        member = each.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
-            F.explode("tokens").alias("token"), "doc_id", "n", "code", "parity", F.coalesce("component", "doc_id").alias("group"))
+def _grouped(lists: DataFrame, found: DataFrame) -> DataFrame:
+    """The postings of `lists` with their document's component as `group`, written, as it is the same for all passes of a round.
+
+    A document meets its component once, not once for each of its lists, of which a prefix bounds the number.
+    """
+    each = lists.groupBy("doc_id").agg(*(F.first(c).alias(c) for c in ("n", "code", "parity")), F.collect_list("token").alias("tokens"))
+    return stage(each.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
+        F.explode("tokens").alias("token"), "doc_id", "n", "code", "parity", F.coalesce("component", "doc_id").alias("group")), "grouped-lists")
+
+
+def _mixed(member: DataFrame) -> DataFrame:
+    """The lists whose members are in several groups, with what is needed of each list's hub (its smallest doc_id)."""
     hub = {f"hub_{c}": F.min_by(c, "doc_id") for c in ("group", "n", "code", "parity")}
     facts = {"members": F.count("*"), "hub": F.min("doc_id"), **hub, "mixed": F.min("group") != F.max("group")}
     return stage(_with_facts(member, facts).where("mixed").drop("mixed"), "mixed-lists")
@@ -270,7 +273,7 @@ def _narrowed(docs: DataFrame, sets: DataFrame, lists: DataFrame, size: int, num
     listed = _with_facts(left, {"members": F.count("*"), "least": F.min("n"), "mixed": F.min("group") != F.max("group")})
     left = stage(listed.where("mixed").where(
         f"(n - own) * {(num + den) * den}L >= {num}L * (n * {den} + greatest(least * {den}, n * {num}))").select(left.columns), "possible")
-    return left.select("token", "doc_id", "n", "code", "parity"), pairs
+    return left.select("token", "doc_id", "n", "code", "parity", "group"), pairs
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100,
@@ -292,7 +295,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     # a value that one set has takes a place in the prefix and needs no list: its only member is of one component
     lists = stage(postings(sets, coordinates - least + 1), "postings")
     # parities would only swell these lists, which give few pairs for each member
-    member = _mixed(lists.withColumn("parity", F.lit(None).cast("array<long>")), None)
+    member = _mixed(lists.withColumns({"parity": F.lit(None).cast("array<long>"), "group": F.col("doc_id")}))
     links = pairs = None
     while True:
         few = _all_pairs(member.where(F.col("members") <= short), "token", alike, once=links is not None)
@@ -306,12 +309,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
         links = linked if links is None else links.union(linked)
         found = components(links)
         long = member.where((F.col("members") > short) & (F.col("doc_id") != F.col("hub")))
-        member = _mixed(long.select("token", "doc_id", "n", "code", "parity"), found)
+        member = _mixed(_grouped(long.select("token", "doc_id", "n", "code", "parity"), found))
         pairs = None
         for rare in (1, RARE) if links is linked else (RARE,):  # the first round has the most members, and a cheap pass before
             if not member.isEmpty():
                 left, pairs = _narrowed(docs, sets, member, size, num, den, alike, rare)
-                member = _mixed(left, found)
+                member = _mixed(left)
         if member.isEmpty() and (pairs is None or pairs.isEmpty()):
             break
         short *= GROWTH

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from driftwatch.llm import words
+from driftwatch.llm import minhash, words
 from driftwatch.llm.components import components
 from driftwatch.llm.copies import exact_duplicates
 from driftwatch.llm.minhash import match_threshold, near_duplicates
@@ -66,6 +66,30 @@ def test_near_copies_equal_all_pairs(table, size, num, short):
     assert all(r.kept == (r.component_id == i) for i, r in got.items())
 
 
+def test_documents_meet_their_component_once_a_round(table, monkeypatch):
+    rng = random.Random(8)
+    base = [rng.choice("abcdefgh") + str(k) for k in range(90)]
+    rows = []
+    for i in range(70):  # two groups around one text, whose members share long lists
+        text = base[:60] + [f"z{k}" for k in range(30)] if i % 2 else list(base)
+        for _ in range(rng.randrange(4)):
+            text[rng.randrange(90)] = f"y{i}"
+        rows.append((i, " ".join(text)))
+    calls = {"components": 0, "_grouped": 0, "_mixed": 0}
+
+    def counted(name, f):
+        def run(*args):
+            calls[name] += 1
+            return f(*args)
+        return run
+
+    for name in calls:
+        monkeypatch.setattr(minhash, name, counted(name, getattr(minhash, name)))
+    got = {r.doc_id: r.component_id for r in near_duplicates(table(rows), 3, 85, 100, short=2).collect()}
+    assert got == brute(rows, 3, 85, 100)
+    assert calls["_grouped"] == calls["components"] and calls["_mixed"] > 1 + calls["components"]
+
+
 def test_near_copies_of_odd_rows(odd, empty):
     rows = near_duplicates(odd, 3, 85, 100).collect()
     assert len(rows) == len(ODD)
