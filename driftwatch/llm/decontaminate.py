@@ -16,7 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwatch.llm import words
+from driftwatch.llm import batches, words
 from driftwatch.storage import stage
 
 K1, B = 1.2, 0.75
@@ -212,7 +212,7 @@ class Index:
     def each(self, texts, share, overlap):
         """Leaks of every text of a list."""
         data = [(t or "").lower().encode("utf-8", "replace") for t in texts]
-        for a, b in words.blocks(data):
+        for a, b in words.blocks(data, words.BLOCK // 4):
             hashes, offsets = words.word_hashes(data[a:b], words.SIGNS)
             for i in range(b - a):
                 yield self.leaks(hashes[offsets[i] : offsets[i + 1]], share, overlap)
@@ -266,9 +266,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, overlap:
     for index in indexes(benchmark, max_words):
         shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(index))  # with its code: workers need no package
 
-        def run(batches, shared=shared):
+        def run(parts, shared=shared):
             index = pickle.loads(shared.value)
-            for batch in batches:
+            for batch in batches.slices(parts):
                 found = []
                 for doc, items in zip(batch.column(0).to_pylist(),
                                       index.each(batch.column(1).to_pylist(), share, overlap), strict=True):
@@ -294,11 +294,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, overlap:
     for index in indexes(benchmark, max_words):
         shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(index))  # with its code: workers need no package
 
-        def run(batches, shared=shared):
+        def run(found, shared=shared):
             index = pickle.loads(shared.value)
-            for batch in batches:
-                found = index.each(batch.column(at).cast(pa.string()).to_pylist(), share, overlap)
-                yield batch.filter(pa.array([not x for x in found], pa.bool_()))
+            yield from batches.chosen(found, at, lambda texts: [not x for x in index.each(texts, share, overlap)])
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -10,7 +10,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwatch.llm import words
+from driftwatch.llm import batches, words
 from driftwatch.llm.sampling import held_out
 from driftwatch.storage import stage
 
@@ -48,13 +48,12 @@ def profile(text: str) -> np.ndarray:
 
 
 def _profiles(docs: DataFrame) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            for sub in (batch.slice(a, 500) for a in range(0, batch.num_rows, 500)):
-                flat = np.concatenate([profile(t or "") for t in sub.column(1).to_pylist()])
-                offsets = pa.array(np.arange(0, len(flat) + 1, CLASSES), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [sub.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat))], ["lang", "profile"])
+    def run(found):
+        for sub in batches.slices(found):
+            flat = np.concatenate([profile(t or "") for t in sub.column(1).to_pylist()])
+            offsets = pa.array(np.arange(0, len(flat) + 1, CLASSES), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [sub.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat))], ["lang", "profile"])
 
     return docs.select("lang", "text").mapInArrow(run, "lang string, profile array<double>")
 
@@ -120,13 +119,12 @@ def languages(docs: DataFrame, model: dict) -> DataFrame:
     `und` and 0 for a null text or one without a letter, and for all if nothing was learned. A null doc_id is held out; repeated rows are predicted
     each; other columns do not matter; an empty table gives an empty result.
     """
-    def run(batches):
-        for batch in batches:
-            for sub in (batch.slice(a, 2000) for a in range(0, batch.num_rows, 2000)):
-                out = [predict(t, model) for t in sub.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [sub.column(0), sub.column(1), pa.array([r[0] for r in out], pa.string()),
-                     pa.array([r[1] for r in out], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+    def run(found):
+        for sub in batches.slices(found):
+            out = [predict(t, model) for t in sub.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [sub.column(0), sub.column(1), pa.array([r[0] for r in out], pa.string()),
+                 pa.array([r[1] for r in out], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
@@ -136,9 +134,7 @@ def accepted(docs: DataFrame, model: dict, langs: set[str] | None = None) -> Dat
     """The rows of `docs` whose text has a recognised language (one of `langs`, if given), with all columns as they are."""
     at = docs.columns.index("text")
 
-    def run(batches):
-        for batch in batches:
-            found = [predict(t, model)[0] for t in batch.column(at).cast(pa.string()).to_pylist()]
-            yield batch.filter(pa.array([x != UNKNOWN and (langs is None or x in langs) for x in found], pa.bool_()))
+    def known(texts):
+        return [x != UNKNOWN and (langs is None or x in langs) for x in (predict(t, model)[0] for t in texts)]
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda found: batches.chosen(found, at, known), docs.schema)

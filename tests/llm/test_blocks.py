@@ -55,3 +55,32 @@ def test_a_document_of_100000_addresses(table):
     assert got[1]["n_ip"] == sum(k % 300 <= 255 for k in range(100_000))
     hidden = {r["doc_id"]: r["text"] for r in personal.redact(found).collect()}
     assert len(hidden[1]) == len(text) and "@" not in hidden[1] and hidden[3] == "é *******" and hidden[2] == ""
+
+
+def test_batches_come_in_slices_with_all_rows():
+    import pyarrow as pa
+
+    from driftwatch.llm import batches
+
+    batch = pa.RecordBatch.from_pydict({"id": list(range(1001)), "text": [None if k % 7 == 0 else f"t{k}" for k in range(1001)]})
+    sizes = []
+
+    def choose(texts):
+        sizes.append(len(texts))
+        return [t is not None for t in texts]
+
+    out = pa.Table.from_batches(batches.chosen([batch, batch.slice(0, 0), batch.slice(5, 3)], 1, choose))
+    assert out.column("id").to_pylist() == [k for k in [*range(1001), 5, 6, 7] if k % 7]
+    assert sum(sizes) == 1004 and max(sizes) <= batches.ROWS
+
+
+def test_stages_judge_every_slice(table, spark):
+    from driftwatch.llm import batches, decontaminate, language
+
+    held = "an item of a few words that one document holds"
+    docs = table([(k, held if k == 450 else "plain words of a text " * 3 if k % 3 else None, "en") for k in range(2 * batches.ROWS + 100)], 1)
+    benchmark = spark.createDataFrame([(1, held)], "item_id long, text string")
+    want = [k for k in range(2 * batches.ROWS + 100) if k % 3 or k == 450]
+    kept = language.accepted(docs, language.fit(docs))
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == want
+    assert sorted(r.doc_id for r in decontaminate.clean(kept, benchmark).select("doc_id").collect()) == [k for k in want if k != 450]
