@@ -124,9 +124,9 @@ def rarity(sets: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["kind", "n"])
 
     found = (sets.select("sig").mapInArrow(run, "kind long, n long")
-             .groupBy("kind").agg(F.sum("n").alias("n")).toPandas())
+             .groupBy("kind").agg(F.sum("n").alias("n")).toArrow())  # not pickled row by row in the driver
     out = np.zeros(COUNTERS, np.int64)
-    out[found.kind.to_numpy(np.int64)] = found.n.to_numpy(np.int64)
+    out[found["kind"].to_numpy()] = found["n"].to_numpy()
     return out
 
 
