@@ -106,15 +106,17 @@ def scaled(scaler: Scaler) -> list[Column]:
     return [(F.col(c) - m) / s for c, m, s in zip(scaler.columns, scaler.means, scaler.stds)]
 
 
-def score(s: Series, bundle: Bundle) -> Series:
-    """Detector values, flags and the vote for every row of a series with its features."""
-    spark = s.df.sparkSession
+def score(s: Series, bundle: Bundle, keep: list[str] | None = None) -> Series:
+    """Detector values, flags and the vote for every row of a series with its features.
+
+    With `keep`, only these columns remain beside keys, order and scores.
+    """
     if bundle.scaler:
         check_feature_order(FEATURES, list(bundle.scaler.columns))
     none = F.lit(None).cast("double")
     ready = bundle.scaler is not None
     z = evaluation.worst_z() if ready and bundle.zscore_threshold is not None else none
-    f = bundle.forest.decision(spark, scaled(bundle.scaler)) if ready and bundle.forest else none
+    kept = s.df.columns if keep is None else list(dict.fromkeys([*s.keys, *s.order, *keep, CHUNK, COPY]))
     # The forest comes last: rows that return from Python would have to be shuffled and sorted again for the sequences.
     if ready and bundle.sequence:
         s = s.with_columns({"_vector": bundle.scaler.vector()})
@@ -122,7 +124,12 @@ def score(s: Series, bundle: Bundle) -> Series:
         s = replace(s, df=bundle.sequence.add_error(s.df, "_sequence").drop("_vector", "_sequence"))
     else:
         s = s.with_columns({"lstm_error": none})
-    s = s.with_columns({"zscore_value": z, "iforest_score": f})
+    s = s.with_columns({"zscore_value": z})
+    kept = [*kept, "lstm_error", "zscore_value"]
+    if ready and bundle.forest:
+        s = replace(s, df=bundle.forest.add_decision(s.df, scaled(bundle.scaler), "iforest_score", kept))
+    else:
+        s = replace(s, df=s.df.select(*kept, none.alias("iforest_score")))
     no = F.lit(False)
     s = s.with_columns({
         "zscore_flag": F.coalesce(F.col("zscore_value") > F.lit(bundle.zscore_threshold), no),
@@ -142,7 +149,7 @@ def replay(ticks: DataFrame, bundle: Bundle, keys=("service_name",), order=("tim
 
     With `keep`, only these columns remain beside keys, order and scores, and only they are stored and shuffled on the way.
     """
-    s = score(add_features(series(ticks, list(keys), list(order), REPLAY_LOOKBACK, widths=widths), scale=scale), bundle)
+    s = score(add_features(series(ticks, list(keys), list(order), REPLAY_LOOKBACK, widths=widths), scale=scale), bundle, keep)
     if keep is not None:
         s = replace(s, df=s.df.select(*dict.fromkeys([*keys, *order, *keep, *SCORE_COLUMNS]), CHUNK, COPY))
     if s.cut:  # the streak reads it twice; the trend needs the copies, and its window is that of the streak

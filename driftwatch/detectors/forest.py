@@ -8,11 +8,13 @@ which has at most trees * (2 * sample - 1) rows.
 """
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from driftwatch.catalog import FOREST_CONTAMINATION as CONTAMINATION, FOREST_SAMPLE as SAMPLE, FOREST_TREES as TREES, SEED
 from driftwatch.operators.quantiles import percentiles
@@ -106,8 +108,8 @@ class Forest:
     size: int
     offset: float = 0.0
 
-    def score_samples(self, spark: SparkSession, columns: list[Column]) -> Column:
-        """-2 ** (-mean path / expected path); lower is stranger. NULL where any input is NULL."""
+    def _scorer(self, spark: SparkSession) -> Callable[[list[np.ndarray]], np.ndarray]:
+        """Scores of rows that are given column by column, for use inside tasks; NaN where any input is NaN."""
         trees = []
         for _, part in self.nodes.groupby("tree"):
             part = part.sort_values("node")
@@ -116,9 +118,8 @@ class Forest:
         shared = spark.sparkContext.broadcast(trees)
         scale = expected_path(self.size) or 1.0
 
-        @F.pandas_udf("double")
-        def score(*inputs: pd.Series) -> pd.Series:
-            x = np.column_stack([c.to_numpy(dtype=float) for c in inputs])
+        def score(columns: list[np.ndarray]) -> np.ndarray:
+            x = np.column_stack(columns)
             total = np.zeros(len(x))
             every = np.arange(len(x))
             for feature, threshold, left, right, path in shared.value:
@@ -128,7 +129,16 @@ class Forest:
                 total += path[at]
             result = -np.exp2(-total / len(shared.value) / scale)
             result[np.isnan(x).any(axis=1)] = np.nan
-            return pd.Series(result)
+            return result
+        return score
+
+    def score_samples(self, spark: SparkSession, columns: list[Column]) -> Column:
+        """-2 ** (-mean path / expected path); lower is stranger. NULL where any input is NULL."""
+        scorer = self._scorer(spark)
+
+        @F.pandas_udf("double")
+        def score(*inputs: pd.Series) -> pd.Series:
+            return pd.Series(scorer([c.to_numpy(dtype=float) for c in inputs]))
 
         # Arrow hands NaN through; the library's "no value" is NULL.
         return F.nanvl(score(*(c.cast("double") for c in columns)), F.lit(None).cast("double"))
@@ -136,6 +146,25 @@ class Forest:
     def decision(self, spark: SparkSession, columns: list[Column]) -> Column:
         return self.score_samples(spark, columns) - self.offset
 
+    def add_decision(self, df: DataFrame, columns: list[Column], name: str, keep: list[str] | None = None) -> DataFrame:
+        """The columns `keep` (all if not given) of `df` and the decision values as column `name`.
+
+        For rows that come out of windows: only these columns and the inputs pass through Python. Beside a scalar function Spark
+        would hold each row in a queue, with all that its other columns are still to be computed from, and let that queue grow on disk.
+        """
+        keep = df.columns if keep is None else keep
+        rows = df.select(*keep, *(c.cast("double").alias(f"_x{i}") for i, c in enumerate(columns)))
+        schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField(name, T.DoubleType())])
+        scorer = self._scorer(df.sparkSession)
+
+        def run(batches):
+            for batch in batches:
+                held, inputs = batch.columns[:len(keep)], batch.columns[len(keep):]
+                values = scorer([c.to_numpy(zero_copy_only=False).astype(float, copy=False) for c in inputs])
+                yield pa.RecordBatch.from_arrays([*held, pa.array(values, from_pandas=True)], [*keep, name])
+
+        return rows.mapInArrow(run, schema).withColumn(name, F.col(name) - self.offset)
+
 
 def fit(rows: DataFrame, columns: list[Column], key: list[str], trees: int = TREES, sample: int = SAMPLE,
         contamination: float = CONTAMINATION, seed: int = SEED) -> Forest:

@@ -245,3 +245,23 @@ def test_the_smallest_tables_give_all_rows_to_all_trees(spark):
     rows = spark.createDataFrame([(0, 1.0), (1, 2.0), (2, 2.0)], "id long, x double")
     nodes, size = forest.fit_nodes(rows, [F.col("x")], ["id"], trees=5)
     assert size == 3 and nodes.where("node = 0 and threshold between 1 and 2").count() == 5
+
+
+def test_decisions_beside_the_rows_equal_the_column(spark):
+    rows = points(spark).withColumns({"x": F.when(F.col("id") != 7, F.col("x")), "at": F.timestamp_seconds("id"), "more": F.array("id", F.lit(None))})
+    inputs = [(F.col(c) - 1.0) / 2.0 for c in ("x", "y", "constant")]
+    grown = forest.fit(rows.where("x is not null"), inputs, ["id"], trees=20)
+    want = rows.withColumn("s", grown.decision(spark, inputs)).orderBy("id")
+    got = grown.add_decision(rows, inputs, "s").orderBy("id")
+    assert got.columns == want.columns and got.collect() == want.collect()
+    assert got.where("s is null").count() == 1
+    some = grown.add_decision(rows, inputs, "s", ["more", "id"]).orderBy("id")
+    assert some.columns == ["more", "id", "s"] and some.collect() == want.select("more", "id", "s").collect()
+
+
+def test_rows_do_not_wait_for_the_forest_with_their_sequences(spark):
+    """A scalar Python function would queue each row with the 20 vectors that its error is computed from, on disk for a large table."""
+    from driftwatch.plans.streams import given_bundle
+    rows = bundles.replay(views.clean_ticks(spark, SF), given_bundle(), keep=[])
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "EvalPython" not in plan
