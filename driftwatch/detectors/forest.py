@@ -22,6 +22,7 @@ from driftwatch.storage import stage
 
 NODES = "tree int, node int, feature int, threshold double, left int, right int, path double"
 HASHES = 1 << 52
+ROWS = 2048  # that are scored at once
 
 
 def expected_path(n: float) -> float:
@@ -113,22 +114,27 @@ class Forest:
         trees = []
         for _, part in self.nodes.groupby("tree"):
             part = part.sort_values("node")
-            trees.append(tuple(part[c].to_numpy() for c in ("feature", "threshold", "left", "right", "path")))
+            feature, threshold, left, right, path = (part[c].to_numpy() for c in ("feature", "threshold", "left", "right", "path"))
+            trees.append((feature.astype(np.int64), threshold, np.stack([right, left], axis=1).ravel().astype(np.int64), path))
         depth = int(np.ceil(np.log2(max(self.size, 2))))
         shared = spark.sparkContext.broadcast(trees)
         scale = expected_path(self.size) or 1.0
 
         def score(columns: list[np.ndarray]) -> np.ndarray:
-            x = np.column_stack(columns)
-            total = np.zeros(len(x))
-            every = np.arange(len(x))
-            for feature, threshold, left, right, path in shared.value:
-                at = np.zeros(len(x), dtype=np.int64)
-                for _ in range(depth):
-                    at = np.where(x[every, feature[at]] <= threshold[at], left[at], right[at])
-                total += path[at]
-            result = -np.exp2(-total / len(shared.value) / scale)
-            result[np.isnan(x).any(axis=1)] = np.nan
+            n = len(columns[0])
+            result = np.empty(n)
+            for first in range(0, n, ROWS):
+                x = np.column_stack([c[first:first + ROWS] for c in columns])
+                flat, start = x.ravel(), np.arange(len(x)) * x.shape[1]
+                total = np.zeros(len(x))
+                for feature, threshold, children, path in shared.value:
+                    at = np.zeros(len(x), dtype=np.int64)
+                    for _ in range(depth):
+                        # the children of a node are (right, left)
+                        at = children.take(2 * at + (flat.take(start + feature.take(at)) <= threshold.take(at)))
+                    total += path.take(at)
+                result[first:first + ROWS] = -np.exp2(-total / len(shared.value) / scale)
+                result[first:first + ROWS][np.isnan(x).any(axis=1)] = np.nan
             return result
         return score
 
@@ -169,8 +175,15 @@ class Forest:
 def fit(rows: DataFrame, columns: list[Column], key: list[str], trees: int = TREES, sample: int = SAMPLE,
         contamination: float = CONTAMINATION, seed: int = SEED) -> Forest:
     """Grow the forest on normal rows; the offset is the `contamination` percentile of their scores."""
+    return fit_scored(rows, F.lit(True), [], columns, key, trees, sample, contamination, seed)[0]
+
+
+def fit_scored(rows: DataFrame, normal: Column, keep: list[str], columns: list[Column], key: list[str], trees: int = TREES,
+               sample: int = SAMPLE, contamination: float = CONTAMINATION, seed: int = SEED) -> tuple[Forest, DataFrame]:
+    """(the forest of the rows that are `normal`, decision value `v` and columns `keep` of all rows), scoring each row once."""
     spark = rows.sparkSession
-    nodes, size = fit_nodes(rows, columns, key, trees, sample, seed)
+    nodes, size = fit_nodes(rows.where(normal), columns, key, trees, sample, seed)
     forest = Forest(nodes.toPandas().sort_values(["tree", "node"]), size)
-    scores = stage(rows.select(forest.score_samples(spark, columns).alias("s")), "forest-scores")
-    return Forest(forest.nodes, size, percentiles(scores, "s", [100.0 * contamination])[0])
+    scores = stage(rows.select(forest.score_samples(spark, columns).alias("v"), normal.alias("_normal"), *keep), "forest-scores")
+    offset = percentiles(scores.where("_normal"), "v", [100.0 * contamination])[0]
+    return Forest(forest.nodes, size, offset), scores.select((F.col("v") - offset).alias("v"), *keep)

@@ -5,27 +5,76 @@ recurrent networks. It keeps the contract (window shape, mean squared error, NUL
 but its errors, and so its precision and recall, are its own.
 """
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA, PCAModel, StandardScaler, StandardScalerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import Column, DataFrame, functions as F
+
+from driftwatch.catalog import SEQUENCE_ROWS
+from driftwatch.storage import stage
 
 COMPONENTS = 16
 
 
+def _moments(stored: DataFrame, normal: Callable[[Column], Column], length: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """(number, mean, covariance) of the flattened windows that end in the wanted rows of `stretches`."""
+    wanted = F.transform("rows", lambda row: F.coalesce(normal(row) & ~row["copy"], F.lit(False)))
+
+    def run(batches):
+        n, total, products = 0, 0.0, 0.0
+        for batch in batches:
+            for last, vectors in zip(batch.column(0), batch.column(1), strict=True):
+                last, values = last.values.to_numpy(zero_copy_only=False), vectors.values.flatten().to_numpy(zero_copy_only=False)
+                width = len(values) // len(vectors.values)
+                ends = len(vectors.values) - len(last) + np.flatnonzero(last)  # places of the vectors that windows end with
+                starts = ends[ends >= length - 1] - length + 1
+                if not len(starts):
+                    continue
+                x = np.lib.stride_tricks.sliding_window_view(values, length * width)[starts * width]
+                n, total, products = n + len(x), total + x.sum(axis=0), products + x.T @ x
+        if n:
+            half = products[np.triu_indices(len(total))].tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total]), pa.array([half])], ["n", "total", "half"])
+
+    parts = stage(stored.select(wanted.alias("wanted"), "vectors").mapInArrow(run, "n long, total array<double>, half binary"), "moments")
+    n, total, half = 0, 0.0, 0.0
+    for row in parts.toLocalIterator():
+        n, total, half = n + row["n"], total + np.array(row["total"]), half + np.frombuffer(row["half"])
+    if n < 2:
+        return n, np.zeros(0), np.zeros((0, 0))
+    mean, products = total / n, np.zeros((len(total), len(total)))
+    products[np.triu_indices(len(total))] = half
+    products += np.triu(products, 1).T
+    # Vectors are scaled, so their means are small beside their deviations and the difference keeps its digits.
+    return n, mean, (products - n * np.outer(mean, mean)) / (n - 1)
+
+
 @dataclass(frozen=True)
 class SequenceModel:
     center: StandardScalerModel
     components: PCAModel
 
     @staticmethod
-    def fit(normal: DataFrame, sequence: str = "sequence", components: int = COMPONENTS) -> "SequenceModel":
-        """Fit on normal windows; the driver holds one covariance matrix of the flattened window (560 x 560)."""
-        windows = normal.where(F.col(sequence).isNotNull()).select(
-            array_to_vector(F.flatten(sequence)).alias("_window"))
-        center = StandardScaler(withMean=True, withStd=False, inputCol="_window", outputCol="_centered").fit(windows)
-        pca = PCA(k=components, inputCol="_centered", outputCol="_projected").fit(center.transform(windows))
+    def fit(stored: DataFrame, normal: Callable[[Column], Column], components: int = COMPONENTS, length: int = SEQUENCE_ROWS) -> "SequenceModel":
+        """Fit on the windows of `stretches` that end in a row for which `normal` holds.
+
+        One pass adds up what mean and covariance of the flattened windows (560 x 560) need; the driver holds a few such matrices.
+        """
+        n, mean, covariance = _moments(stored, normal, length)
+        if n < 2:
+            raise ValueError("too few normal windows to fit the sequence detector")
+        center = StandardScaler(withMean=True, withStd=False, inputCol="_window", outputCol="_centered").fit(
+            stored.sparkSession.createDataFrame([(Vectors.dense(mean),)], ["_window"]))
+        # As many rows with the same covariance: those of its square root, each with both signs, so that their mean is 0.
+        sizes, axes = np.linalg.eigh(covariance)
+        root = np.sqrt(np.maximum(sizes, 0) * (2 * len(sizes) - 1) / 2)[:, None] * axes.T
+        same = stored.sparkSession.createDataFrame([(Vectors.dense(r),) for r in np.concatenate([root, -root])], ["_centered"])
+        pca = PCA(k=components, inputCol="_centered", outputCol="_projected").fit(same)
         return SequenceModel(center, pca)
 
     def add_error(self, df: DataFrame, sequence: str = "sequence", name: str = "lstm_error") -> DataFrame:

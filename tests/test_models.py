@@ -265,3 +265,54 @@ def test_rows_do_not_wait_for_the_forest_with_their_sequences(spark):
     rows = bundles.replay(views.clean_ticks(spark, SF), given_bundle(), keep=[])
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "EvalPython" not in plan
+
+
+def test_the_sequence_model_is_that_of_all_normal_windows(spark):
+    """Mean and components from one pass over the stretches equal those of the windows themselves, over chunks and stretches."""
+    from driftwatch.detectors.sequence import SequenceModel
+    from driftwatch.operators.rolling import sequences, stretches
+    from driftwatch.operators.series import series
+    rng = np.random.default_rng(3)
+    mixed = rng.normal(size=(2, 2)) * 2
+    rows = [(i, f"s{i % 2}", i % 7 != 0, [float(v) for v in rng.normal(size=2) @ mixed + 0.5]) for i in range(900)]
+    df = spark.createDataFrame(rows, "id long, k string, good boolean, vector array<double>").withColumn("ts", F.timestamp_seconds("id"))
+    stored = stage(stretches(series(df, ["k"], ["ts", "id"], 4, 200), "vector", ["id", "good"], 5), "test-stretches")
+    windows = sequences(stored, length=5).where("good and sequence is not null")
+    x = np.array([np.ravel(r["sequence"]) for r in windows.collect()])
+    model = SequenceModel.fit(stored, lambda row: row["good"], 3, 5)
+    assert np.allclose(model.center.mean.toArray(), x.mean(axis=0), rtol=1e-12)
+    want = np.linalg.eigh(np.cov(x.T))[1][:, ::-1][:, :3]
+    assert np.allclose(np.abs((model.components.pc.toArray() * want).sum(axis=0)), 1, atol=1e-9)
+    centered = x - x.mean(axis=0)
+    error = ((centered**2).sum(axis=1) - ((centered @ want)**2).sum(axis=1)) / x.shape[1]
+    got = [r["lstm_error"] for r in model.add_error(windows).collect()]
+    assert np.allclose(sorted(got), sorted(error), atol=1e-9)
+    with pytest.raises(ValueError):
+        SequenceModel.fit(stored, lambda row: row["id"] < 0, 3, 5)
+
+
+def test_fitting_scores_each_row_once(spark):
+    rows, inputs = points(spark).withColumn("bad", F.col("id") % 9 == 0), [F.col("x"), F.col("y")]
+    one = forest.fit(rows.where("not bad"), inputs, ["id"], trees=20)
+    both, scores = forest.fit_scored(rows, ~F.col("bad"), ["bad", "id"], inputs, ["id"], trees=20)
+    assert both.offset == one.offset and both.nodes.reset_index(drop=True).equals(one.nodes.reset_index(drop=True))
+    want = rows.select(one.decision(spark, inputs).alias("v"), "bad", "id").orderBy("id").collect()
+    assert scores.orderBy("id").collect() == want
+
+
+def test_forest_follows_its_nodes(spark):
+    """Against one row at a time, over more rows than are scored at once."""
+    rng = np.random.default_rng(8)
+    table = [(i, *(float(v) for v in rng.normal(size=2))) for i in range(5_000)]
+    rows = spark.createDataFrame(table, "id long, x double, y double").coalesce(1)
+    grown = forest.fit(rows, [F.col("x"), F.col("y")], ["id"], trees=3)
+    trees = [{n.node: n for n in part.itertuples()} for _, part in grown.nodes.groupby("tree")]
+    got = {r["id"]: r["s"] for r in rows.select("id", grown.score_samples(spark, [F.col("x"), F.col("y")]).alias("s")).collect()}
+    for i in [0, 1, 2047, 2048, 4999]:
+        paths = []
+        for nodes in trees:
+            at = nodes[0]
+            while at.left != at.node:
+                at = nodes[at.left if table[i][1 + at.feature] <= at.threshold else at.right]
+            paths.append(at.path)
+        assert got[i] == pytest.approx(-2 ** (-sum(paths) / 3 / forest.expected_path(256)), abs=1e-12)
