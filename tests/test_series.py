@@ -6,6 +6,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from driftwatch.catalog import FEATURES
 from driftwatch.operators.rolling import add_sequence, features, narrow_features
 from driftwatch.operators.series import measure, series, sessions, streak
 
@@ -177,3 +178,29 @@ def test_replay_stores_only_what_is_kept(spark, monkeypatch):
     assert bundle.replay(ticks, given_bundle(), widths=cut, keep=["host"]).select(shown).orderBy("event_id").collect() == whole
     assert len(stored) == 2 and "cpu_usage_z_score" in stored[0]
     assert sorted(stored[1]) == sorted(["service_name", "timestamp", "event_id", "host", *bundle.SCORE_COLUMNS, "_chunk", "_copy"])
+
+
+@pytest.mark.parametrize("rows_per_chunk", [None, 60])
+def test_training_set_stores_each_vector_about_once(spark, tmp_path, rows_per_chunk):
+    """Rows with their sequences are read back whole, over chunks, stretches and splits in any order, though vectors are stored and not sequences."""
+    from driftwatch.operators.scaling import Scaler
+    from driftwatch.operators.training import read_training_set, write_training_set
+    n = 700
+    split = lambda i: None if i % 3 == 0 and i < 60 else "train" if i < 400 or 500 < i < 520 else "test"
+    made = [(i, f"s{i % 2}", split(i), None if i == 9 else i % 5 == 0, float(i)) for i in range(n)]
+    df = spark.createDataFrame(made, "event_id long, service_name string, split string, is_anomaly boolean, x double").select(
+        "*", F.timestamp_seconds("event_id").alias("timestamp"), *((F.col("x") + k).alias(c) for k, c in enumerate(FEATURES)))
+    scaler = Scaler(tuple(FEATURES), (1.0,) * len(FEATURES), (2.0,) * len(FEATURES))
+    write_training_set(df, str(tmp_path), scaler, widths=measure(df, ["service_name"], "timestamp", rows_per_chunk))
+    stored = spark.read.parquet(f"{tmp_path}/rows").agg(F.sum(F.size("vectors"))).first()[0]
+    assert n <= stored < 2.5 * n
+    got = {r["event_id"]: r for r in read_training_set(spark, str(tmp_path), scaler=scaler).collect()}
+    assert len(got) == n
+
+    def vector(i):
+        return [(i + k - 1) / 2 for k in range(len(FEATURES))]
+    for i, service, part, label, _ in made:
+        row = got[i]
+        want = [vector(j) for j in range(i - 38, i + 1, 2)] if i >= 38 else None
+        assert (row["service_name"], row["split"], row["label"]) == (service, part, None if label is None else int(label))
+        assert row["features"] == vector(i) and row["sequence"] == want
