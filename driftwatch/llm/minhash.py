@@ -236,8 +236,13 @@ def _grouped(lists: DataFrame, found: DataFrame) -> DataFrame:
         F.explode("tokens").alias("token"), "doc_id", "n", "code", "parity", F.coalesce("component", "doc_id").alias("group")), "grouped-lists")
 
 
-def _mixed(member: DataFrame) -> DataFrame:
-    """The lists whose members are in several groups, with what is needed of each list's hub (its smallest doc_id)."""
+def _mixed(member: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """The lists whose members are in several groups, with what is needed of each list's hub (its smallest doc_id).
+
+    With `found`, the groups of the members are the components there.
+    """
+    if found is not None:
+        member = _grouped(member.select("token", "doc_id", "n", "code", "parity"), found)
     hub = {f"hub_{c}": F.min_by(c, "doc_id") for c in ("group", "n", "code", "parity")}
     facts = {"members": F.count("*"), "hub": F.min("doc_id"), **hub, "mixed": F.min("group") != F.max("group")}
     return stage(_with_facts(member, facts).where("mixed").drop("mixed"), "mixed-lists")
@@ -309,7 +314,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
         links = linked if links is None else links.union(linked)
         found = components(links)
         long = member.where((F.col("members") > short) & (F.col("doc_id") != F.col("hub")))
-        member = _mixed(_grouped(long.select("token", "doc_id", "n", "code", "parity"), found))
+        member = _mixed(long, found)
         pairs = None
         for rare in (1, RARE) if links is linked else (RARE,):  # the first round has the most members, and a cheap pass before
             if not member.isEmpty():

@@ -217,3 +217,24 @@ def test_a_document_of_many_lists_meets_its_component_once(spark, monkeypatch):
     assert re.search(r"Generate explode\(tokens.*Join LeftOuter", got._jdf.queryExecution().optimizedPlan().toString(), re.S)
     rows = sorted((r["token"], r["doc_id"], r["n"], r["code"], r["parity"], r["group"], r["members"], r["hub"]) for r in got.collect())
     assert rows == sorted((t, d, 9, d, [0], 3 if d == 3 else 0, 4, 0) for t in range(5) for d in range(4))
+
+
+@pytest.mark.parametrize("words", [10**8, 10**9, 10**10])
+def test_merging_filters_holds_no_more_for_a_larger_table(words):
+    """A shard has a bounded share of all n-grams, however many words there are."""
+    shards = max(phrases.LEAST_SHARDS, phrases._power_of_two(words / phrases.SHARD))
+    assert 2 * words / shards <= 1 << 21 and phrases.MERGED <= 1 << 20
+
+
+def test_filters_are_taken_in_a_few_at_a_time(table, spark, monkeypatch):
+    from driftwatch.llm import batches
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    with batches.at_most(spark, 3):
+        seen = spark.range(0, 20, 1, 2).mapInArrow(lambda bs: (type(b).from_pydict({"n": [b.num_rows]}) for b in bs), "n long").collect()
+    assert sum(r["n"] for r in seen) == 20 and max(r["n"] for r in seen) == 3 and spark.conf.get(key) == before
+    limits = []
+    monkeypatch.setattr(phrases, "stage", lambda df, name: limits.append((name, int(spark.conf.get(key)))) or phrases_stage(df, name))
+    phrases_stage = __import__("driftwatch.storage", fromlist=["stage"]).stage
+    collocations(table([(i, *r) for i, r in enumerate(spoken())], 2), least=5, top=60).collect()
+    assert dict(limits) == {"chunks": 1000, "word-counts": int(before), "vocabulary": int(before), "n-grams": 8}

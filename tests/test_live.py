@@ -164,3 +164,16 @@ def test_given_components_are_the_residual(spark):
     half = 2 ** -0.5
     got = GivenComponents(((half, 0.0, half, 0.0),)).add_error(rows).select("lstm_error").collect()
     assert got[0][0] == pytest.approx((1 + 4 + 9 + 25 - (4 * half) ** 2) / 4) and got[1][0] is None
+
+
+def test_a_batch_scores_the_forest_without_a_queue(spark):
+    """Rows of a micro-batch pass through the forest without the sequences that their errors are computed from."""
+    from driftwatch.operators.rolling import add_features
+    from driftwatch.operators.series import series
+    from driftwatch.plans import views
+    from driftwatch.plans.streams import given_bundle
+    ticks = views.clean_ticks(spark, SF).withColumn("more", F.lit("kept"))
+    s = bundles.score(add_features(series(ticks, ["service_name"], ["timestamp", "event_id"], 34)), given_bundle())
+    plan = s.df._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "EvalPython" not in plan
+    assert {"more", *bundles.SCORE_COLUMNS} <= set(s.rows().columns) and s.rows().where("more = 'kept'").count() == ticks.count()
