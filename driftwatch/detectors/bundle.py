@@ -109,14 +109,15 @@ def scaled(scaler: Scaler) -> list[Column]:
 def score(s: Series, bundle: Bundle, keep: list[str] | None = None) -> Series:
     """Detector values, flags and the vote for every row of a series with its features.
 
-    With `keep`, only these columns remain beside keys, order and scores.
+    With `keep`, only these columns remain beside keys, order and scores, and the rows pass through the forest whole. Without it the forest is
+    a column like the others, which is not computed if nobody asks for it; Spark queues the rows beside it, on disk if memory is short.
     """
     if bundle.scaler:
         check_feature_order(FEATURES, list(bundle.scaler.columns))
     none = F.lit(None).cast("double")
     ready = bundle.scaler is not None
     z = evaluation.worst_z() if ready and bundle.zscore_threshold is not None else none
-    kept = s.df.columns if keep is None else list(dict.fromkeys([*s.keys, *s.order, *keep, CHUNK, COPY]))
+    kept = [c for c in s.df.columns if keep is None or c in {*s.keys, *s.order, *keep, CHUNK, COPY}]
     # The forest comes last: rows that return from Python would have to be shuffled and sorted again for the sequences.
     if ready and bundle.sequence:
         s = s.with_columns({"_vector": bundle.scaler.vector()})
@@ -124,17 +125,19 @@ def score(s: Series, bundle: Bundle, keep: list[str] | None = None) -> Series:
         s = replace(s, df=bundle.sequence.add_error(s.df, "_sequence").drop("_vector", "_sequence"))
     else:
         s = s.with_columns({"lstm_error": none})
-    s = s.with_columns({"zscore_value": z})
-    kept = [*kept, "lstm_error", "zscore_value"]
-    if ready and bundle.forest:
-        s = replace(s, df=bundle.forest.add_decision(s.df, scaled(bundle.scaler), "iforest_score", kept))
-    else:
-        s = replace(s, df=s.df.select(*kept, none.alias("iforest_score")))
     no = F.lit(False)
+    # The flag goes with the forest: as the error is used twice there, it is computed before, and no row waits for the forest with its sequence.
+    s = s.with_columns({"zscore_value": z, "lstm_flag": F.coalesce(F.col("lstm_error") > F.lit(bundle.sequence_threshold), no)})
+    kept = [c for c in dict.fromkeys([*kept, "lstm_error", "zscore_value", "lstm_flag"]) if c != "iforest_score"]
+    if not (ready and bundle.forest):
+        s = replace(s, df=s.df.select(*kept, none.alias("iforest_score")))
+    elif keep is None:
+        s = s.with_columns({"iforest_score": bundle.forest.decision(s.df.sparkSession, scaled(bundle.scaler))})
+    else:
+        s = replace(s, df=bundle.forest.add_decision(s.df, scaled(bundle.scaler), "iforest_score", kept))
     s = s.with_columns({
         "zscore_flag": F.coalesce(F.col("zscore_value") > F.lit(bundle.zscore_threshold), no),
         "iforest_flag": F.coalesce(F.col("iforest_score") < F.lit(bundle.forest_threshold), no),
-        "lstm_flag": F.coalesce(F.col("lstm_error") > F.lit(bundle.sequence_threshold), no),
     })
     votes, available, total, verdict = vote([F.col(c) for c in FLAGS], [F.col(c) for c in VALUES])
     return s.with_columns({

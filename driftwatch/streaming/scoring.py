@@ -56,7 +56,7 @@ def score_step(path: str, bundle: Bundle, keys=("service_name",), order=("timest
         rows = rows.unionByName(old.drop("_first"))
         widths = measure(rows, keys, order[0], rows_per_chunk)
         s = add_features(series(rows.drop(STREAK), keys, order, REPLAY_LOOKBACK, widths=widths), scale=scale)
-        s = add_trend(score(s, bundle), "ensemble_score")
+        s = add_trend(score(s, bundle, s.df.columns), "ensemble_score")
         s = stored(replace(s, df=s.df.where("_new")), "stream-scores")
         s = replace(s, df=s.df.join(brought, keys, "left"))
         s = streak(s, "ensemble_is_anomaly", STREAK, "_brought")

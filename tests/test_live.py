@@ -173,7 +173,13 @@ def test_a_batch_scores_the_forest_without_a_queue(spark):
     from driftwatch.plans import views
     from driftwatch.plans.streams import given_bundle
     ticks = views.clean_ticks(spark, SF).withColumn("more", F.lit("kept"))
-    s = bundles.score(add_features(series(ticks, ["service_name"], ["timestamp", "event_id"], 34)), given_bundle())
+    made = add_features(series(ticks, ["service_name"], ["timestamp", "event_id"], 34))
+    s = bundles.score(made, given_bundle(), made.df.columns)
     plan = s.df._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "EvalPython" not in plan
+    node = bundles.score(made, given_bundle()).df._jdf.queryExecution().optimizedPlan()
+    while not node.nodeName().startswith("ArrowEvalPython"):
+        node = node.children().apply(0)
+    fed = node.children().apply(0).output().mkString(" ")
+    assert "lstm_error" in fed and "_sequence" not in fed and "_vector" not in fed
     assert {"more", *bundles.SCORE_COLUMNS} <= set(s.rows().columns) and s.rows().where("more = 'kept'").count() == ticks.count()
